@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 
 
 class PieceModel:
@@ -53,7 +54,7 @@ class PieceModel:
                 self.byte[int(p[1:-1], 16)] = i
                 self.bytes.append(bytes([int(p[1:-1], 16)]))
             else:
-                self.bytes.append(p.replace(SPACE, " ").encode() if kind[i] == "piece" else b"")
+                self.bytes.append(p.replace(SPACE, " ").encode() if kind[i] == "piece" else " ⁇ ".encode() if sp.is_unknown(i) else b"")
         # Symbols below n are pieces; characters that are no piece get ids from n on, and never merge.
         score = np.array([sp.get_score(i) for i in range(n)])
         order = np.argsort(-score, kind="stable")
@@ -103,10 +104,10 @@ class PieceModel:
             todo = todo[(got >= 0) & (self.key[got] != key[todo])]
         return out
 
-    def merge(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word, all words merged round by round."""
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, merged round by round, and the number of ids of each."""
         if not words:
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         joined = "".join(words)
         size = np.fromiter(map(len, words), np.int64, len(words))
         char = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -152,14 +153,16 @@ class PieceModel:
                 place[j] = self._pair(sym[j], sym[j + 1])
         w, a, s = (np.concatenate(x) for x in zip(*done, strict=True))
         order = np.lexsort((a, w))
-        w, a, s = w[order], a[order], s[order].tolist()
-        out: list[list[int]] = [[] for _ in words]
-        for i, c, x in zip(w.tolist(), a.tolist(), s, strict=True):
-            if x < self.n:
-                out[i].append(x)
-            else:
-                out[i].extend(self.byte[b] for b in joined[c].encode())
-        return out
+        w, a, s = w[order], a[order], s[order]
+        lost = np.flatnonzero(s >= self.n)
+        if len(lost):
+            spelt = [joined[c].encode() for c in a[lost].tolist()]
+            size = np.ones(len(s), np.int64)
+            size[lost] = [len(x) for x in spelt]
+            begin = np.cumsum(size) - size
+            w, s = np.repeat(w, size), np.repeat(s, size)
+            s[np.repeat(begin[lost], size[lost]) + np.concatenate([np.arange(len(x)) for x in spelt])] = self.byte[np.frombuffer(b"".join(spelt), np.uint8)]
+        return s, np.bincount(w, minlength=len(words))
 
 
 def utf8(data: bytes) -> str:
@@ -183,35 +186,49 @@ def utf8(data: bytes) -> str:
 
 
 class Encoder:
-    """Encodes and decodes texts with a bounded cache of words."""
+    """Encodes and decodes texts. Words met before are kept, with their ids end to end in one array."""
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.cache: dict[str, list[int]] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.at = np.zeros(1, np.int64)
 
-    def encode(self, texts: list[str | None], end: bool = True) -> list[list[int]]:
+    def _learn(self, words: list[str]) -> None:
+        ids, size = self.model.merge(words)
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words)), strict=True))
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
+
+    def encode(self, texts: list[str | None], end: bool = True) -> list[np.ndarray]:
         m = self.model
         cut = [m.cut.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = [w for w in {w for c in cut for w in c} if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list({w for c in cut for w in c})
-        self.cache.update(zip(new, m.merge(new), strict=True))
-        got = self.cache
-        out = []
-        for c in cut:
-            ids: list[int] = []
-            for w in c:
-                ids += got[w]
-            if end:
-                ids.append(m.end)
-            out.append(ids)
-        return out
+        every = list(chain.from_iterable(cut))
+        got = list(map(self.index.get, every))
+        lost = [i for i, x in enumerate(got) if x is None] if None in got else []
+        new = list(dict.fromkeys([every[i] for i in lost]))
+        if new:
+            if len(self.index) + len(new) > CACHE_WORDS:
+                self._clear()
+                new, lost = list(dict.fromkeys(every)), range(len(every))
+            self._learn(new)
+            for i in lost:
+                got[i] = self.index[every[i]]
+        word = np.fromiter(got, np.int64, len(got))
+        size = self.at[word + 1] - self.at[word]
+        total = np.concatenate([[0], np.cumsum(size)])
+        flat = self.ids[np.repeat(self.at[word] - total[:-1], size) + np.arange(total[-1])]
+        edge = total[np.cumsum([0, *map(len, cut)])].tolist()
+        last = np.array([m.end] if end else [], np.int32)
+        return [np.concatenate([flat[i:j], last]) for i, j in zip(edge, edge[1:], strict=False)]
 
     def decode(self, ids: list[int]) -> str:
         table = self.model.bytes
         data = b"".join([table[i] for i in ids])
-        return utf8(data[1:] if ids and self.model.lead[ids[0]] else data)
+        return utf8(data[1:] if len(ids) and self.model.lead[ids[0]] else data)
 
 
 @lru_cache(maxsize=2)
@@ -230,7 +247,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
             for i in range(0, max(batch.num_rows, 1), 256):
                 part = batch.slice(i, 256)
                 keys = part.column(0)
-                ids = enc.encode(part.column(1).to_pylist(), end)
+                ids = [x.tolist() for x in enc.encode(part.column(1).to_pylist(), end)]
                 plain = [enc.decode(x) for x in ids]
                 if digests:
                     name = enc.model.text
