@@ -24,6 +24,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairbench.llm.ngram_join import join
+
+    return join(read(spark, sf_dir, "documents"), k=5, percent=75)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairbench.llm import language_id
 
@@ -41,6 +47,12 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (part_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairbench.llm.decontaminate import contaminated
+
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), threshold=0.75, k=5)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,8 +64,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": op2_token_counts,
+        "op4_ngram_join": op4_ngram_join,
         "op5_language_id": op5_language_id,
         "op7_quality_fm": op7_quality_fm,
+        "op9_decontaminate": op9_decontaminate,
         "op10_sentencepiece": op10_sentencepiece,
     }
 

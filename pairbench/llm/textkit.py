@@ -142,7 +142,8 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     out[np.repeat(offset[:-1], full) + pos] = roll[np.repeat(w.offset[:-1], full) + pos]
     for d in np.flatnonzero(short):
         own = w.hash[w.offset[d] : w.offset[d + 1]]
-        out[offset[d]] = (own * power[: len(own)]).sum(dtype=np.uint64) + np.uint64(len(own)) * np.uint64(0xA24BAED4963EE407)
+        parts = np.append(own * power[: len(own)], np.uint64(len(own) * 0xA24BAED4963EE407 & (1 << 64) - 1))
+        out[offset[d]] = parts.sum(dtype=np.uint64)
     return mix(out), offset
 
 
