@@ -48,7 +48,7 @@ SMALL = 8
 ROUNDS, LEADERS = 2, 5
 FILTER_BITS = 24
 #: Prefix n-grams in one fragment, about.
-FRAGMENT = 1_500_000
+FRAGMENT = 250_000
 VERIFY_FRAGMENTS = 4
 
 
