@@ -17,7 +17,9 @@ class and are joined once. The steps:
    counted apart and summed, and the sum decides exactly.
 6. Components of the links. In two rounds every kept list pairs its classes with a few of its largest
    component, which joins large groups of near copies. Then it gives all pairs of classes that are
-   still in different components. All these pass through 4 and 5 (the last with complete counts), and
+   still in different components; the pairs go to
+   their member in the smaller component, packed, and only those that can reach the threshold are
+   sent on. All these pass through 4 and 5 (the last with complete counts), and
    the components are made again. A pair inside a component needs no check: it can't change them.
 
 So no link between components is lost, and no group of copies is expanded into its pairs. Nothing is
@@ -148,8 +150,7 @@ def sketch(profile: DataFrame) -> np.ndarray:
 
 
 def postings(df: DataFrame, order, k: int, percent: int) -> DataFrame:
-    """(fragment, data): packed prefix n-grams, each as hash, class, set size and the order of
-    the prefix's end. A task sends a class once for as long as it remembers it."""
+    """(fragment, data): packed prefix n-grams, each as hash, class and set size. A task sends a class once for as long as it remembers it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o, seen = order.value, set()
@@ -175,14 +176,11 @@ def postings(df: DataFrame, order, k: int, percent: int) -> DataFrame:
                 begin = np.cumsum(size) - size
                 pos = np.arange(len(h)) - np.repeat(begin, size)
                 prefix = n - -(-percent * n // 100) + 1
-                end = np.zeros(len(n), np.uint64)
-                live = np.flatnonzero(size)
-                end[live] = key[begin[live] + prefix[live] - 1]
                 use = pos < prefix[doc]
                 h, doc = h[use], doc[use]
                 frag = o.fragment(h)
                 at = np.argsort(frag, kind="stable")
-                data = np.stack([h[at], cls[doc[at]].view(np.uint64), n[doc[at]].astype(np.uint64), end[doc[at]]], 1)
+                data = np.stack([h[at], cls[doc[at]].view(np.uint64), n[doc[at]].astype(np.uint64)], 1)
                 frag = frag[at]
                 edge = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]]) if len(frag) else np.zeros(0, np.int64)
                 stop = np.r_[edge[1:], len(frag)].astype(np.int64)
@@ -192,12 +190,12 @@ def postings(df: DataFrame, order, k: int, percent: int) -> DataFrame:
     return df.mapInArrow(run, "fragment int, data binary")
 
 
-PAIRS = "a long, b long, na long, nb long, ea long, eb long, c long, star boolean, data binary"
+PAIRS = "a long, b long, na long, nb long, c long, star boolean, data binary"
 
 
 def _pairs(first: np.ndarray, second: np.ndarray, data: np.ndarray, percent: int) -> np.ndarray:
     """Rows of pairs (places in data) that pass the size filter, as counted pairs
-    (a, b, na, nb, ea, eb, count) with a < b."""
+    (a, b, na, nb, count) with a < b."""
     cls = data[:, 1].view(np.int64)
     n = data[:, 2].astype(np.int64)
     swap = cls[first] > cls[second]
@@ -206,15 +204,13 @@ def _pairs(first: np.ndarray, second: np.ndarray, data: np.ndarray, percent: int
     ok = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (cls[first] != cls[second])
     first, second = first[ok], second[ok]
     if not len(first):
-        return np.zeros((0, 7), np.int64)
+        return np.zeros((0, 5), np.int64)
     order = np.lexsort((cls[second], cls[first]))
     first, second = first[order], second[order]
     a, b = cls[first], cls[second]
     new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     count = np.diff(np.r_[new, len(a)])
-    end = data[:, 3].view(np.int64)
-    f, s = first[new], second[new]
-    return np.stack([a[new], b[new], n[f], n[s], end[f], end[s], count], 1)
+    return np.stack([a[new], b[new], n[first[new]], n[second[new]], count], 1)
 
 
 def _all_pairs(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +223,7 @@ def _all_pairs(begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _batch(p: np.ndarray, star: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(p[:, i]) for i in range(7)), pa.array(np.full(len(p), star)), pa.nulls(len(p), pa.binary())], ["a", "b", "na", "nb", "ea", "eb", "c", "star", "data"])
+    return pa.RecordBatch.from_arrays([*(pa.array(p[:, i]) for i in range(5)), pa.array(np.full(len(p), star)), pa.nulls(len(p), pa.binary())], ["a", "b", "na", "nb", "c", "star", "data"])
 
 
 def _lists(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,7 +241,7 @@ def fragment(batches: Iterator[pa.RecordBatch], percent: int, small: int) -> Ite
     held: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         for f, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.setdefault(f, []).append(np.frombuffer(d, np.uint64).reshape(4, -1).T)
+            held.setdefault(f, []).append(np.frombuffer(d, np.uint64).reshape(3, -1).T)
     for f in list(held):
         data, begin, size = _lists(np.concatenate(held.pop(f)))
         few = size <= small
@@ -267,20 +263,23 @@ def fragment(batches: Iterator[pa.RecordBatch], percent: int, small: int) -> Ite
             rows = np.concatenate([np.arange(b, b + s) for b, s in zip(many[i : i + 4096], long[i : i + 4096], strict=True)])
             for j in range(0, len(rows), 100_000):
                 none = pa.array([None], pa.int64())
-                yield pa.RecordBatch.from_arrays([none] * 7 + [pa.array([None], pa.bool_()), pa.array([data[rows[j : j + 100_000]].T.tobytes()], pa.binary())], ["a", "b", "na", "nb", "ea", "eb", "c", "star", "data"])
+                yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array([None], pa.bool_()), pa.array([data[rows[j : j + 100_000]].T.tobytes()], pa.binary())], ["a", "b", "na", "nb", "c", "star", "data"])
+
+
+def bound(na, nb, percent: int, top, up):
+    """The least number of shared prefix n-grams of a pair that reaches the threshold. All n-grams of
+    the prefix that ends first lie in the range that both prefixes cover, so each one unmatched is
+    missing in the other set; which ends first is left open, so the larger set is taken."""
+    return up(percent * (na + nb) / (100 + percent)) + 1 - up(percent * top(na, nb) / 100)
 
 
 def possible(pairs: DataFrame, percent: int, stars: float = 0.5) -> DataFrame:
     """Sums the fragments' counts of each pair and drops pairs that can't reach the threshold. Pairs
     from long lists have incomplete counts here: they need `stars` of the count, and the pairs so
     lost are checked in step 6."""
-    total = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("ea").alias("ea"), F.max("eb").alias("eb"), F.sum("c").alias("c"), F.max("star").alias("star"))
-    least = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100.0 + percent))
-    flip = F.lit(-(1 << 63)).cast("long")  # order of the unsigned numbers
-    first = F.when(F.col("ea").bitwiseXOR(flip) <= F.col("eb").bitwiseXOR(flip), F.col("na")).otherwise(F.col("nb"))
-    prefix = first - F.ceil(percent * first / F.lit(100.0)) + 1
-    bound = prefix - (first - least) - 1  # less 1: ends that are equal but for their last bits
-    return total.where((F.col("na") + F.col("nb") > 0) & (F.col("c") >= F.when(F.col("star"), bound * stars).otherwise(bound))).select("a", "b", "na", "nb")
+    total = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"), F.max("star").alias("star"))
+    least = bound(F.col("na"), F.col("nb"), percent, F.greatest, F.ceil)
+    return total.where(F.col("c") >= F.when(F.col("star"), least * stars).otherwise(least)).select("a", "b", "na", "nb")
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -390,55 +389,106 @@ def meetings(long: DataFrame, pairs: DataFrame, comp: DataFrame, nodes: DataFram
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d in batch.column(0).to_pylist():
-                x = np.frombuffer(d, np.int64).reshape(4, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(x[i]) for i in range(4)], ["h", "cls", "n", "e"])
+                x = np.frombuffer(d, np.int64).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(x[i]) for i in range(3)], ["h", "cls", "n"])
 
-    rows = long.mapInArrow(unpack, "h long, cls long, n long, e long")
+    rows = long.mapInArrow(unpack, "h long, cls long, n long")
     named = nodes.toDF("cls", "rep").join(comp.toDF("rep", "comp"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
-    rows = rows.join(named, "cls")
+    sizes = comp.groupBy("comp").agg(F.count("*").alias("size"))
+    rows = rows.join(named, "cls").join(sizes, "comp", "left").select("h", "cls", "n", "comp", F.coalesce("size", F.lit(1).cast("long")).alias("size"))
     mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    rows = rows.join(mixed, "h", "left_semi").select("h", "cls", "n", "e", "comp")
-    if salt is None:
-        rows = rows.withColumn("met", F.lit(0).cast("long"))
-    else:
-        rows = rows.join(rows.groupBy("cls").agg(F.count("*").alias("met")), "cls").select("h", "cls", "n", "e", "comp", "met")
+    rows = rows.join(mixed, "h", "left_semi")
+    rows = rows.join(rows.groupBy("cls").agg(F.count("*").alias("met")), "cls").select("h", "cls", "n", "comp", "met", "size")
 
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lists(batches: Iterator[pa.RecordBatch]):
+        """Rows sorted by list, size of component, component and class; where each list begins and
+        ends; and where each row's component ends."""
         held = [np.stack([b.column(i).to_numpy() for i in range(6)], 1) for b in batches]
-        if not held:
+        data = np.concatenate(held) if held else np.zeros((0, 6), np.int64)
+        data = data[np.lexsort((data[:, 1], data[:, 3], data[:, 5], data[:, 0]))]
+        begin = np.flatnonzero(np.r_[True, data[1:, 0] != data[:-1, 0]])[: len(data)]
+        inner = np.r_[True, (data[1:, 0] != data[:-1, 0]) | (data[1:, 3] != data[:-1, 3])][: len(data)]
+        return data, begin, np.r_[begin[1:], len(data)][: len(begin)], np.r_[np.flatnonzero(inner)[1:], len(data)][np.cumsum(inner) - 1]
+
+    def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, begin, stop, after = lists(batches)
+        if not len(data):
             return
-        data = np.concatenate(held)
-        data = data[np.lexsort((data[:, 1], data[:, 4], data[:, 0]))]
-        plain = np.ascontiguousarray(data[:, :4]).view(np.uint64)
-        begin = np.flatnonzero(np.r_[True, data[1:, 0] != data[:-1, 0]])
-        stop = np.r_[begin[1:], len(data)]
-        inner = np.r_[True, (data[1:, 0] != data[:-1, 0]) | (data[1:, 4] != data[:-1, 4])]
-        after = np.r_[np.flatnonzero(inner)[1:], len(data)][np.cumsum(inner) - 1]  # where the row's component ends
-        if salt is not None:
-            rank = mix(plain[:, 1] ^ np.uint64(salt))
-            first, second = [], []
-            for i, j in zip(begin.tolist(), stop.tolist(), strict=True):
-                blocks = np.unique(after[i:j])
-                size = np.diff(np.r_[i, blocks])
-                top = int(size.argmax())
-                x, y = (int(blocks[top] - size[top]), int(blocks[top])) if size[top] > 1 else (i, j)
-                lead = x + np.lexsort((rank[x:y], -data[x:y, 5]))[:LEADERS]
-                others = np.r_[i:x, y:j] if size[top] > 1 else np.arange(i, j)
-                first.append(np.repeat(others, len(lead)))
-                second.append(np.tile(lead, len(others)))
-            yield _batch(_pairs(np.concatenate(first), np.concatenate(second), plain, percent), True)
-            return
-        left = np.repeat(stop, stop - begin) - after  # rows of other components after it
-        edge = np.searchsorted(np.cumsum(left), np.arange(0, max(int(left.sum()), 1), 2_000_000))
-        for i, j in zip(edge, np.r_[edge[1:], len(data)], strict=False):
-            n = left[i:j]
-            first = np.repeat(np.arange(i, j), n)
-            second = np.repeat(after[i:j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield _batch(_pairs(first, second, plain, percent), False)
-
-    found = rows.repartition(fragments, "h").mapInArrow(cross, PAIRS).drop("data")
+        plain = np.ascontiguousarray(data[:, :3]).view(np.uint64)
+        rank = mix(plain[:, 1] ^ np.uint64(salt))
+        first, second = [], []
+        for i, j in zip(begin.tolist(), stop.tolist(), strict=True):
+            blocks = np.unique(after[i:j])
+            size = np.diff(np.r_[i, blocks])
+            top = int(size.argmax())
+            x, y = (int(blocks[top] - size[top]), int(blocks[top])) if size[top] > 1 else (i, j)
+            lead = x + np.lexsort((rank[x:y], -data[x:y, 4]))[:LEADERS]
+            others = np.r_[i:x, y:j] if size[top] > 1 else np.arange(i, j)
+            first.append(np.repeat(others, len(lead)))
+            second.append(np.tile(lead, len(others)))
+        yield _batch(_pairs(np.concatenate(first), np.concatenate(second), plain, percent), True)
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each row the classes of larger components in its list, packed, in blocks by class."""
+        data, begin, stop, after = lists(batches)
+        last = np.repeat(stop, stop - begin) if len(data) else after
+        out: list[list] = [[], [], [], [], []]
+
+        def batch() -> pa.RecordBatch:
+            got = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.binary()] * 2, strict=True)], ["x", "nx", "block", "y", "ny"])
+            for c in out:
+                c.clear()
+            return got
+
+        weight = 0
+        for i in np.flatnonzero(after < last).tolist():
+            y, ny = data[after[i] : last[i], 1], data[after[i] : last[i], 2]
+            n = data[i, 2]
+            fits = 100 * np.minimum(n, ny) >= percent * np.maximum(n, ny)
+            y, ny = y[fits], ny[fits]
+            for block in np.unique(y % blocks).tolist() if blocks > 1 else [0]:
+                own = y % blocks == block if blocks > 1 else slice(None)
+                if len(y[own]):
+                    for c, v in zip(out, (data[i, 1], n, block, y[own].tobytes(), ny[own].tobytes()), strict=True):
+                        c.append(v)
+                    weight += len(y)
+            if weight > 500_000:
+                yield batch()
+                weight = 0
+        yield batch()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        for b in batches:
+            for x, nx, block, y, ny in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.setdefault((x, nx, block), []).append((y, ny))
+        for (x, nx, _), own in held.items():
+            y = np.frombuffer(b"".join(o[0] for o in own), np.int64)
+            y, at, c = np.unique(y, return_index=True, return_counts=True)
+            ny = np.frombuffer(b"".join(o[1] for o in own), np.int64)[at]
+            ok = c >= bound(nx, ny, percent, np.maximum, np.ceil)
+            y, ny, c = y[ok], ny[ok], c[ok]
+            swap = y < x
+            me, mine = np.full(len(y), x), np.full(len(y), nx)
+            yield _batch(np.stack([np.where(swap, y, me), np.where(swap, me, y), np.where(swap, ny, mine), np.where(swap, mine, ny), c], 1), False)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y, ny, c = (b.column(i).to_numpy() for i in (3, 4, 5))
+            packed = [[np.repeat(v[i], c[i]).tobytes() for i in range(len(c))] for v in (y, ny)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array(v, pa.binary()) for v in packed)], ["x", "nx", "block", "y", "ny"])
+
     if salt is not None:
-        return found
-    found = found.groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("na", "nb", "ea", "eb")], F.sum("c").alias("c"), F.lit(False).alias("star"))
-    known = pairs.where(~F.col("star")).join(found.select("a", "b"), ["a", "b"], "left_semi")
-    return found.unionByName(known.select("a", "b", "na", "nb", "ea", "eb", "c", "star"))
+        return rows.repartition(fragments, "h").mapInArrow(leaders, PAIRS).drop("data")
+    most = rows.groupBy("h").count().agg(F.max("count")).first()[0] or 0
+    blocks = int(most) // 20_000 + 1
+    kind = "x long, nx long, block long, y binary, ny binary"
+    sent = rows.repartition(fragments, "h").mapInArrow(partners, kind)
+    # The same pairs' counts from the short lists, so that the sums are complete.
+    full = named.join(sizes, "comp", "left").select("cls", F.struct(F.coalesce("size", F.lit(1).cast("long")).alias("size"), "comp").alias("at"))
+    met = pairs.where(~F.col("star")).join(full.toDF("a", "at_a"), "a").join(full.toDF("b", "at_b"), "b").where("at_a.comp <> at_b.comp")
+    one = F.col("at_a") < F.col("at_b")
+    of = lambda p, q: F.when(one, F.col(p)).otherwise(F.col(q))
+    met = met.select(of("a", "b").alias("x"), of("na", "nb").alias("nx"), of("b", "a").alias("y"), of("nb", "na").alias("ny"), "c")
+    met = met.select("x", "nx", F.pmod("y", F.lit(blocks)).alias("block"), "y", "ny", "c").mapInArrow(short, kind)
+    return sent.unionByName(met).repartition(fragments, "x", "block").mapInArrow(counted, PAIRS).drop("data")
