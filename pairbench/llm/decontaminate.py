@@ -20,10 +20,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbench.llm.textkit import Words, chunks, mix, shingles, words
+from pairbench.llm.textkit import Words, chunks, mix, select_rows, shingles, words
 
 RADIUS = 19
 BLOCKS, BLOCK_BITS = 4, 16
@@ -186,17 +187,12 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     bounded by ITEMS whatever the benchmark's size."""
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, item_id long, similarity double, first_word long, n_words long"
-    good = items.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
-    scans = max(1, -(-good.count() // (ITEMS // 2)))
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
     out = None
-    for s in range(scans):
-        own = good if scans == 1 else good.where(F.pmod(F.xxhash64("i", "t"), F.lit(scans)) == s)
-        got = sorted((r["i"], r["t"]) for r in own.collect())
-        shared = docs.sparkSession.sparkContext.broadcast(got)
+    for shared in _scans(items, item, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark([x[0] for x in shared.value], [x[1] for x in shared.value], k)
+            bench = Benchmark(*shared.value, k)
             for batch in batches:
                 for part in chunks(batch, "_text"):
                     w = words(part.column("_text"))
@@ -208,3 +204,31 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def _scans(items: DataFrame, item: str, item_text: str) -> list[Broadcast]:
+    """The items, broadcast in groups of about ITEMS / 2 by a hash."""
+    good = items.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
+    scans = max(1, -(-good.count() // (ITEMS // 2)))
+    out = []
+    for s in range(scans):
+        own = good if scans == 1 else good.where(F.pmod(F.xxhash64("i", "t"), F.lit(scans)) == s)
+        got = sorted((r["i"], r["t"]) for r in own.collect())
+        out.append(items.sparkSession.sparkContext.broadcast(([x[0] for x in got], [x[1] for x in got])))
+    return out
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = 0.75, k: int = 5) -> DataFrame:
+    """The rows of docs that no item contaminates, with all their columns."""
+    for shared in _scans(items, item, item_text):
+
+        def keep(texts: pa.Array, shared=shared, held={}) -> np.ndarray:  # noqa: B006
+            bench = held.get(0) or held.setdefault(0, Benchmark(*shared.value, k))
+            w = words(texts)
+            ok = np.ones(w.n_docs, bool)
+            for group in bench.by_k.values():
+                ok[group.search(w, threshold)[0]] = False
+            return ok
+
+        docs = select_rows(docs, text, keep)
+    return docs

@@ -21,10 +21,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbench.llm.textkit import Words, chunks, words
+from pairbench.llm.textkit import Words, chunks, select_rows, words
 
 BITS = 16
 UNKNOWN = "und"
@@ -173,3 +174,14 @@ def identify(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
     whole = F.col(text).cast("string")
     cols = df.select(F.col(key), whole.alias("_text"), F.coalesce(whole.rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     return cols.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, langs array<string>, shares array<double>")
+
+
+def known(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows of df whose text has a predicted language; those with `und` go."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+        return letter & shared.value.infer(words(texts))[2].any(1)
+
+    return select_rows(df, text, keep)

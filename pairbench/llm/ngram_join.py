@@ -492,3 +492,15 @@ def meetings(long: DataFrame, pairs: DataFrame, comp: DataFrame, nodes: DataFram
     met = met.select(of("a", "b").alias("x"), of("na", "nb").alias("nx"), of("b", "a").alias("y"), of("nb", "na").alias("ny"), "c")
     met = met.select("x", "nx", F.pmod("y", F.lit(blocks)).alias("block"), "y", "ny", "c").mapInArrow(short, kind)
     return sent.unionByName(met).repartition(fragments, "x", "block").mapInArrow(counted, PAIRS).drop("data")
+
+
+def one_each(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
+    """df without near duplicates: of each component the rows with its least key stay, and of equal
+    rows among them one. Rows with a null key stay."""
+    got = scratch.keep(join(df, key, text, k, percent))
+    losers = got.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    out = df.join(losers, key, "left_anti").select(df.columns)
+    twice = scratch.keep(got.groupBy(key).count().where("count > 1").select(key))
+    if twice.isEmpty():
+        return out
+    return out.join(twice, key, "left_anti").select(df.columns).unionByName(out.join(twice, key, "left_semi").dropDuplicates([key, text]).select(df.columns))

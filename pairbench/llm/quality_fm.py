@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbench.llm.textkit import Words, chunks, words
+from pairbench.llm.textkit import Words, chunks, select_rows, words
 
 BITS = 14
 RANK = 6
@@ -175,3 +175,9 @@ def score(df: DataFrame, machine: Machine, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(words(part.column("_text"))), pa.float64())], [key, "score"])
 
     return df.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {kind}, score double")
+
+
+def good(df: DataFrame, machine: Machine, text: str = "text", least: float = 0.3) -> DataFrame:
+    """The rows of df with a score of `least` or more."""
+    shared = df.sparkSession.sparkContext.broadcast(machine)
+    return select_rows(df, text, lambda texts: shared.value.score(words(texts)) >= least)

@@ -16,6 +16,12 @@ def part_of(key: str, n: int):
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairbench.llm.permutation_index import nearest
+
+    return nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,6 +44,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).select("doc_id", (part_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "langs", "shares")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairbench.llm import html_extract
+
+    pages = read(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairbench.llm import quality_fm
 
@@ -47,6 +60,12 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (part_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairbench.llm.sharding import place
+
+    return place(read(spark, sf_dir, "documents"), "doc_id")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairbench.llm.decontaminate import contaminated
 
@@ -61,16 +80,28 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_permutation_index": op1_permutation_index,
         "op2_token_counts": op2_token_counts,
         "op4_ngram_join": op4_ngram_join,
         "op5_language_id": op5_language_id,
+        "op6_html_extract": op6_html_extract,
         "op7_quality_fm": op7_quality_fm,
+        "op8_sharding": op8_sharding,
         "op9_decontaminate": op9_decontaminate,
         "op10_sentencepiece": op10_sentencepiece,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from pairbench.llm.sharding import place_sql
+
+    return {"op8_sharding": place_sql("documents", "doc_id")}

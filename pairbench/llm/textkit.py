@@ -149,3 +149,14 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 def pick(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
+
+
+def select_rows(df, text: str, keep):
+    """df's rows for which keep(Arrow string column) holds, with all its columns. One narrow stage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, text):
+                yield part.filter(pa.array(keep(part.column(text)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
