@@ -30,6 +30,14 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pairbench.llm.lm_scoring import scores
+
+    return scores(read(spark, sf_dir, "documents"), part_of("doc_id", 10) == 0, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairbench.llm.ngram_join import join
 
@@ -90,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_permutation_index": op1_permutation_index,
         "op2_token_counts": op2_token_counts,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_ngram_join": op4_ngram_join,
         "op5_language_id": op5_language_id,
         "op6_html_extract": op6_html_extract,
