@@ -90,7 +90,11 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words(texts: pa.Array) -> Words:
-    raw, at = flat(texts)
+    return words_of(*flat(texts))
+
+
+def words_of(raw: np.ndarray, at: np.ndarray) -> Words:
+    """The words of documents whose bytes stand end to end in raw, from at[i] to at[i + 1]."""
     n = len(raw)
     low = _LOWER[raw]
     if not n:
