@@ -24,7 +24,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbench.llm.textkit import Words, chunks, mix, select_rows, shingles, words
+from pairbench.llm.textkit import Words, chunks, mix, select_rows, shingles, tidy, words
 
 RADIUS = 19
 BLOCKS, BLOCK_BITS = 4, 16
@@ -201,7 +201,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                         if len(d):
                             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), pa.array(bench.ids[i]), pa.array(similarity), pa.array(first), pa.array(n)], [key, "item_id", "similarity", "first_word", "n_words"])
 
-        found = rows.mapInArrow(run, schema)
+        found = rows.mapInArrow(tidy(run), schema)
         out = found if out is None else out.unionByName(found)
     return out
 

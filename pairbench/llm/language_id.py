@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbench.llm.textkit import Words, chunks, select_rows, words
+from pairbench.llm.textkit import Words, chunks, select_rows, tidy, words
 
 BITS = 16
 UNKNOWN = "und"
@@ -141,7 +141,7 @@ def train(df: DataFrame, lang: str = "lang", text: str = "text", per_lang: int =
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
 
-    got = sample.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    got = sample.mapInArrow(tidy(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
     c = np.zeros(len(langs) << BITS)
     c[got["at"].to_numpy(np.int64)] = got["n"].to_numpy()
     c = c.reshape(len(langs), 1 << BITS) + alpha
@@ -173,7 +173,7 @@ def identify(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
 
     whole = F.col(text).cast("string")
     cols = df.select(F.col(key), whole.alias("_text"), F.coalesce(whole.rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    return cols.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, langs array<string>, shares array<double>")
+    return cols.mapInArrow(tidy(run), f"`{key}` {kind}, lang_pred string, score double, langs array<string>, shares array<double>")
 
 
 def known(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

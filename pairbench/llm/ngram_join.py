@@ -15,7 +15,7 @@ class and are joined once. The steps:
    of the document whose prefix ends first, every unmatched prefix n-gram is missing in the other.
 5. `overlaps`: the whole sets of the pairs left are cut into fragments again, partial overlaps are
    counted apart and summed, and the sum decides exactly.
-6. Components of the links. In two rounds every kept list pairs its classes with a few of its largest
+6. Components of the links. In ROUNDS rounds every kept list pairs its classes with a few of its largest
    component, which joins large groups of near copies. Then it gives all pairs of classes that are
    still in different components; the pairs go to
    their member in the smaller component, packed, and only those that can reach the threshold are
@@ -41,13 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairbench.llm import scratch
-from pairbench.llm.textkit import chunks, mix, shingles, words
+from pairbench.llm.textkit import chunks, mix, shingles, tidy, words
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
-SMALL = 8
+SMALL = 16
 #: Rounds of leaders over long lists, and leaders of a list.
-ROUNDS, LEADERS = 2, 5
+ROUNDS, LEADERS = 1, 6
 FILTER_BITS = 24
 #: Prefix n-grams in one fragment, about.
 FRAGMENT = 250_000
@@ -126,7 +126,7 @@ def profiles(df: DataFrame, k: int) -> DataFrame:
         gone = pa.nulls(len(live), pa.int64())
         yield pa.RecordBatch.from_arrays([gone, gone, gone, gone, pa.array(live, pa.int32()), pa.array([lists[i].tobytes() for i in live], pa.binary())], names)
 
-    return df.mapInArrow(run, "id long, n long, d1 long, d2 long, part int, counts binary")
+    return df.mapInArrow(tidy(run), "id long, n long, d1 long, d2 long, part int, counts binary")
 
 
 def sketch(profile: DataFrame) -> np.ndarray:
@@ -142,7 +142,7 @@ def sketch(profile: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
 
     own = profile.where(F.col("part").isNotNull()).select("part", "counts")
-    got = own.mapInArrow(run, "part int, counts binary").repartition(8, "part").mapInArrow(run, "part int, counts binary").collect()
+    got = own.mapInArrow(tidy(run), "part int, counts binary").repartition(8, "part").mapInArrow(tidy(run), "part int, counts binary").collect()
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in got:
         out[r["part"]] += np.frombuffer(r["counts"], np.int64)
@@ -187,7 +187,7 @@ def postings(df: DataFrame, order, k: int, percent: int) -> DataFrame:
                 # Columns apart: equal numbers lie side by side and compress.
                 yield pa.RecordBatch.from_arrays([pa.array(frag[edge], pa.int32()), pa.array([data[i:j].T.tobytes() for i, j in zip(edge, stop, strict=False)], pa.binary())], ["fragment", "data"])
 
-    return df.mapInArrow(run, "fragment int, data binary")
+    return df.mapInArrow(tidy(run), "fragment int, data binary")
 
 
 PAIRS = "a long, b long, na long, nb long, c long, star boolean, data binary"
@@ -309,7 +309,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percen
                     data += [h[x:y].tobytes() for x, y in zip(edge, edge[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls, VERIFY_FRAGMENTS)), pa.array(np.tile(np.arange(VERIFY_FRAGMENTS, dtype=np.int32), len(cls))), pa.array(data, pa.binary())], ["cls", "f", "data"])
 
-    segments = docs.select("id", "text", bit.cast("int").alias("bit")).mapInArrow(cut, "cls long, f int, data binary").groupBy("cls", "f").agg(F.max("data").alias("data"))
+    segments = docs.select("id", "text", bit.cast("int").alias("bit")).mapInArrow(tidy(cut), "cls long, f int, data binary").groupBy("cls", "f").agg(F.max("data").alias("data"))
     spread = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(VERIFY_FRAGMENTS - 1))).alias("f"))
     both = spread.join(segments.toDF("a", "f", "x"), ["a", "f"]).join(segments.toDF("b", "f", "y"), ["b", "f"])
 
@@ -318,7 +318,7 @@ def overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percen
             c = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in ("ra", "rb", "na", "nb")), pa.array(c, pa.int64())], ["ra", "rb", "na", "nb", "c"])
 
-    partial = both.select("ra", "rb", "na", "nb", "x", "y").mapInArrow(count, "ra long, rb long, na long, nb long, c long")
+    partial = both.select("ra", "rb", "na", "nb", "x", "y").mapInArrow(tidy(count), "ra long, rb long, na long, nb long, c long")
     total = partial.groupBy("ra", "rb", "na", "nb").agg(F.sum("c").alias("c"))
     return total.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("ra", "rb")
 
@@ -357,7 +357,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, per
     fragments = max(2 * spark.sparkContext.defaultParallelism, int(sizes * (1 - percent / 100)) // FRAGMENT + 1)
     order = spark.sparkContext.broadcast(Order(sketch(profile), fragments))
     nodes = reps.groupBy("d1").agg(F.min("rep").alias("rep"))
-    found = postings(docs, order, k, percent).repartition(fragments, "fragment").mapInArrow(lambda it: fragment(it, percent, small), PAIRS)
+    found = postings(docs, order, k, percent).repartition(fragments, "fragment").mapInArrow(tidy(lambda it: fragment(it, percent, small)), PAIRS)
     found = scratch.keep(found)
     pairs = found.where(F.col("a").isNotNull()).drop("data")
     links = overlaps(docs, possible(pairs, percent), nodes, k, percent)
@@ -392,13 +392,13 @@ def meetings(long: DataFrame, pairs: DataFrame, comp: DataFrame, nodes: DataFram
                 x = np.frombuffer(d, np.int64).reshape(3, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(x[i]) for i in range(3)], ["h", "cls", "n"])
 
-    rows = long.mapInArrow(unpack, "h long, cls long, n long")
-    named = nodes.toDF("cls", "rep").join(comp.toDF("rep", "comp"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
+    rows = long.mapInArrow(tidy(unpack), "h long, cls long, n long")
+    # At class level first, so that the lists' rows are joined once; whether a list is mixed shows in its fragment.
     sizes = comp.groupBy("comp").agg(F.count("*").alias("size"))
-    rows = rows.join(named, "cls").join(sizes, "comp", "left").select("h", "cls", "n", "comp", F.coalesce("size", F.lit(1).cast("long")).alias("size"))
-    mixed = rows.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    rows = rows.join(mixed, "h", "left_semi")
-    rows = rows.join(rows.groupBy("cls").agg(F.count("*").alias("met")), "cls").select("h", "cls", "n", "comp", "met", "size")
+    named = nodes.toDF("cls", "rep").join(comp.toDF("rep", "comp"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
+    named = named.join(rows.groupBy("cls").agg(F.count("*").alias("met")), "cls").join(sizes, "comp", "left").select("cls", "comp", "met", F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+    named = scratch.keep(named)
+    rows = rows.join(named, "cls").select("h", "cls", "n", "comp", "met", "size")
 
     def lists(batches: Iterator[pa.RecordBatch]):
         """Rows sorted by list, size of component, component and class; where each list begins and
@@ -416,8 +416,9 @@ def meetings(long: DataFrame, pairs: DataFrame, comp: DataFrame, nodes: DataFram
             return
         plain = np.ascontiguousarray(data[:, :3]).view(np.uint64)
         rank = mix(plain[:, 1] ^ np.uint64(salt))
-        first, second = [], []
-        for i, j in zip(begin.tolist(), stop.tolist(), strict=True):
+        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        mixed = after[begin] < stop
+        for i, j in zip(begin[mixed].tolist(), stop[mixed].tolist(), strict=True):
             blocks = np.unique(after[i:j])
             size = np.diff(np.r_[i, blocks])
             top = int(size.argmax())
@@ -479,19 +480,20 @@ def meetings(long: DataFrame, pairs: DataFrame, comp: DataFrame, nodes: DataFram
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array(v, pa.binary()) for v in packed)], ["x", "nx", "block", "y", "ny"])
 
     if salt is not None:
-        return rows.repartition(fragments, "h").mapInArrow(leaders, PAIRS).drop("data")
-    most = rows.groupBy("h").count().agg(F.max("count")).first()[0] or 0
-    blocks = int(most) // 20_000 + 1
+        return rows.repartition(fragments, "h").mapInArrow(tidy(leaders), PAIRS).drop("data")
+    most = named.groupBy().agg(F.count("*")).first()[0]  # no list has more classes
+    blocks = int(most) // 200_000 + 1
     kind = "x long, nx long, block long, y binary, ny binary"
-    sent = rows.repartition(fragments, "h").mapInArrow(partners, kind)
+    sent = rows.repartition(fragments, "h").mapInArrow(tidy(partners), kind)
     # The same pairs' counts from the short lists, so that the sums are complete.
-    full = named.join(sizes, "comp", "left").select("cls", F.struct(F.coalesce("size", F.lit(1).cast("long")).alias("size"), "comp").alias("at"))
+    full = nodes.toDF("cls", "rep").join(comp.toDF("rep", "comp"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp")).join(sizes, "comp", "left")
+    full = full.select("cls", F.struct(F.coalesce("size", F.lit(1).cast("long")).alias("size"), "comp").alias("at"))
     met = pairs.where(~F.col("star")).join(full.toDF("a", "at_a"), "a").join(full.toDF("b", "at_b"), "b").where("at_a.comp <> at_b.comp")
     one = F.col("at_a") < F.col("at_b")
     of = lambda p, q: F.when(one, F.col(p)).otherwise(F.col(q))
     met = met.select(of("a", "b").alias("x"), of("na", "nb").alias("nx"), of("b", "a").alias("y"), of("nb", "na").alias("ny"), "c")
-    met = met.select("x", "nx", F.pmod("y", F.lit(blocks)).alias("block"), "y", "ny", "c").mapInArrow(short, kind)
-    return sent.unionByName(met).repartition(fragments, "x", "block").mapInArrow(counted, PAIRS).drop("data")
+    met = met.select("x", "nx", F.pmod("y", F.lit(blocks)).alias("block"), "y", "ny", "c").mapInArrow(tidy(short), kind)
+    return sent.unionByName(met).repartition(fragments, "x", "block").mapInArrow(tidy(counted), PAIRS).drop("data")
 
 
 def one_each(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbench.llm.textkit import Words, chunks, select_rows, words
+from pairbench.llm.textkit import Words, chunks, select_rows, tidy, words
 
 BITS = 14
 RANK = 6
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_text")).join(F.broadcast(good), "_k").select("_k", "_text", "_y")
     kind = docs.schema[key].dataType.simpleString()
-    got = rows.mapInArrow(features, f"k {kind}, bucket array<int>, value array<float>, stat array<double>, y int").toArrow().sort_by([("k", "ascending")])
+    got = rows.mapInArrow(tidy(features), f"k {kind}, bucket array<int>, value array<float>, stat array<double>, y int").toArrow().sort_by([("k", "ascending")])
     return fit([(np.asarray(b, np.int64), np.asarray(v, float), np.asarray(s), y) for b, v, s, y in zip(*(got.column(c).to_pylist() for c in ("bucket", "value", "stat", "y")), strict=True)], seed=seed)
 
 
@@ -174,7 +174,7 @@ def score(df: DataFrame, machine: Machine, key: str = "doc_id", text: str = "tex
             for part in chunks(batch, "_text"):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(words(part.column("_text"))), pa.float64())], [key, "score"])
 
-    return df.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {kind}, score double")
+    return df.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInArrow(tidy(run), f"`{key}` {kind}, score double")
 
 
 def good(df: DataFrame, machine: Machine, text: str = "text", least: float = 0.3) -> DataFrame:

@@ -27,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairbench.llm.textkit import tidy
+
 SPACE = "▁"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 120_000
 
 
 class PieceModel:
@@ -261,4 +263,4 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
                     yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32())), pa.array(plain, pa.string())], [key, "ids", "decoded"])
 
     out = f"`{key}` {kind}, " + ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, out)
+    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(tidy(run), out)

@@ -7,13 +7,15 @@ text, and an empty text has no words.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -53,6 +55,19 @@ def _table(name: str, base: np.uint64, n: int) -> np.ndarray:
     return t[:n]
 
 
+def tidy(run):
+    """run, an iterator function for mapInArrow, that gives freed memory back when a task ends:
+    workers are reused, and what they hold adds up."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 @dataclass
 class Words:
     """Words of a chunk of documents, in order. `offset` has n_docs + 1 positions into the words."""
@@ -163,4 +178,4 @@ def select_rows(df, text: str, keep):
             for part in chunks(batch, text):
                 yield part.filter(pa.array(keep(part.column(text)), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

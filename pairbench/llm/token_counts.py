@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairbench.llm.textkit import mix
+from pairbench.llm.textkit import mix, tidy
 
 #: The pre-token pattern of byte-level vocabularies (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 LONG = 200  # bytes; longer pre-tokens are walked one by one
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -280,4 +280,4 @@ def token_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), n, pa.array([x[0] > limit for x in got], pa.bool_()), pa.array([x[1] for x in got], pa.int64())], [key, "n_bytes", "n_tokens", "over_limit", "fit_bytes"])
 
     size = F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long")
-    return df.select(F.col(key), F.col(text).cast("string").alias("_text"), size.alias("_size")).mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long")
+    return df.select(F.col(key), F.col(text).cast("string").alias("_text"), size.alias("_size")).mapInArrow(tidy(run), f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long")
