@@ -279,7 +279,7 @@ def possible(pairs: DataFrame, percent: int, stars: float = 0.5) -> DataFrame:
     lost are checked in step 6."""
     total = pairs.groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"), F.max("star").alias("star"))
     least = bound(F.col("na"), F.col("nb"), percent, F.greatest, F.ceil)
-    return total.where(F.col("c") >= F.when(F.col("star"), least * stars).otherwise(least)).select("a", "b", "na", "nb")
+    return total.where(F.col("c") >= F.when(F.col("star"), least * stars).otherwise(least)).select("a", "b", "na", "nb", "c")
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -346,6 +346,27 @@ def components(links: DataFrame, a: str = "ra", b: str = "rb") -> DataFrame:
     return where.join(where.groupBy("root").agg(F.min("id").alias("comp")), "root").select("id", "comp")
 
 
+def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, links: DataFrame | None, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(links, components) after the pairs are decided. First each class's pair with the most shared
+    prefix n-grams; then, of the others, those whose classes are still in different components, as
+    a pair inside one can't change them. So a group of near copies costs a pair for each member."""
+    pairs = scratch.keep(pairs)
+    best = scratch.keep(pairs.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("c", "a")).alias("p")).select("p.a", "b", "p.na", "p.nb"))
+    first = scratch.keep(overlaps(docs, best, nodes, k, percent))
+    links = scratch.keep(first if links is None else links.union(first))
+    comp = scratch.keep(components(links))
+    at = nodes.toDF("cls", "rep").join(comp.toDF("rep", "comp"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
+    left = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").where("x <> y").select("a", "b", "na", "nb")
+    left = scratch.keep(left)
+    if not left.isEmpty():
+        second = scratch.keep(overlaps(docs, left, nodes, k, percent))
+        if not second.isEmpty():
+            links = scratch.keep(links.union(second))
+            comp = scratch.keep(components(links))
+    scratch.drop(pairs, best, left)
+    return links, comp
+
+
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, small: int = SMALL) -> DataFrame:
     """(key, n_shingles, component_id) for every row; see the module's text."""
     spark = df.sparkSession
@@ -360,19 +381,13 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, per
     found = postings(docs, order, k, percent).repartition(fragments, "fragment").mapInArrow(tidy(lambda it: fragment(it, percent, small)), PAIRS)
     found = scratch.keep(found)
     pairs = found.where(F.col("a").isNotNull()).drop("data")
-    links = overlaps(docs, possible(pairs, percent), nodes, k, percent)
-    links = scratch.keep(links)
-    comp = scratch.keep(components(links))
+    links, comp = verify(docs, possible(pairs, percent), nodes, None, k, percent)
     long = found.where(F.col("data").isNotNull()).select("data")
     for salt in (*range(1, ROUNDS + 1), None):
         met = scratch.keep(meetings(long, pairs, comp, nodes, percent, fragments, salt))
-        more = scratch.keep(overlaps(docs, possible(met, percent), nodes, k, percent)) if not met.isEmpty() else None
+        if not met.isEmpty():
+            links, comp = verify(docs, possible(met, percent), nodes, links, k, percent)
         scratch.drop(met)
-        if more is not None and not more.isEmpty():
-            before, links = links, scratch.keep(links.union(more).distinct())
-            old, comp = comp, scratch.keep(components(links))
-            scratch.drop(before, old)
-        scratch.drop(more)
     scratch.drop(found, links)
     final = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("c"))
     out = own.join(final, ["n", "d1", "d2"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
