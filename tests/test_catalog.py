@@ -1,10 +1,12 @@
 import parity
 import pytest
 
-from pairbench.plans.catalog import CATALOG
+from pairbench.plans import catalog, study
 
+EVERY = {name: (query, sql) for name, query, sql in catalog.CATALOG + study.CATALOG}
 
-@pytest.mark.parametrize("name", [c[0] for c in CATALOG])
+
+@pytest.mark.parametrize("name", [n for n, (_, sql) in EVERY.items() if sql])
 def test_query_equals_sql(spark, sf_dir, name):
-    query, sql = next((q, s) for n, q, s in CATALOG if n == name)
+    query, sql = EVERY[name]
     assert parity.spark_rows(query(spark, sf_dir)) == parity.sql_rows(sf_dir, sql)
