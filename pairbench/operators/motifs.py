@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,29 @@ def cut(spans: DataFrame, genome: DataFrame, width: int) -> DataFrame:
     whole = spans.join(genome, "chrom", "left").withColumn("window", seq)
     bad = F.when(F.col("seq").isNull() | (F.col("start") < 0) | (F.length("window") < width), "off_end").when(~F.col("window").rlike("^[ACGT]+$"), "ambiguous").otherwise("ok")
     return whole.select("chrom", "start", bad.alias("status"), F.when(bad == "ok", F.col("window")).alias("window"))
+
+
+def similarity(a: list[float], b: list[float], overlap: int = 6) -> float:
+    """Best cosine of two motifs over all offsets with at least `overlap` shared places and both strands,
+    after each place is centred; 0 if none fits."""
+    x, y = (np.asarray(m, float).reshape(-1, 4) for m in (a, b))
+    x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+    best = None
+    for z in (y, y[::-1, ::-1]):
+        for shift in range(overlap - len(z), len(x) - overlap + 1):
+            p, q = x[max(shift, 0) : shift + len(z)], z[max(-shift, 0) : len(x) - shift]
+            size = np.linalg.norm(p) * np.linalg.norm(q)
+            if len(p) >= overlap and size > 0:
+                value = float((p * q).sum() / size)
+                best = value if best is None else max(best, value)
+    return 0.0 if best is None else best
+
+
+def similarities(df: DataFrame, overlap: int = 6) -> DataFrame:
+    """(i, j, similarity) for all pairs of motifs (name, weights); motif libraries are small."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"i": b["i"], "j": b["j"], "similarity": [round(similarity(x, y, overlap), 6) for x, y in zip(b["x"], b["y"], strict=True)]})
+
+    return df.toDF("i", "x").join(df.toDF("j", "y"), F.col("i") < F.col("j")).mapInPandas(run, "i string, j string, similarity double")

@@ -58,7 +58,7 @@ def test_suppression(spark):
 
 def test_ece(spark):
     def of(labels, ps, bins):
-        return metrics.ece(spark.createDataFrame(list(zip(labels, ps, strict=True)), "label int, p double"), F.col("p"), bins).first()["ece"]
+        return metrics.ece(spark.createDataFrame(list(zip(labels, map(float, ps), strict=True)), "label int, p double"), F.col("p"), bins).first()["ece"]
 
     assert of([1, 1, 0, 0, 0, 0], [1.0, 1, 0, 0, 0, 0], 2) == 0
     assert of([0, 0, 1, 1], [1.0, 1, 0, 0], 2) == 1
