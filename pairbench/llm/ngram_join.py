@@ -52,6 +52,8 @@ FILTER_BITS = 24
 #: Prefix n-grams in one fragment, about.
 FRAGMENT = 250_000
 VERIFY_FRAGMENTS = 4
+#: Links that one task may solve.
+FINISH = 50_000
 
 
 def sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -323,14 +325,32 @@ def overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percen
     return total.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("ra", "rb")
 
 
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root): the least id of the component of every id in at most FINISH links."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(u), find(v)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(x) for x in root], pa.int64())], ["id", "root"])
+
+
 def components(links: DataFrame, a: str = "ra", b: str = "rb") -> DataFrame:
-    """(id, comp): the least id of the component of every id in links. Each round maps every node to
-    the neighbour (or itself) that comes first in an order hashed anew, and contracts the links, of
-    which a constant share goes each time."""
-    spark = links.sparkSession
-    edges = scratch.keep(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col(a) != F.col(b)).distinct())
+    """(id, comp): the least id of the component of every id in links. While there are more than
+    FINISH links, each round maps every node to the neighbour (or itself) that comes first in an
+    order hashed anew, and contracts the links, of which a constant share goes each time. The last
+    FINISH at most are solved in one task, which spares the many rounds over nearly empty tables."""
+    edges = scratch.keep(links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct())
     where, step = None, 0
-    while not edges.isEmpty():
+    while edges.count() > FINISH:
         step += 1
         ranked = lambda c, step=step: F.struct(F.xxhash64(c, F.lit(step)).alias("r"), F.col(c).alias("x"))
         both = edges.select(F.col("u").alias("id"), ranked("v").alias("m")).union(edges.select(F.col("v").alias("id"), ranked("u").alias("m")))
@@ -341,30 +361,41 @@ def components(links: DataFrame, a: str = "ra", b: str = "rb") -> DataFrame:
         left = edges.join(to.toDF("u", "tu"), "u").join(to.toDF("v", "tv"), "v").where("tu <> tv")
         before, edges = edges, scratch.keep(left.select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct())
         scratch.drop(before, old, to)
+    last = edges.coalesce(1).mapInArrow(tidy(_solve), "id long, root long")
     if where is None:
-        return spark.createDataFrame([], "id long, comp long")
+        return last.toDF("id", "comp")
+    where = where.join(last.toDF("root", "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
     return where.join(where.groupBy("root").agg(F.min("id").alias("comp")), "root").select("id", "comp")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, links: DataFrame | None, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, components) after the pairs are decided. First each class's pair with the most shared
+def joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components comp after more links: only links between different ones are worked on."""
+    if comp is None:
+        return scratch.keep(components(links))
+    ends = links.join(comp.toDF("ra", "ca"), "ra", "left").join(comp.toDF("rb", "cb"), "rb", "left")
+    up = scratch.keep(components(ends.select(F.coalesce("ca", "ra").alias("ra"), F.coalesce("cb", "rb").alias("rb"))))
+    moved = comp.join(up.toDF("comp", "to"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    out = scratch.keep(moved.union(up.join(comp, "id", "left_anti").select("id", "comp")))
+    scratch.drop(comp, up)
+    return out
+
+
+def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, comp: DataFrame | None, k: int, percent: int) -> DataFrame:
+    """The components after the pairs are decided. First each class's pair with the most shared
     prefix n-grams; then, of the others, those whose classes are still in different components, as
     a pair inside one can't change them. So a group of near copies costs a pair for each member."""
     pairs = scratch.keep(pairs)
     best = scratch.keep(pairs.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("c", "a")).alias("p")).select("p.a", "b", "p.na", "p.nb"))
-    first = scratch.keep(overlaps(docs, best, nodes, k, percent))
-    links = scratch.keep(first if links is None else links.union(first))
-    comp = scratch.keep(components(links))
+    comp = joined(comp, scratch.keep(overlaps(docs, best, nodes, k, percent)))
     at = nodes.toDF("cls", "rep").join(comp.toDF("rep", "comp"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
     left = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").where("x <> y").select("a", "b", "na", "nb")
     left = scratch.keep(left)
     if not left.isEmpty():
         second = scratch.keep(overlaps(docs, left, nodes, k, percent))
         if not second.isEmpty():
-            links = scratch.keep(links.union(second))
-            comp = scratch.keep(components(links))
+            comp = joined(comp, second)
     scratch.drop(pairs, best, left)
-    return links, comp
+    return comp
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, small: int = SMALL) -> DataFrame:
@@ -381,14 +412,14 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, per
     found = postings(docs, order, k, percent).repartition(fragments, "fragment").mapInArrow(tidy(lambda it: fragment(it, percent, small)), PAIRS)
     found = scratch.keep(found)
     pairs = found.where(F.col("a").isNotNull()).drop("data")
-    links, comp = verify(docs, possible(pairs, percent), nodes, None, k, percent)
+    comp = verify(docs, possible(pairs, percent), nodes, None, k, percent)
     long = found.where(F.col("data").isNotNull()).select("data")
     for salt in (*range(1, ROUNDS + 1), None):
         met = scratch.keep(meetings(long, pairs, comp, nodes, percent, fragments, salt))
         if not met.isEmpty():
-            links, comp = verify(docs, possible(met, percent), nodes, links, k, percent)
+            comp = verify(docs, possible(met, percent), nodes, comp, k, percent)
         scratch.drop(met)
-    scratch.drop(found, links)
+    scratch.drop(found)
     final = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("c"))
     out = own.join(final, ["n", "d1", "d2"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
     lost = df.where(F.col(key).cast("long").isNull())

@@ -200,3 +200,22 @@ def test_sharding_equals_sql(spark, sf_dir):
     from pairbench.llm import queries as q
 
     assert parity.spark_rows(q.op8_sharding(spark, sf_dir)) == parity.sql_rows(sf_dir, q.oracle_sql()["op8_sharding"])
+
+
+@pytest.mark.parametrize("finish", [50_000, 0])
+def test_components_grow_with_links(spark, monkeypatch, finish):
+    from pairbench.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "FINISH", finish)
+    draw = random.Random(4)
+    links = [(draw.randrange(400), draw.randrange(400)) for _ in range(260)]
+    want = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in want:
+        for a, b in links:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    comp = None
+    for part in (links[:150], links[150:], []):
+        comp = ngram_join.joined(comp, spark.createDataFrame(part, "ra long, rb long"))
+    assert {r["id"]: r["comp"] for r in comp.collect()} == want
+    assert comp.count() == len(want)
