@@ -2,29 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from pairbench.operators import metrics
+
 
-from pairbench.operators import metrics, windows
+def window_scores(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The score of every window of both strands; codes are 0..3 for A, C, G, T, weights width x 4."""
+    n = len(codes) - len(weights) + 1
+    both = np.zeros((2, n))
+    for strand, w in zip(both, (weights, weights[::-1, ::-1]), strict=True):
+        for i, place in enumerate(w):
+            strand += place[codes[i : i + n]]
+    return both.ravel()
 
 
 def scan(df: DataFrame, seq: str, motifs: dict[str, list[float]]) -> DataFrame:
     """For every row and motif, over all offsets and both strands: best and log-sum-exp of the scores.
-    A motif is a flat list of four weights (A, C, G, T) a position; motifs are few and broadcast."""
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, w)).alias("w")) for n, w in motifs.items()])).alias("motif")
-    rows = df.select("*", each)
-
-    def score(s, at):
-        cell = lambda i: F.element_at("motif.w", (i * 4 + F.position(s.substr(at + i, F.lit(1)), F.lit("ACGT"))).cast("int"))
-        return F.aggregate(F.sequence(F.lit(0), (F.size("motif.w") / 4).cast("int") - 1), F.lit(0.0), lambda t, i: t + cell(i))
-
-    last = (F.length(seq) - F.size("motif.w") / 4 + 1).cast("int")
-    strand = lambda s: F.transform(F.sequence(F.lit(1), last), lambda at: score(s, at))
-    scored = rows.where(last >= 1).withColumn("scores", F.concat(strand(F.col(seq)), strand(windows.reverse_complement(F.col(seq))))).withColumn("best", F.array_max("scores"))
-    total = F.col("best") + F.log(F.aggregate("scores", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("best"))))
-    return scored.select(*df.columns, F.col("motif.name").alias("motif"), F.round("best", 5).alias("best"), F.round(total, 5).alias("total"))
+    A motif is a flat list of four weights (A, C, G, T) a position; motifs are few and go with the task."""
+    library = {name: np.asarray(w, float).reshape(-1, 4) for name, w in motifs.items()}
+    code = np.full(256, 255, np.uint8)
+    code[list(b"ACGT")] = range(4)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, name, best, total = [], [], [], []
+            for i, text in enumerate(b.column(seq)):
+                codes = code[np.frombuffer((text.as_py() or "").encode(), np.uint8)]
+                for motif, w in library.items():
+                    if len(codes) >= len(w):
+                        x = window_scores(codes, w)
+                        row.append(i)
+                        name.append(motif)
+                        best.append(float(x.max()))
+                        total.append(best[-1] + float(np.log(np.exp(x - best[-1]).sum())))
+            kept = b.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(name, pa.string()), pa.array(best, pa.float64()), pa.array(total, pa.float64())], [*b.schema.names, "motif", "best", "total"])
+
+    kind = StructType([*df.schema.fields, *StructType.fromDDL("motif string, best double, total double").fields])
+    return df.mapInArrow(run, kind).select(*df.columns, "motif", F.round("best", 5).alias("best"), F.round("total", 5).alias("total"))
 
 
 def select(scans: DataFrame) -> DataFrame:

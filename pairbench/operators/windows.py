@@ -14,9 +14,10 @@ def overlapping(df: DataFrame, group: str, start: str, width: int) -> DataFrame:
     return hit.select("g", "s").distinct()
 
 
-def dna(text: Column, length: int = 60) -> Column:
+def dna(text: Column) -> Column:
+    """All letters of the text as bases."""
     letters = F.regexp_replace(F.lower(text), "[^a-z]", "")
-    return F.substring(F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), 1, length)
+    return F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
 
 
 def reverse_complement(seq: Column) -> Column:
@@ -24,8 +25,9 @@ def reverse_complement(seq: Column) -> Column:
 
 
 def kmers(df: DataFrame, seq: str, k: int) -> DataFrame:
-    """Canonical k-mers (the lesser strand) and how often they occur."""
-    pos = F.explode(F.sequence(F.lit(1), F.length(seq) - (k - 1))).alias("pos")
-    cut = df.where(F.length(seq) >= k).select(seq, pos).select(F.substring(F.col(seq), F.col("pos"), F.lit(k)).alias("w"))
-    canon = F.least(F.col("w"), reverse_complement(F.col("w")))
-    return cut.select(canon.alias("kmer"), (F.col("w") == reverse_complement(F.col("w"))).alias("palindrome")).groupBy("kmer").agg(F.count("*").alias("n"), F.count_if("palindrome").alias("n_palindromes"))
+    """Canonical k-mers (the lesser strand) and how often they occur. A pattern that takes no letters
+    gives all k-mers of a sequence in one pass; they are counted before the strands are compared."""
+    cut = df.select(F.explode(F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))).alias("w"))
+    own = cut.groupBy("w").agg(F.count("*").alias("n")).withColumn("rc", reverse_complement(F.col("w")))
+    palindromes = F.coalesce(F.sum(F.when(F.col("w") == F.col("rc"), F.col("n"))), F.lit(0))
+    return own.groupBy(F.least("w", "rc").alias("kmer")).agg(F.sum("n").alias("n"), palindromes.alias("n_palindromes"))

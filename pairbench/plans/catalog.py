@@ -142,7 +142,7 @@ CATALOG: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]]
     ("knn_topk", _e(lambda e: vectors.nearest(e, 5)), f"WITH {BOTH}, k AS (SELECT q, v, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, v) AS rank FROM b) SELECT * FROM k WHERE rank <= 5"),
     ("vector_mean_pool", _e(vectors.pool), "WITH c AS (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding) AS x FROM embeddings) SELECT label, pos, round(avg(x::DOUBLE), 6) AS mean FROM c GROUP BY ALL"),
     ("cobinding_overlap", lambda s, d: windows.overlapping(events(s, d), "event_type", "start", 301), "WITH e AS (SELECT DISTINCT event_type AS g, (epoch_us(ts) // 1000000)::BIGINT AS s FROM events) SELECT g, s FROM e WHERE EXISTS (SELECT 1 FROM e x WHERE x.g <> e.g AND abs(x.s - e.s) < 301)"),
-    ("revcomp_palindromes", lambda s, d: sequences(s, d).where(F.length("seq") >= 60).select("doc_id", "seq", windows.reverse_complement(F.col("seq")).alias("rc")), f"WITH {DNA} SELECT doc_id, seq, {RC.format('seq')} AS rc FROM d WHERE length(seq) >= 60"),
+    ("revcomp_palindromes", lambda s, d: sequences(s, d).select("doc_id", "seq", windows.reverse_complement(F.col("seq")).alias("rc")), f"WITH {DNA} SELECT doc_id, seq, {RC.format('seq')} AS rc FROM d WHERE length(seq) >= 60"),
     ("kmer_vocabulary", lambda s, d: windows.kmers(sequences(s, d), "seq", 6), f"WITH {DNA}, w AS (SELECT unnest(list_transform(range(1, length(seq) - 4), lambda i: substr(seq, i, 6))) AS w FROM d WHERE length(seq) >= 6) SELECT least(w, {RC.format('w')}) AS kmer, count(*) AS n, count(*) FILTER (w = {RC.format('w')}) AS n_palindromes FROM w GROUP BY 1"),
     ("balanced_entity_folds", lambda s, d: splits.balanced_folds(table(s, d, "part"), "p_partkey", 5, "folds"), f"SELECT p_partkey, ntile(5) OVER (ORDER BY {DRAW.format('folds', 'p_partkey')}, p_partkey) AS fold FROM (SELECT DISTINCT p_partkey FROM part)"),
     ("fold_variant_fraction", lambda s, d: splits.variant_fraction(table(s, d, "part"), "p_brand", "p_partkey", 0.2, "variants"), f"SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY {DRAW.format('variants', 'p_partkey')}, p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM (SELECT DISTINCT p_brand, p_partkey FROM part)) WHERE r <= greatest(1, round_even(n * 0.2, 0))"),
