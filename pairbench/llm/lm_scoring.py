@@ -13,11 +13,11 @@ fitted by Adam on the driver on whole training documents, about SAMPLE ids of th
 A word's probability is the product over its ids, mixed with the word's frequency in all training
 documents:
 
-    P(word | before) = (1 - open) * count / words + open * product of P(id | before)
+    P(word | before) = (1 - share) * count / words + share * product of P(id | before)
 
-where open, the share of unseen words, is extrapolated from the sample's growth of distinct words.
-Where a document has a word several times, the mean of their log products is mixed; as the logarithm
-of the mixture is convex in it, that is a lower bound.
+where share depends on how frequent the id before the word is (SHARES steps), and is fitted by expectation
+maximisation on training documents (about HELD ids) that are held back: for the fit their words, ids and
+pairs are taken out of all counts. Every occurrence is mixed by itself.
 
 Scoring cuts a text into windows of WINDOW ids of which the first CONTEXT were scored by the window
 before, so each id is scored once with at least CONTEXT ids before it (or all there are); windows are
@@ -55,6 +55,8 @@ ALONE, SHARED = 96, 32  # classes of one id, and of many
 INPUTS = 1024  # ids with an input row of their own
 COMMON = 4096  # ids counted one by one after each input row
 SAMPLE = 300_000
+HELD = 100_000
+SHARES = 11  # of the mixture, by the input row before a word: 0, 1-2, 3-6, ...
 CHUNK = 700_000  # ids in a chunk, about
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(63, _STEP)])
@@ -114,7 +116,7 @@ class Model:
     opens: np.ndarray  # whether an id begins a word
     words: int  # in training documents, with their ends
     ends: int
-    open: float
+    share: np.ndarray  # the model's share of a word's probability, by context()
     input: np.ndarray  # id -> input row
     cls: np.ndarray  # id -> class
     within: np.ndarray  # id -> log P(id | class)
@@ -145,9 +147,15 @@ class Model:
         out += self.pair[before]
         return out
 
-    def score(self, docs: list[np.ndarray], batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-        """The log of every word's product over its ids, and the documents' numbers of words; the
-        end is a document's last word."""
+    def mixed(self, count: np.ndarray, log: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """log10 of the mixture of count / words and exp(log)."""
+        with np.errstate(divide="ignore"):
+            own = np.log((1 - self.share[context]) * count / max(self.words, 1))
+        return np.logaddexp(own, np.log(self.share[context]) + log) / np.log(10)
+
+    def score(self, docs: list[np.ndarray], batch: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The log of every word's product over its ids, its context, and the documents' numbers of
+        words; the end is a document's last word."""
         size = np.array([len(d) for d in docs])
         ids = np.concatenate(docs).astype(np.int64)
         begin = np.cumsum(size) - size
@@ -178,12 +186,16 @@ class Model:
             got = own - np.log(logits.sum(1)) + gained[here]
             gained[here] = got
         at, _ = split(ids, begin, self.opens)
-        return np.add.reduceat(gained.astype(np.float64), at), np.diff(np.r_[np.searchsorted(at, begin), len(at)])
+        return np.add.reduceat(gained.astype(np.float64), at), context(inputs[at]), np.diff(np.r_[np.searchsorted(at, begin), len(at)])
 
 
 _MASK = np.where(np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None], np.float32(0), np.float32(-1e9))
 
 
+def context(row: np.ndarray) -> np.ndarray:
+    return np.log2(row + 1).astype(np.uint8)
+
+
 def numbering(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Input rows, classes and log P(id | class) from the counts of ids."""
     order = np.argsort(-counts, kind="stable")
@@ -269,19 +281,19 @@ def _array_rows(x: np.ndarray, parts: int = 16) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([p.astype(np.int64).tobytes() for p in np.array_split(x, parts)], pa.binary())], ["part", "data"])
 
 
-def unseen(docs: list[np.ndarray], opens: np.ndarray, words_in_all: int) -> float:
-    """The share of words that are new after words_in_all of them, as a power law through the shares
-    at a quarter and at half of docs."""
-    if not docs:
-        return 0.5
-    size = np.array([len(d) for d in docs])
-    _, key = split(np.concatenate(docs).astype(np.int64), np.cumsum(size) - size, opens)
-    n = len(key) // 4
-    if n < 50:
-        return 0.1
-    new = [max(float(np.mean(~np.isin(key[m : m + n], key[:m]))), 1e-3) for m in (n, 2 * n)]
-    slope = min(np.log2(new[1] / new[0]), -0.05)
-    return float(np.clip(new[1] * (max(words_in_all, 1) / (2 * n)) ** slope, 1e-3, 0.5))
+def shares(counted: np.ndarray, log: np.ndarray, where: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """The model's share for each context, from held-back words' frequencies in the other documents and
+    log products; a context leans on the share of all by ten words."""
+    share = np.full(SHARES, 0.5)
+    if not len(log):
+        return share
+    model, n = np.exp(log), np.bincount(where, minlength=SHARES)
+    for _ in range(rounds):
+        own = share[where] * model
+        part = own / np.maximum(own + (1 - share[where]) * counted, np.finfo(float).tiny)
+        share = (np.bincount(where, part, SHARES) + 10 * part.mean()) / (n + 10)
+        share = np.clip(share, 1e-3, 1 - 1e-3)
+    return share
 
 
 def train(tokens: DataFrame, path: str, seed: int = 7) -> Model:
@@ -305,36 +317,75 @@ def train(tokens: DataFrame, path: str, seed: int = 7) -> Model:
     top = np.argsort(-counts, kind="stable")[:COMMON]
     common[top] = np.arange(len(top))
 
+    column = np.where(common < COMMON, common, COMMON + cls - ALONE)
+    cells = (INPUTS + SHARED) * (COMMON + SHARED)
+
+    def draw(n: int, most: float, salt: int) -> Column:
+        share = min(most, n / max(int(counts.sum()), 1))
+        return F.pmod(F.xxhash64("ids", F.lit(salt)), F.lit(1 << 24)) <= int(share * (1 << 24))
+
+    def arrays(df: DataFrame) -> list[np.ndarray]:
+        return sorted((np.frombuffer(r["ids"], np.uint16) for r in df.collect()), key=lambda d: d.tobytes())
+
+    back = draw(HELD, 0.1, seed + 1)
+    held = arrays(own.where(back))
+
+    def hashes(docs: list[np.ndarray]) -> np.ndarray:
+        size = np.array([len(d) for d in docs], np.int64)
+        return split(np.concatenate([np.zeros(0, np.uint16), *docs]).astype(np.int64), np.cumsum(size) - size, opens)[1]
+
+    words = np.unique(hashes(held))
+
+    def add_pairs(total: np.ndarray, docs: list[np.ndarray]) -> None:
+        """Adds the documents' pairs, the other ids by class, and then how often they have the words held back."""
+        ids = np.concatenate([np.array([end], np.uint16), *docs]).astype(np.int64)
+        np.add.at(total, inputs[ids[:-1]] * (COMMON + SHARED) + column[ids[1:]], 1)
+        if len(words):
+            h = hashes(docs)
+            at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+            total[cells:] += np.bincount(at[words[at] == h], minlength=len(words))
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((INPUTS + SHARED) * (COMMON + SHARED), np.int64)  # the other ids by class
-        column = np.where(common < COMMON, common, COMMON + cls - ALONE)
+        total = np.zeros(cells + len(words), np.int64)
         for b in batches:
             for i in range(0, b.num_rows, 500):
-                docs = [np.frombuffer(d, np.uint16) for d in b.column(0).slice(i, 500).to_pylist()]
-                ids = np.concatenate([np.array([end], np.uint16), *docs]).astype(np.int64)
-                np.add.at(total, inputs[ids[:-1]] * (COMMON + SHARED) + column[ids[1:]], 1)
+                add_pairs(total, [np.frombuffer(d, np.uint16) for d in b.column(0).slice(i, 500).to_pylist()])
         yield _array_rows(total, 256)
 
-    both = _sum_arrays(own.mapInArrow(tidy(pairs), "part int, data binary"), (INPUTS + SHARED) * (COMMON + SHARED)).reshape(INPUTS + SHARED, -1)
-    after = np.zeros((INPUTS + SHARED, COMMON + 1), np.float32)
-    after[:, :COMMON] = both[:, :COMMON]
-    after_class = np.zeros((INPUTS + SHARED, classes), np.float32)
-    np.add.at(after_class.T, cls[top], both[:, : len(top)].T)
-    pair = after_class.astype(float)
-    pair[:, ALONE:] += both[:, COMMON:]
-    del both
-    share = (pair.sum(0) + 0.5) / (pair.sum() + 0.5 * classes)
-    pair = np.log((pair + 20 * share) / (pair.sum(1, keepdims=True) + 20))
+    every = _sum_arrays(own.mapInArrow(tidy(pairs), "part int, data binary"), cells + len(words))
+    out = np.zeros_like(every)
+    if held:
+        add_pairs(out, held)
+
+    def tables(total: np.ndarray) -> dict[str, np.ndarray]:
+        both = total[:cells].reshape(INPUTS + SHARED, -1)
+        after = np.zeros((INPUTS + SHARED, COMMON + 1), np.float32)
+        after[:, :COMMON] = both[:, :COMMON]
+        after_class = np.zeros((INPUTS + SHARED, classes), np.float32)
+        np.add.at(after_class.T, cls[top], both[:, : len(top)].T)
+        pair = after_class.astype(float)
+        pair[:, ALONE:] += both[:, COMMON:]
+        share = (pair.sum(0) + 0.5) / (pair.sum() + 0.5 * classes)
+        pair = np.log((pair + 20 * share) / (pair.sum(1, keepdims=True) + 20))
+        return {"pair": pair.astype(np.float32), "after": after, "after_class": after_class}
+
     rng = np.random.default_rng(seed)
     shapes = {"embed": (INPUTS + SHARED, WIDTH), "place": (WINDOW, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH)}
     weights = {k: rng.normal(0, 0.25, s).astype(np.float32) for k, s in shapes.items()} | {"out": np.zeros((WIDTH, classes), np.float32)}
-    model = Model(end, opens, int(counts[opens].sum()), int(counts[end]), 0.1, inputs, cls, within, pair.astype(np.float32), common, after, after_class, weights)
-    share_of = min(1.0, SAMPLE / max(int(counts.sum()), 1))
-    sample = own.where(F.pmod(F.xxhash64("ids", F.lit(seed)), F.lit(1 << 24)) <= int(share_of * (1 << 24)))
-    drawn = sorted((np.frombuffer(r["ids"], np.uint16) for r in sample.collect()), key=lambda d: d.tobytes())
+    less = counts - np.bincount(np.concatenate([np.zeros(0, np.uint16), *held]), minlength=end + 1)
+    smooth = less + 0.1
+    own_within = np.log(smooth / np.bincount(cls, smooth, classes)[cls]).astype(np.float32)
+    model = Model(end, opens, int(less[opens].sum()), int(less[end]), np.full(SHARES, 0.5), inputs, cls, own_within, common=common, weights=weights, **tables(every - out))
+    drawn = arrays(own.where(~back & draw(SAMPLE, 1.0, seed)))
     drawn = [drawn[i] for i in rng.permutation(len(drawn))]
-    model.open = unseen(drawn, opens, model.words)
     fit(model, drawn)
+    if held:
+        parts = [model.score(held[i : i + 200])[:2] for i in range(0, len(held), 200)]
+        log, where = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        model.share = shares((every - out)[cells:][np.searchsorted(words, hashes(held))] / max(model.words, 1), log, where)
+    model.words, model.ends, model.within = int(counts[opens].sum()), int(counts[end]), within
+    for name, x in tables(every).items():
+        setattr(model, name, x)
     return model
 
 
@@ -356,7 +407,7 @@ def scores(df: DataFrame, held_out: Column, path: str, key: str = "doc_id", text
     fragments = fragments or max(2 * spark.sparkContext.defaultParallelism, size // 4000 + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Fragment -1: the chunk's documents. Others: distinct words and their documents, packed."""
+        """Fragment -1: the chunk's documents. Others: distinct words and their occurrences, packed."""
         task, number = TaskContext.get().partitionId(), 0
         for b in batches:
             every = [np.frombuffer(d, np.uint16) for d in b.column("ids").to_pylist()]
@@ -370,35 +421,33 @@ def scores(df: DataFrame, held_out: Column, path: str, key: str = "doc_id", text
                 ids = part.column("id")
                 docs = np.stack([ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), ~train_doc, w.count + 1]).astype(np.int64)
                 log, inside = np.zeros(len(w.hash)), np.zeros(w.n_docs)
+                where, last_where = np.zeros(len(w.hash), np.uint8), np.zeros(w.n_docs, np.int64)
                 for i in range(0, w.n_docs, 200):
-                    got, n = shared.value.score(own_docs[i : i + 200])
+                    got, before, n = shared.value.score(own_docs[i : i + 200])
                     last = np.cumsum(n)
-                    inside[i : i + 200] = got[last - 1]
+                    inside[i : i + 200], last_where[i : i + 200] = got[last - 1], before[last - 1]
                     span = w.offset[i], w.offset[min(i + 200, w.n_docs)]
-                    own = np.delete(got, last - 1)
+                    own, before = np.delete(got, last - 1), np.delete(before, last - 1)
                     if (n - 1 != w.count[i : i + 200]).any():  # unusual white space: the document's mean
                         m = w.count[i : i + 200]
                         total = np.array([got[e - k : e - 1].sum() for e, k in zip(last, n, strict=True)])
-                        own = np.repeat(total / np.maximum(m, 1), m)
-                    log[slice(*span)] = own
-                docs = np.vstack([docs, inside.view(np.int64)])
+                        own, before = np.repeat(total / np.maximum(m, 1), m), np.zeros(m.sum(), np.uint8)
+                    log[slice(*span)], where[slice(*span)] = own, before
+                docs = np.vstack([docs, inside.view(np.int64), last_where])
                 out = [(-1, docs.tobytes())]
                 if len(w.hash):
                     frag = (w.hash >> np.uint64(32)).astype(np.int64) * fragments >> 32
                     doc = w.doc
                     order = np.lexsort((doc, w.hash))
-                    h, d, f = w.hash[order], doc[order], frag[order]
-                    new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-                    count = np.diff(np.r_[new, len(h)])
-                    mean = (np.add.reduceat(log[order], new) / count).astype(np.float16)  # packed in half precision
-                    h, d, f = h[new], d[new], f[new]
+                    h, d, f = w.hash[order], doc[order].astype(np.uint16 if w.n_docs <= 1 << 16 else np.int32), frag[order]
+                    product, before = log[order].astype(np.float32), where[order]
                     edge = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
                     for i, j in zip(edge, np.r_[edge[1:], len(f)], strict=True):
                         hh = h[i:j]
                         first = np.flatnonzero(np.r_[True, hh[1:] != hh[:-1]])
                         n = np.diff(np.r_[first, len(hh)])
                         head = np.array([len(first), len(hh), w.n_docs], np.int64)
-                        body = [head, hh[first], n.astype(np.int32), d[i:j].astype(np.int32), np.minimum(count[i:j], 1 << 30).astype(np.int32), mean[i:j], train_doc]
+                        body = [head, hh[first], n.astype(np.int32), d[i:j], product[i:j], before[i:j], train_doc]
                         out.append((int(f[i]), b"".join(np.ascontiguousarray(x).tobytes() for x in body)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["fragment", "chunk", "data"])
 
@@ -421,23 +470,26 @@ def scores(df: DataFrame, held_out: Column, path: str, key: str = "doc_id", text
                 nw, nd, docs = np.frombuffer(d, np.int64, 3).tolist()
                 at = 24
                 h = np.frombuffer(d, np.uint64, nw, at)
-                n, who, count = (np.frombuffer(d, np.int32, k, o) for k, o in ((nw, at + 8 * nw), (nd, at + 12 * nw), (nd, at + 12 * nw + 4 * nd)))
-                mean = np.frombuffer(d, np.float16, nd, at + 12 * nw + 8 * nd)
-                learn = np.frombuffer(d, bool, docs, at + 12 * nw + 10 * nd)
-                word = np.repeat(np.arange(nw), n)
+                n = np.frombuffer(d, np.int32, nw, at + 8 * nw)
+                kind = np.dtype(np.uint16 if docs <= 1 << 16 else np.int32)
+                at += 12 * nw
+                who = np.frombuffer(d, kind, nd, at)
+                at += kind.itemsize * nd
+                product, before = np.frombuffer(d, np.float32, nd, at), np.frombuffer(d, np.uint8, nd, at + 4 * nd)
+                learn = np.frombuffer(d, bool, docs, at + 5 * nd)
                 hashes.append(h)
-                sums.append(np.bincount(word, count * learn[who], nw))
-                own.append((c, docs, word, who, count, mean))
+                sums.append(np.bincount(np.repeat(np.arange(nw), n), learn[who], nw))
+                own.append((c, docs, n, who, product, before))
             every, back = np.unique(np.concatenate(hashes), return_inverse=True)
             total = np.bincount(back, np.concatenate(sums), len(every))
             value = np.log10(total + 0.1)
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([2], pa.int32()), pa.nulls(1, pa.binary()), pa.array([int((total > 0).sum())])], names)
             at = 0
-            for (c, docs, word, who, count, mean), h in zip(own, hashes, strict=True):
-                place = back[at : at + len(h)][word]
+            for (c, docs, n, who, product, before), h in zip(own, hashes, strict=True):
+                place = np.repeat(back[at : at + len(h)], n)
                 at += len(h)
-                mixed = np.log10((1 - m.open) * total[place] / max(m.words, 1) + m.open * np.exp(mean.astype(np.float64)) + 1e-300) * count
-                part = np.stack([np.bincount(who, x, docs) for x in (value[place] * count, (total[place] > 0) * count, mixed)])
+                mixed = m.mixed(total[place], product.astype(np.float64), before)
+                part = np.stack([np.bincount(who, x, docs) for x in (value[place], total[place] > 0, mixed)])
                 yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([1], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.nulls(1, pa.int64())], names)
 
     # Rows with documents go by chunk, the others by fragment.
@@ -450,12 +502,12 @@ def scores(df: DataFrame, held_out: Column, path: str, key: str = "doc_id", text
         for b in batches:
             for c, kind, d in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if kind == 0:
-                    docs[c] = np.frombuffer(d, np.int64).reshape(5, -1)
+                    docs[c] = np.frombuffer(d, np.int64).reshape(6, -1)
                 else:
                     sums[c] = sums.get(c, 0.0) + np.frombuffer(d, np.float64).reshape(3, -1)
         for c, d in docs.items():
             s = sums.get(c, np.zeros((3, d.shape[1])))
-            last = np.log10((1 - m.open) * m.ends / max(m.words, 1) + m.open * np.exp(d[4].view(np.float64)) + 1e-300)
+            last = m.mixed(np.full(d.shape[1], m.ends), d[4].view(np.float64), d[5])
             yield pa.RecordBatch.from_arrays([pa.array(d[0], mask=d[1] == 0), pa.array(d[2] == 1), pa.array(d[3]), pa.array(s[1].astype(np.int64)), pa.array(s[0]), pa.array(s[2] + last)], ["id", "held_out", "n_tokens", "n_words_known", "sum", "score"])
 
     kind = "id long, held_out boolean, n_tokens long, n_words_known long, sum double, score double"
