@@ -9,7 +9,9 @@ the base score), subword ids, and pairs of ids in reduced numbering. The model i
 where the most frequent ids are classes of their own, the others share classes of equal mass, and
 P(id | class, id before) comes from the counts. The class logits are the log of smoothed counts after the id
 before, plus a projection of one masked self-attention layer over the window, whose weights are
-fitted by Adam on the driver on whole training documents, about SAMPLE ids of them (a bounded sample).
+fitted by Adam on all training documents: it begins on the driver on about SAMPLE ids of them, and goes on
+in ROUNDS passes over disjoint parts of the documents, each of which starts from the same weights on every
+partition and ends with their mean, weighted by ids. Windows that are not full are masked.
 A word's probability is the product over its ids, mixed with the word's frequency in all training
 documents:
 
@@ -36,7 +38,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -54,7 +56,8 @@ WIDTH = 16
 ALONE, SHARED = 96, 32  # classes of one id, and of many
 INPUTS = 1024  # ids with an input row of their own
 COMMON = 4096  # ids counted one by one after each input row
-SAMPLE = 300_000
+SAMPLE = 300_000  # ids on which the weights begin
+ROUNDS, RATE = 4, 1e-3  # of averaging, which together see every training document once
 HELD = 100_000
 SHARES = 11  # of the mixture, by the input row before a word: 0, 1-2, 3-6, ...
 CHUNK = 700_000  # ids in a chunk, about
@@ -212,23 +215,29 @@ def numbering(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return inputs, cls, within.astype(np.float32)
 
 
+def windows_of(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Input rows of all windows of documents, how many at the front are padding, the classes that follow
+    the context, and whether they are there."""
+    step, size = WINDOW - CONTEXT, np.array([len(d) for d in docs])
+    ids = np.concatenate(docs).astype(np.int64)
+    begin, n = np.cumsum(size) - size, -(-size // step)
+    inputs = np.r_[model.input[model.end], model.input[ids[:-1]]]
+    inputs[begin] = model.input[model.end]
+    doc = np.repeat(np.arange(len(docs)), n)
+    start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
+    at = start[:, None] + np.arange(-CONTEXT, step)[None, :]
+    inside = (at >= 0) & (at < size[doc][:, None])
+    place = begin[doc][:, None] + np.where(inside, at, 0)
+    return inputs[place], np.where(start == 0, CONTEXT, 0), model.cls[ids[place[:, CONTEXT:]]], inside[:, CONTEXT:]
+
+
 def fit(model: Model, docs: list[np.ndarray], epochs: int = 3, batch: int = 64, rate: float = 3e-3, seed: int = 7) -> None:
     """Fits the attention's weights by Adam on whole documents."""
     rng = np.random.default_rng(seed)
     w = model.weights
     if not docs:
         return
-    step, windows = WINDOW - CONTEXT, []
-    for d in docs:
-        full = np.r_[np.full(CONTEXT, model.end), model.end, d.astype(np.int64)]  # inputs, shifted by one
-        for s in range(0, len(d), step):
-            own = full[s : s + WINDOW + 1]
-            if len(own) == WINDOW + 1:
-                windows.append((own, CONTEXT if s == 0 else 0))
-    if not windows:
-        return
-    ids, lead = np.stack([x[0] for x in windows]), np.array([x[1] for x in windows])
-    rows, target = model.input[ids[:, :-1]], model.cls[ids[:, CONTEXT + 1 :]]
+    rows, lead, target, live = windows_of(model, docs)
     m1 = {k: np.zeros_like(v) for k, v in w.items()}
     m2 = {k: np.zeros_like(v) for k, v in w.items()}
     t, total = 0, epochs * max(1, len(rows) // batch)
@@ -242,7 +251,7 @@ def fit(model: Model, docs: list[np.ndarray], epochs: int = 3, batch: int = 64,
             p = np.exp(logits)
             p /= p.sum(-1, keepdims=True)
             np.put_along_axis(p, y[..., None], np.take_along_axis(p, y[..., None], -1) - 1, -1)
-            p /= y.size
+            p *= live[part][..., None] / np.float32(live[part].sum())
             g = {"out": np.einsum("btd,btc->dc", h, p)}
             gh = p @ w["out"].T
             ga = gh @ v.transpose(0, 2, 1)
@@ -296,6 +305,35 @@ def shares(counted: np.ndarray, log: np.ndarray, where: np.ndarray, rounds: int
     return share
 
 
+def fit_all(model: Model, own: DataFrame, seed: int) -> None:
+    """Fits the weights further on all documents of own (ids binary), in ROUNDS parts of them."""
+    shapes = {k: v.shape for k, v in model.weights.items()}
+    edges = np.cumsum([v.size for v in model.weights.values()])
+    scale = 1 << 20  # sums of whole numbers don't depend on their order
+    for r in range(ROUNDS):
+        small = replace(model, within=None, common=None, after=None, after_class=None)
+
+        def learn(batches: Iterator[pa.RecordBatch], small: Model = small) -> Iterator[pa.RecordBatch]:
+            mine, docs, n, seen = replace(small, weights={k: v.copy() for k, v in small.weights.items()}), [], 0, 0
+            for b in batches:
+                for d in b.column(0).to_pylist():
+                    docs.append(np.frombuffer(d, np.uint16))
+                    n += len(docs[-1])
+                    if n >= CHUNK:
+                        fit(mine, docs, 1, rate=RATE)
+                        docs, n, seen = [], 0, seen + n
+            fit(mine, docs, 1, rate=RATE)
+            seen += n
+            flat = np.concatenate([v.ravel() for v in mine.weights.values()]).astype(float)
+            yield _array_rows(np.r_[np.rint(flat * seen * scale), seen])
+
+        part = own.where(F.pmod(F.xxhash64("ids", F.lit(seed + 2)), F.lit(ROUNDS)) == r)
+        total = _sum_arrays(part.mapInArrow(tidy(learn), "part int, data binary"), int(edges[-1]) + 1)
+        if total[-1]:
+            mean = np.split((total[:-1] / (float(total[-1]) * scale)).astype(np.float32), edges[:-1])
+            model.weights = {k: x.reshape(shape) for (k, shape), x in zip(shapes.items(), mean, strict=True)}
+
+
 def train(tokens: DataFrame, path: str, seed: int = 7) -> Model:
     """A model of the rows of tokens (ids binary) with train set."""
     own = tokens.where("train").select("ids")
@@ -379,6 +417,7 @@ def train(tokens: DataFrame, path: str, seed: int = 7) -> Model:
     drawn = arrays(own.where(~back & draw(SAMPLE, 1.0, seed)))
     drawn = [drawn[i] for i in rng.permutation(len(drawn))]
     fit(model, drawn)
+    fit_all(model, own.where(~back), seed)
     if held:
         parts = [model.score(held[i : i + 200])[:2] for i in range(0, len(held), 200)]
         log, where = (np.concatenate([p[i] for p in parts]) for i in (0, 1))

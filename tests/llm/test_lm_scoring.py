@@ -48,3 +48,30 @@ def test_rare_products_have_no_floor(spark):
     m = lm.Model.__new__(lm.Model)
     m.words, m.share = 10, np.full(lm.SHARES, 0.5)
     assert m.mixed(np.zeros(1), np.array([-5000.0]), np.zeros(1, int))[0] == pytest.approx((-5000 + np.log(0.5)) / np.log(10))
+
+
+def test_every_id_takes_part_in_the_fit(spark, monkeypatch):
+    from pairbench.llm import lm_scoring as lm
+
+    seen, sums = [], lm._sum_arrays
+    monkeypatch.setattr(lm, "SAMPLE", 200)
+    monkeypatch.setattr(lm, "_sum_arrays", lambda df, size: seen.append(sums(df, size)) or seen[-1])
+    docs = some_docs(300, 6)
+    tokens = spark.createDataFrame([(lm.encode(t, PATH).tobytes(), i % 10 > 0) for i, t in docs], "ids binary, train boolean")
+    model = lm.train(tokens, PATH)
+    back = seen[0].sum() - sum(int(x[-1]) for x in seen[2:])
+    assert len(seen) == 2 + lm.ROUNDS and 0 <= back <= 0.2 * seen[0].sum()
+    assert sum(len(lm.encode(t, PATH)) for i, t in docs if i % 10) == seen[0].sum()
+    assert all(np.isfinite(x).all() for x in model.weights.values())
+
+
+def test_short_documents_and_tails_are_windows():
+    from pairbench.llm import lm_scoring as lm
+
+    ids = [np.arange(n) % 50 for n in (1, 5, 24, 60)]
+    m = lm.Model.__new__(lm.Model)
+    m.end, m.input, m.cls = 50, np.arange(51), np.arange(51)
+    rows, lead, target, live = lm.windows_of(m, ids)
+    assert live.sum() == sum(map(len, ids)) and len(rows) == 6
+    assert target[live].tolist() == np.concatenate(ids).tolist()
+    assert lead.tolist() == [8, 8, 8, 8, 0, 0] and rows[1, 8:13].tolist() == [50, 0, 1, 2, 3]
