@@ -4,10 +4,12 @@ A vector is represented by its LENGTH nearest of PIVOTS pivots, in order. Each p
 holds the vectors that have it among theirs, with its place in their order. A query walks the files
 of its own pivots and adds up how much each vector's places agree (the truncated footrule distance:
 sum of |place differences|, a missing pivot counts as place LENGTH). The nearest `depth` share by that
-distance (ties to the smaller id) are reranked by the exact inner product in double precision.
+distance (ties to the smaller id) are reranked by the exact inner product in double precision. Copies of a
+vector are one entry of the index: they are counted once for the depth, which is a share of all rows, and
+found together.
 
-Pivots are the first PIVOTS vectors in a hashed order of their values: a bounded sample; all vectors are
-indexed. Queries and vectors meet block by block, each block pair in one task of bounded size, and
+Pivots are the first PIVOTS distinct vectors in a hashed order of their values: a bounded sample; all vectors
+are indexed. Queries and vectors meet block by block, each block pair in one task of bounded size, and
 the block results merge by a window per query. Vectors that are null or zero, or hold null or
 non-finite components, or differ in length from the pivots, take no part; nor do null ids. Repeated
 ids are separate candidates, but none is a candidate for its own id. An empty table gives an empty
@@ -37,6 +39,12 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.nd
     """(query, id, score) of each query's best k among x."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
+    group: dict[bytes, int] = {}
+    same = np.array([group.setdefault(v.tobytes(), len(group)) for v in x + 0.0], np.int64)  # by their first ids
+    members = np.argsort(same, kind="stable")
+    size = np.bincount(same, minlength=len(group))
+    begin = np.cumsum(size) - size
+    x = x[members[begin]]
     length = min(length, len(pivots))
     _, place = places(x, pivots, length)
     files = []
@@ -44,7 +52,8 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.nd
         own = np.flatnonzero(place[:, p] < length)
         files.append((own, place[own, p].astype(np.int32)))
     near, _ = places(queries, pivots, length)
-    take = min(len(x), max(LEAST, k + 1, int(np.ceil(depth * len(x)))))
+    take = min(len(x), max(LEAST, k + 1, int(np.ceil(depth * len(ids)))))  # distinct vectors, as many as the share of all rows
+    own_rows = dict(zip(*(a.tolist() for a in np.unique(ids, return_counts=True)), strict=True))
     out_q, out_i, out_s = [], [], []
     for qid, q, own in zip(query_ids, queries, near, strict=True):
         # Footrule = a constant less what each shared pivot saves.
@@ -58,12 +67,17 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.nd
             some = np.r_[above, np.flatnonzero(saved == cut)[: take - len(above)]]
         else:
             some = np.arange(len(x))
-        some = np.sort(some[ids[some] != qid])
         score = np.einsum("ij,j->i", x[some].astype(np.float64), q.astype(np.float64))
-        best = np.lexsort((ids[some], -score))[:k]
-        out_q.append(np.full(len(best), qid))
-        out_i.append(ids[some[best]])
-        out_s.append(score[best])
+        # A vector's first rows are enough: none of the best k + all of its own id comes after them.
+        best = some[score >= np.partition(score, -most)[-most]] if len(score) > (most := k + own_rows.get(qid, 0)) else some
+        score = dict(zip(some.tolist(), score.tolist(), strict=True))
+        rows = np.concatenate([members[begin[g] : begin[g] + min(size[g], most)] for g in best])
+        value = np.repeat([score[g] for g in best.tolist()], np.minimum(size[best], most))
+        rows, value = rows[ids[rows] != qid], value[ids[rows] != qid]
+        top = np.lexsort((ids[rows], -value))[:k]
+        out_q.append(np.full(len(top), qid))
+        out_i.append(ids[rows[top]])
+        out_s.append(value[top])
     none = np.zeros(0, np.int64)
     return (np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)) if out_q else (none, none, np.zeros(0))
 
@@ -72,15 +86,22 @@ def _matrix(t: pa.Table) -> np.ndarray:
     return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(t.num_rows, -1)
 
 
+def distinct_vectors(rows: DataFrame, n: int) -> list[list[float]]:
+    """The first n vectors in the order of their hashes, each once; only hashes are compared for it."""
+    h = F.xxhash64("v").alias("h")
+    first = [r["h"] for r in rows.select(h).distinct().orderBy("h").limit(n).collect()]
+    return [r["v"] for r in rows.select(h, "v").where(F.col("h").isin(first)).groupBy("h").agg(F.min("v").alias("v")).orderBy("h").collect()] if first else []
+
+
 def nearest(df: DataFrame, query, key: str = "vec_id", vector: str = "embedding", k: int = 20, depth: float = DEPTH) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row for which `query` holds."""
     spark = df.sparkSession
     v = F.col(vector).cast("array<double>")
     rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v"), query.alias("q")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     rows = rows.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
-    drawn = rows.select("v").orderBy(F.xxhash64("v"), "v").limit(PIVOTS).collect()
-    size = max((len(r["v"]) for r in drawn), default=0)
-    pivots = np.array([r["v"] for r in drawn if len(r["v"]) == size], np.float64).reshape(-1, size)
+    drawn = distinct_vectors(rows, PIVOTS)
+    size = max(map(len, drawn), default=0)
+    pivots = np.array([v for v in drawn if len(v) == size], np.float64).reshape(-1, size)
     pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300) if size else pivots
     rows = rows.where(F.size("v") == size)
     n = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
