@@ -68,7 +68,7 @@ def _big(m: DataFrame) -> DataFrame:
 
 
 def _predict(e: DataFrame) -> DataFrame:
-    cells = e.select(F.col("vec_id").alias("v"), F.posexplode(F.slice("embedding", 1, 4)).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    cells = e.select(F.col("vec_id").alias("v"), F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
     return profiles.weighted_profile(vectors.nearest(e, 5), cells)
 
 

@@ -2,6 +2,8 @@
 
 import hashlib
 import math
+import operator
+import random
 from collections import Counter
 
 import pytest
@@ -81,3 +83,20 @@ def test_manifest_and_strands_of_whole_texts(spark, texts):
     assert got == {i: (None, None) if s is None else (len(s), hashlib.sha256(s.encode()).hexdigest()[:8]) for i, s in SEQ.items()}
     got = {r["doc_id"]: (r["seq"], r["rc"]) for r in QUERY["revcomp_palindromes"](spark, texts).collect()}
     assert got == {i: (s, None if s is None else other(s)) for i, s in SEQ.items()}
+
+
+def test_profiles_of_whole_vectors(spark, tmp_path):
+    rng = random.Random(8)
+    vectors = {i: [rng.gauss(0, 1) for _ in range(9)] for i in range(12)}
+    vectors = {i: [x / math.hypot(*v) for x in v] for i, v in vectors.items()}
+    spark.createDataFrame([(i, i % 2, v) for i, v in vectors.items()], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {}
+    for q, v in vectors.items():
+        near = sorted((-round(sum(map(operator.mul, v, vectors[j])), 5), j) for j in vectors if j != q and j % 2 == q % 2)[:5]
+        w = [max(-c, 0.0) for c, _ in near]
+        for pos in range(9):
+            x = [vectors[j][pos] for _, j in near]
+            want[q, pos] = sum(map(operator.mul, w, x)) / sum(w) if sum(w) else sum(x) / len(x)
+    got = {(r["q"], r["pos"]): r["value"] for r in QUERY["knn_predict"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=2e-5) for k in want)
