@@ -48,7 +48,7 @@ def _histogram(m: DataFrame) -> DataFrame:
 def _complete(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     cells = e.groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("cell"))
-    axes = e.select("user_id").distinct().crossJoin(F.broadcast(e.select("event_type").distinct().limit(1000)))
+    axes = e.select("user_id").distinct().crossJoin(e.select("event_type").distinct())
     return axes.join(cells, ["user_id", "event_type"], "left").select("user_id", "event_type", "cell", F.col("cell").isNull().alias("missing"))
 
 

@@ -100,3 +100,11 @@ def test_profiles_of_whole_vectors(spark, tmp_path):
     got = {(r["q"], r["pos"]): r["value"] for r in QUERY["knn_predict"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=2e-5) for k in want)
+
+
+def test_matrix_of_more_than_1000_types(spark, tmp_path):
+    rows = [(i % 3, f"t{i}", float(i)) for i in range(1203)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["user_id"], r["event_type"]): (r["cell"], r["missing"]) for r in QUERY["matrix_completeness"](spark, str(tmp_path)).collect()}
+    want = {(u, f"t{i}"): (None, True) for u in range(3) for i in range(1203)} | {(u, t): (x, False) for u, t, x in rows}
+    assert got == want
