@@ -3,9 +3,10 @@
 A document is the set of its distinct word shingles (64-bit hashes). Documents with equal sets form a
 class and are joined once. The steps:
 
-1. `profiles`: each document's set size and digest, and a sketch of how often n-grams occur: 2**20
-   counters, one for each range of hash values. The sketch gives the global order of n-grams, rare
-   before frequent, and its cuts into fragments of equal weight.
+1. `profiles`: each document's set size, digest and parity bitmap, and a sketch of how often n-grams
+   occur: 2**20 counters, one for each range of hash values. The sketch gives the global order of
+   n-grams, rare before frequent, and its cuts into fragments of equal weight. A counter too heavy for
+   one fragment is dealt to several by class; all its lists count as long.
 2. `postings`: each class's prefix in the global order (only pairs that share a prefix n-gram can
    reach the threshold) goes to its fragments, packed in arrays.
 3. `fragment`: each fragment counts the overlaps of the pairs that meet in it. N-grams with at most
@@ -13,22 +14,24 @@ class and are joined once. The steps:
    its size band, and are kept.
 4. The fragments' counts are summed per pair. A pair stays if the sum can still reach the threshold:
    of the document whose prefix ends first, every unmatched prefix n-gram is missing in the other.
-5. `overlaps`: the whole sets of the pairs left are cut into fragments again, partial overlaps are
-   counted apart and summed, and the sum decides exactly.
+5. `alike`: bitmaps that differ in more bits than the symmetric difference of a linked pair can have
+   rule a pair out; no linked pair is lost. `overlaps`: the whole sets of the pairs left are cut into
+   fragments again, partial overlaps are counted apart and summed, and the sum decides exactly.
 6. Components of the links. In ROUNDS rounds every kept list pairs its classes with a few of its largest
    component, which joins large groups of near copies. Then it gives all pairs of classes that are
    still in different components; the pairs go to
    their member in the smaller component, packed, and only those that can reach the threshold are
    sent on. All these pass through 4 and 5 (the last with complete counts), and
    the components are made again. A pair inside a component needs no check: it can't change them.
+   Lists are salted or cut into blocks by class, so that no list is a single task.
 
 So no link between components is lost, and no group of copies is expanded into its pairs. Nothing is
 capped. Broadcast are the sketch and a filter of fixed size.
 
 Null and empty texts have no shingles, link with nothing and are their own component. A text with
 fewer than k words is one shingle of the whole. Rows with a null key take no part and are returned
-with a null component. Rows that repeat a key are joined as one document each and share the key's
-component if their texts link. Extra columns are ignored; an empty table gives an empty result.
+with a null component. Rows that repeat a key are joined as one document each, so equal keys can have
+different components. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairbench.llm import scratch
@@ -51,9 +54,13 @@ ROUNDS, LEADERS = 1, 6
 FILTER_BITS = 24
 #: Prefix n-grams in one fragment, about.
 FRAGMENT = 250_000
+#: N-grams that a counter must hold for each part it is dealt to.
+HEAVY = 4 * FRAGMENT
 VERIFY_FRAGMENTS = 4
 #: Links that one task may solve.
 FINISH = 50_000
+#: Parts that a list's rows are dealt to when they meet its leaders, and rows of a list in one block.
+SALTS, BLOCK = 16, 2_000
 
 
 def sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +87,32 @@ def digests(h: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def bitmaps(h: np.ndarray, offset: np.ndarray) -> list[bytes]:
+    """For every set the parities of its hashes' last bits: 2 to 4 bits an element, a power of two."""
+    n = np.diff(offset)
+    bits = np.int64(1) << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64)
+    edge = np.zeros(len(n) + 1, np.int64)
+    np.cumsum(bits, out=edge[1:])
+    at = np.repeat(edge[:-1], n) + (h & (np.repeat(bits, n) - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=edge[-1]) & 1).astype(bool), bitorder="little").tobytes()
+    return [packed[i:j] for i, j in zip((edge[:-1] // 8).tolist(), (edge[1:] // 8).tolist(), strict=True)]
+
+
+def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many bits the bitmaps of pairs differ; the longer one is folded. Never more than the
+    elements that are in one set only."""
+    size = np.array([[len(a), len(b)] for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(size), np.int64)
+    for kind in np.unique(size, axis=0):
+        rows = np.flatnonzero((size == kind).all(1))
+        p, q = (np.frombuffer(b"".join(side[i] for i in rows), np.uint8).reshape(len(rows), -1) for side in (x, y))
+        while p.shape[1] != q.shape[1]:
+            p, q = (p, q) if p.shape[1] > q.shape[1] else (q, p)
+            p = p[:, : p.shape[1] // 2] ^ p[:, p.shape[1] // 2 :]
+        out[rows] = np.bitwise_count(p ^ q).sum(1)
+    return out
+
+
 def need(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """The least overlap with which sets of n and m reach the threshold."""
     return -(-percent * (n + m) // (100 + percent))
@@ -88,7 +121,7 @@ def need(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 class Order:
     """The global order: by level (rare first), then range of hash values, then hash."""
 
-    def __init__(self, counts: np.ndarray, fragments: int):
+    def __init__(self, counts: np.ndarray, fragments: int, heavy: int):
         mean = max(counts.mean(), 1.0)
         spread = 6 * np.sqrt(mean)  # below this a range is like any other
         self.level = np.where(counts <= mean + spread, 0, np.minimum(1 + 4 * np.log2(np.maximum(counts - mean, 1) / spread), 60)).astype(np.uint8)
@@ -96,13 +129,18 @@ class Order:
         before = np.cumsum(counts[at]) - counts[at]
         self.cut = np.empty(len(counts), np.int32)
         self.cut[at] = np.minimum(before * fragments // max(int(counts.sum()), 1), fragments - 1)
+        self.split = np.maximum(counts // heavy, 1).astype(np.int64)
 
     def key(self, h: np.ndarray) -> np.ndarray:
         place = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
         return (self.level[place].astype(np.uint64) << np.uint64(58)) | (h >> np.uint64(6))
 
-    def fragment(self, h: np.ndarray) -> np.ndarray:
-        return self.cut[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    def fragment(self, h: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """Each n-gram's fragment; negative (and one of several by class) if its counter is heavy."""
+        place = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+        parts = self.split[place]
+        part = (mix(cls.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+        return np.where(parts > 1, -(place * 4096 + part % 4096) - 1, self.cut[place])
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -110,25 +148,27 @@ def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def profiles(df: DataFrame, k: int) -> DataFrame:
-    """(id, n, d1, d2, part, counts): a row for each document, and rows with part and counts for the
-    sketch of each task."""
+    """(id, t, n, d1, d2, bits, part, counts): a row for each document, and rows with part and counts
+    for the sketch of each task. t is a hash of the text as it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int32)
-        names = ["id", "n", "d1", "d2", "part", "counts"]
+        names = ["id", "t", "n", "d1", "d2", "bits", "part", "counts"]
         for batch in batches:
             for part in chunks(batch, "text"):
                 h, offset = sets(part.column("text"), k)
                 total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total)).astype(np.int32)
                 a, b = digests(h, offset)
                 size = len(offset) - 1
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offset)), pa.array(a), pa.array(b), pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
+                own = [pa.array(np.diff(offset)), pa.array(a), pa.array(b), pa.array(bitmaps(h, offset), pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("t"), *own, pa.nulls(size, pa.int32()), pa.nulls(size, pa.binary())], names)
         lists = np.split(total, SKETCH_PARTS)
         live = [i for i, x in enumerate(lists) if x.any()]
         gone = pa.nulls(len(live), pa.int64())
-        yield pa.RecordBatch.from_arrays([gone, gone, gone, gone, pa.array(live, pa.int32()), pa.array([lists[i].tobytes() for i in live], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*[gone] * 5, pa.nulls(len(live), pa.binary()), pa.array(live, pa.int32()), pa.array([lists[i].tobytes() for i in live], pa.binary())], names)
 
-    return df.mapInArrow(tidy(run), "id long, n long, d1 long, d2 long, part int, counts binary")
+    hashed = df.select("id", F.xxhash64("text").alias("t"), "text")
+    return hashed.mapInArrow(tidy(run), "id long, t long, n long, d1 long, d2 long, bits binary, part int, counts binary")
 
 
 def sketch(profile: DataFrame) -> np.ndarray:
@@ -180,16 +220,16 @@ def postings(df: DataFrame, order, k: int, percent: int) -> DataFrame:
                 prefix = n - -(-percent * n // 100) + 1
                 use = pos < prefix[doc]
                 h, doc = h[use], doc[use]
-                frag = o.fragment(h)
+                frag = o.fragment(h, cls[doc])
                 at = np.argsort(frag, kind="stable")
                 data = np.stack([h[at], cls[doc[at]].view(np.uint64), n[doc[at]].astype(np.uint64)], 1)
                 frag = frag[at]
                 edge = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]]) if len(frag) else np.zeros(0, np.int64)
                 stop = np.r_[edge[1:], len(frag)].astype(np.int64)
                 # Columns apart: equal numbers lie side by side and compress.
-                yield pa.RecordBatch.from_arrays([pa.array(frag[edge], pa.int32()), pa.array([data[i:j].T.tobytes() for i, j in zip(edge, stop, strict=False)], pa.binary())], ["fragment", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(frag[edge], pa.int64()), pa.array([data[i:j].T.tobytes() for i, j in zip(edge, stop, strict=False)], pa.binary())], ["fragment", "data"])
 
-    return df.mapInArrow(tidy(run), "fragment int, data binary")
+    return df.mapInArrow(tidy(run), "fragment long, data binary")
 
 
 PAIRS = "a long, b long, na long, nb long, c long, star boolean, data binary"
@@ -228,14 +268,14 @@ def _batch(p: np.ndarray, star: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(p[:, i]) for i in range(5)), pa.array(np.full(len(p), star)), pa.nulls(len(p), pa.binary())], ["a", "b", "na", "nb", "c", "star", "data"])
 
 
-def _lists(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """data sorted by n-gram and class without repeats, and the begin and size of lists of two or more."""
+def _lists(data: np.ndarray, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """data sorted by n-gram and class without repeats, and the begin and size of lists of `least` or more."""
     data = data[np.lexsort((data[:, 1], data[:, 0]))]
     new = np.r_[True, (data[1:, 0] != data[:-1, 0]) | (data[1:, 1] != data[:-1, 1])] if len(data) else np.zeros(0, bool)
     data = data[new]
     begin = np.flatnonzero(np.r_[True, data[1:, 0] != data[:-1, 0]]) if len(data) else np.zeros(0, np.int64)
     size = np.diff(np.r_[begin, len(data)])
-    return data, begin[size > 1], size[size > 1]
+    return data, begin[size >= least], size[size >= least]
 
 
 def fragment(batches: Iterator[pa.RecordBatch], percent: int, small: int) -> Iterator[pa.RecordBatch]:
@@ -245,8 +285,8 @@ def fragment(batches: Iterator[pa.RecordBatch], percent: int, small: int) -> Ite
         for f, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             held.setdefault(f, []).append(np.frombuffer(d, np.uint64).reshape(3, -1).T)
     for f in list(held):
-        data, begin, size = _lists(np.concatenate(held.pop(f)))
-        few = size <= small
+        data, begin, size = _lists(np.concatenate(held.pop(f)), 2 if f >= 0 else 1)
+        few = size <= (small if f >= 0 else 0)
         first, second = _all_pairs(begin[few], size[few])
         yield _batch(_pairs(first, second, data, percent), False)
         many, long = begin[~few], size[~few]
@@ -284,13 +324,30 @@ def possible(pairs: DataFrame, percent: int, stars: float = 0.5) -> DataFrame:
     return total.where(F.col("c") >= F.when(F.col("star"), least * stars).otherwise(least)).select("a", "b", "na", "nb", "c")
 
 
+def alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb, ...) that their bitmaps leave possible, with d, the bits that differ.
+    marks: (cls, bits)."""
+    names = pairs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            d = differing(batch.column("x").to_pylist(), batch.column("y").to_pylist())
+            ok = d <= na + nb - 2 * need(na, nb, percent)
+            own = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(d)], [*names, "d"])
+            yield own.filter(pa.array(ok))
+
+    both = pairs.join(marks.toDF("a", "x"), "a").join(marks.toDF("b", "y"), "b").select(*names, "x", "y")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    return both.mapInArrow(tidy(run), f"{kinds}, d long")
+
+
 def overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(ra, rb), the least keys of the two classes, for pairs whose whole sets reach the threshold, by
-    partial overlaps of fragments. A filter of 2**24 bits tells the scan which documents are needed."""
+    """(a, b) of the pairs of classes whose whole sets reach the threshold, by partial overlaps of
+    fragments. A filter of 2**24 bits tells the scan which documents are needed. nodes: (cls, rep)."""
     spark = docs.sparkSession
-    pairs = scratch.keep(pairs.join(nodes.toDF("a", "ra"), "a").join(nodes.toDF("b", "rb"), "b").select("a", "b", "ra", "rb", "na", "nb"))
     bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    ids = pairs.select(F.col("ra").alias("id")).union(pairs.select("rb"))
+    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(nodes, "cls").select(F.col("rep").alias("id"))
     got = ids.select(F.shiftright(bit, 5).cast("int").alias("w"), (bit % 32).cast("int").alias("s")).groupBy("w").agg(F.expr("bit_or(shiftleft(cast(1 as bigint), s))").alias("b")).toArrow()
     table = np.zeros(1 << (FILTER_BITS - 5), np.int64)
     table[got.column(0).to_numpy()] = got.column(1).to_numpy()
@@ -312,17 +369,17 @@ def overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percen
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls, VERIFY_FRAGMENTS)), pa.array(np.tile(np.arange(VERIFY_FRAGMENTS, dtype=np.int32), len(cls))), pa.array(data, pa.binary())], ["cls", "f", "data"])
 
     segments = docs.select("id", "text", bit.cast("int").alias("bit")).mapInArrow(tidy(cut), "cls long, f int, data binary").groupBy("cls", "f").agg(F.max("data").alias("data"))
-    spread = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(VERIFY_FRAGMENTS - 1))).alias("f"))
+    spread = pairs.select("a", "b", "na", "nb", F.explode(F.sequence(F.lit(0), F.lit(VERIFY_FRAGMENTS - 1))).alias("f"))
     both = spread.join(segments.toDF("a", "f", "x"), ["a", "f"]).join(segments.toDF("b", "f", "y"), ["b", "f"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in ("ra", "rb", "na", "nb")), pa.array(c, pa.int64())], ["ra", "rb", "na", "nb", "c"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in ("a", "b", "na", "nb")), pa.array(c, pa.int64())], ["a", "b", "na", "nb", "c"])
 
-    partial = both.select("ra", "rb", "na", "nb", "x", "y").mapInArrow(tidy(count), "ra long, rb long, na long, nb long, c long")
-    total = partial.groupBy("ra", "rb", "na", "nb").agg(F.sum("c").alias("c"))
-    return total.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("ra", "rb")
+    partial = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(tidy(count), "a long, b long, na long, nb long, c long")
+    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
+    return total.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
 
 def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +400,7 @@ def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(x) for x in root], pa.int64())], ["id", "root"])
 
 
-def components(links: DataFrame, a: str = "ra", b: str = "rb") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp): the least id of the component of every id in links. While there are more than
     FINISH links, each round maps every node to the neighbour (or itself) that comes first in an
     order hashed anew, and contracts the links, of which a constant share goes each time. The last
@@ -372,24 +429,27 @@ def joined(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components comp after more links: only links between different ones are worked on."""
     if comp is None:
         return scratch.keep(components(links))
-    ends = links.join(comp.toDF("ra", "ca"), "ra", "left").join(comp.toDF("rb", "cb"), "rb", "left")
-    up = scratch.keep(components(ends.select(F.coalesce("ca", "ra").alias("ra"), F.coalesce("cb", "rb").alias("rb"))))
+    ends = links.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
+    up = scratch.keep(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))))
     moved = comp.join(up.toDF("comp", "to"), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
     out = scratch.keep(moved.union(up.join(comp, "id", "left_anti").select("id", "comp")))
     scratch.drop(comp, up)
     return out
 
 
-def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, comp: DataFrame | None, k: int, percent: int) -> DataFrame:
-    """The components after the pairs are decided. First each class's pair with the most shared
-    prefix n-grams; then, of the others, those whose classes are still in different components, as
-    a pair inside one can't change them. So a group of near copies costs a pair for each member."""
-    pairs = scratch.keep(pairs)
-    best = scratch.keep(pairs.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("c", "a")).alias("p")).select("p.a", "b", "p.na", "p.nb"))
+def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, marks: DataFrame, comp: DataFrame | None, k: int, percent: int) -> DataFrame:
+    """The components after the pairs are decided. First each class's pair with the most alike bitmaps;
+    then, of the others, those whose classes are still in different components, as a pair inside one
+    can't change them. So a group of near copies costs a pair for each member."""
+    counted = scratch.keep(pairs)  # its size is then known, and a small table needs no shuffle of all bitmaps
+    pairs = scratch.keep(alike(counted, marks, percent))
+    scratch.drop(counted)
+    nearest = F.struct((-F.col("d") / (F.col("na") + F.col("nb"))).alias("s"), F.col("a"))
+    best = scratch.keep(pairs.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), nearest).alias("p")).select("p.a", "b", "p.na", "p.nb"))
     comp = joined(comp, scratch.keep(overlaps(docs, best, nodes, k, percent)))
-    at = nodes.toDF("cls", "rep").join(comp.toDF("rep", "comp"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
-    left = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").join(at.toDF("a", "x"), "a").join(at.toDF("b", "y"), "b").where("x <> y").select("a", "b", "na", "nb")
-    left = scratch.keep(left)
+    of = lambda side, name: comp.toDF(side, name)
+    left = pairs.join(best.select("a", "b"), ["a", "b"], "left_anti").join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+    left = scratch.keep(left.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b", "na", "nb"))
     if not left.isEmpty():
         second = scratch.keep(overlaps(docs, left, nodes, k, percent))
         if not second.isEmpty():
@@ -398,86 +458,105 @@ def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, comp: DataFrame
     return comp
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, small: int = SMALL) -> DataFrame:
-    """(key, n_shingles, component_id) for every row; see the module's text."""
+def members(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, small: int = SMALL) -> DataFrame:
+    """(id, t, n, c, component_id): every row with a key, the hash of its text, its set size, its
+    component (null if it is empty) and the least key in there; see the module's text."""
     spark = df.sparkSession
     docs = _rows(df, key, text)
     profile = scratch.keep(profiles(docs, k))
-    own = profile.where(F.col("part").isNull()).select("id", "n", "d1", "d2")
+    own = profile.where(F.col("part").isNull()).drop("part", "counts")
     reps = own.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
     sizes = reps.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     fragments = max(2 * spark.sparkContext.defaultParallelism, int(sizes * (1 - percent / 100)) // FRAGMENT + 1)
-    order = spark.sparkContext.broadcast(Order(sketch(profile), fragments))
-    nodes = reps.groupBy("d1").agg(F.min("rep").alias("rep"))
+    order = spark.sparkContext.broadcast(Order(sketch(profile), fragments, HEAVY))
+    nodes = reps.groupBy(F.col("d1").alias("cls")).agg(F.min("rep").alias("rep"))
+    marks = own.where("n > 0").groupBy(F.col("d1").alias("cls")).agg(F.max("bits").alias("bits"))
     found = postings(docs, order, k, percent).repartition(fragments, "fragment").mapInArrow(tidy(lambda it: fragment(it, percent, small)), PAIRS)
     found = scratch.keep(found)
     pairs = found.where(F.col("a").isNotNull()).drop("data")
-    comp = verify(docs, possible(pairs, percent), nodes, None, k, percent)
+    comp = verify(docs, possible(pairs, percent), nodes, marks, None, k, percent)
     long = found.where(F.col("data").isNotNull()).select("data")
     for salt in (*range(1, ROUNDS + 1), None):
-        met = scratch.keep(meetings(long, pairs, comp, nodes, percent, fragments, salt))
+        met = scratch.keep(meetings(long, pairs, comp, percent, fragments, salt))
         if not met.isEmpty():
-            comp = verify(docs, possible(met, percent), nodes, comp, k, percent)
+            comp = verify(docs, possible(met, percent), nodes, marks, comp, k, percent)
         scratch.drop(met)
     scratch.drop(found)
-    final = reps.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("c"))
-    out = own.join(final, ["n", "d1", "d2"], "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id"))
+    final = reps.join(comp.toDF("d1", "c"), "d1", "left").select("n", "d1", "d2", "rep", F.coalesce("c", "d1").alias("c"))
+    final = final.join(final.groupBy("c").agg(F.min("rep").alias("least")), "c").select("n", "d1", "d2", "c", "least")
+    return own.join(final, ["n", "d1", "d2"], "left").select("id", "t", "n", "c", F.coalesce("least", "id").alias("component_id"))
+
+
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75, small: int = SMALL) -> DataFrame:
+    """(key, n_shingles, component_id) for every row; see the module's text."""
+    out = members(df, key, text, k, percent, small).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
     lost = df.where(F.col(key).cast("long").isNull())
     gone = lost.select(F.lit(None).cast("long").alias(key), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(gone)
 
 
-def meetings(long: DataFrame, pairs: DataFrame, comp: DataFrame, nodes: DataFrame, percent: int, fragments: int, salt: int | None) -> DataFrame:
-    """Counted pairs of classes in different components that meet in the long lists. With a salt, each
-    list gives the pairs of its other classes with LEADERS classes of its largest component: those in
-    the most lists (an original is in more lists than its altered copies), then by a hash; without, all pairs of different components, with their counts from the short lists too."""
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for d in batch.column(0).to_pylist():
+            x = np.frombuffer(d, np.int64).reshape(3, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(x[i]) for i in range(3)], ["h", "cls", "n"])
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d in batch.column(0).to_pylist():
-                x = np.frombuffer(d, np.int64).reshape(3, -1)
-                yield pa.RecordBatch.from_arrays([pa.array(x[i]) for i in range(3)], ["h", "cls", "n"])
 
-    rows = long.mapInArrow(tidy(unpack), "h long, cls long, n long")
-    # At class level first, so that the lists' rows are joined once; whether a list is mixed shows in its fragment.
+def meetings(long: DataFrame, pairs: DataFrame, comp: DataFrame, percent: int, fragments: int, salt: int | None) -> DataFrame:
+    """Counted pairs of classes in different components that meet in the long lists. With a salt, each
+    list gives the pairs of its other classes with LEADERS classes of its largest component: those in
+    the most lists (an original is in more lists than its altered copies), then by a hash; without, all
+    pairs of different components, with their counts from the short lists too."""
+    rows = long.mapInArrow(tidy(_unpack), "h long, cls long, n long")
+    # At class level first, so that the lists' rows are joined once.
     sizes = comp.groupBy("comp").agg(F.count("*").alias("size"))
-    named = nodes.toDF("cls", "rep").join(comp.toDF("rep", "comp"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
-    named = named.join(rows.groupBy("cls").agg(F.count("*").alias("met")), "cls").join(sizes, "comp", "left").select("cls", "comp", "met", F.coalesce("size", F.lit(1).cast("long")).alias("size"))
-    named = scratch.keep(named)
+    named = rows.groupBy("cls").agg(F.count("*").alias("met")).join(comp.toDF("cls", "comp"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "met")
+    named = scratch.keep(named.join(sizes, "comp", "left").select("cls", "comp", "met", F.coalesce("size", F.lit(1).cast("long")).alias("size")))
     rows = rows.join(named, "cls").select("h", "cls", "n", "comp", "met", "size")
+    # Of each list: its largest component there, whether it has several, and its rows.
+    in_list = rows.groupBy("h", "comp").agg(F.count("*").alias("c"), F.max("size").alias("size"))
+    lists = in_list.groupBy("h").agg(F.max(F.struct("c", "size", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("c").alias("rows"))
+    lists = scratch.keep(lists.where("comps > 1").select("h", F.col("top.c").alias("c"), F.col("top.comp").alias("top"), "rows"))
+    out = _leaders(rows, lists, percent, salt) if salt is not None else _partners(rows, lists, pairs, comp, sizes, percent, fragments)
+    return out
 
-    def lists(batches: Iterator[pa.RecordBatch]):
-        """Rows sorted by list, size of component, component and class; where each list begins and
-        ends; and where each row's component ends."""
-        held = [np.stack([b.column(i).to_numpy() for i in range(6)], 1) for b in batches]
-        data = np.concatenate(held) if held else np.zeros((0, 6), np.int64)
-        data = data[np.lexsort((data[:, 1], data[:, 3], data[:, 5], data[:, 0]))]
-        begin = np.flatnonzero(np.r_[True, data[1:, 0] != data[:-1, 0]])[: len(data)]
-        inner = np.r_[True, (data[1:, 0] != data[:-1, 0]) | (data[1:, 3] != data[:-1, 3])][: len(data)]
-        return data, begin, np.r_[begin[1:], len(data)][: len(begin)], np.r_[np.flatnonzero(inner)[1:], len(data)][np.cumsum(inner) - 1]
-
-    def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, begin, stop, after = lists(batches)
-        if not len(data):
-            return
-        plain = np.ascontiguousarray(data[:, :3]).view(np.uint64)
-        rank = mix(plain[:, 1] ^ np.uint64(salt))
-        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        mixed = after[begin] < stop
-        for i, j in zip(begin[mixed].tolist(), stop[mixed].tolist(), strict=True):
-            blocks = np.unique(after[i:j])
-            size = np.diff(np.r_[i, blocks])
-            top = int(size.argmax())
-            x, y = (int(blocks[top] - size[top]), int(blocks[top])) if size[top] > 1 else (i, j)
-            lead = x + np.lexsort((rank[x:y], -data[x:y, 4]))[:LEADERS]
-            others = np.r_[i:x, y:j] if size[top] > 1 else np.arange(i, j)
-            first.append(np.repeat(others, len(lead)))
-            second.append(np.tile(lead, len(others)))
-        yield _batch(_pairs(np.concatenate(first), np.concatenate(second), plain, percent), True)
+
+def _leaders(rows: DataFrame, lists: DataFrame, percent: int, salt: int) -> DataFrame:
+    inside = (F.col("c") == 1) | (F.col("comp") == F.col("top"))
+    mixed = rows.join(lists.drop("rows"), "h")
+    first = Window.partitionBy("h").orderBy(F.desc("met"), F.xxhash64("cls", F.lit(salt)), "cls")
+    lead = mixed.where(inside).withColumn("r", F.row_number().over(first)).where(F.col("r") <= LEADERS).select("h", F.col("cls").alias("lead"), F.col("n").alias("nl"))
+    lead = lead.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    others = mixed.where((F.col("c") == 1) | (F.col("comp") != F.col("top"))).select("h", "cls", "n", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int").alias("part"))
+    met = others.join(lead, ["h", "part"]).where(F.col("cls") != F.col("lead")).where(100 * F.least("n", "nl") >= percent * F.greatest("n", "nl"))
+    swap = F.col("cls") > F.col("lead")
+    of = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
+    met = met.select("h", of("cls", "lead").alias("a"), of("lead", "cls").alias("b"), of("n", "nl").alias("na"), of("nl", "n").alias("nb")).distinct()
+    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).withColumn("star", F.lit(True))
+
+
+def _partners(rows: DataFrame, lists: DataFrame, pairs: DataFrame, comp: DataFrame, sizes: DataFrame, percent: int, fragments: int) -> DataFrame:
+    most = lists.agg(F.coalesce(F.max("rows"), F.lit(0))).first()[0]  # no list has more classes
+    blocks = int(most) // 200_000 + 1
+    kind = "x long, nx long, block long, y binary, ny binary"
+    # A list of more than BLOCK rows is cut into blocks by class; each two blocks meet in a cell of their own.
+    cut = F.floor(F.col("rows") / BLOCK) + 1
+    mine = F.pmod(F.xxhash64("cls"), F.col("cut"))
+    cell = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("cut") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j"))))
+    dealt = rows.join(lists.select("h", cut.alias("cut")), "h").withColumn("own", mine).select("h", "cls", "n", "comp", "size", "own", cell.alias("at"))
+    dealt = dealt.select("h", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "size", "comp", "cls", "n", "own")
 
     def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each row the classes of larger components in its list, packed, in blocks by class."""
-        data, begin, stop, after = lists(batches)
+        """For each row the classes of larger components in its cell, packed, in blocks by class; in a
+        cell of two blocks only classes of the other block."""
+        held = [np.stack([b.column(i).to_numpy() for i in range(8)], 1) for b in batches]
+        data = np.concatenate(held) if held else np.zeros((0, 8), np.int64)
+        data = data[np.lexsort([data[:, i] for i in (5, 4, 3, 2, 1, 0)])]
+        new = (data[1:] != data[:-1])[:, :3].any(1)
+        inner = np.r_[True, new | (data[1:, 4] != data[:-1, 4])][: len(data)]
+        begin = np.flatnonzero(np.r_[True, new])[: len(data)]
+        stop = np.r_[begin[1:], len(data)][: len(begin)]
+        after = np.r_[np.flatnonzero(inner)[1:], len(data)][np.cumsum(inner) - 1]
         last = np.repeat(stop, stop - begin) if len(data) else after
         out: list[list] = [[], [], [], [], []]
 
@@ -489,14 +568,16 @@ def meetings(long: DataFrame, pairs: DataFrame, comp: DataFrame, nodes: DataFram
 
         weight = 0
         for i in np.flatnonzero(after < last).tolist():
-            y, ny = data[after[i] : last[i], 1], data[after[i] : last[i], 2]
-            n = data[i, 2]
+            y, ny = data[after[i] : last[i], 5], data[after[i] : last[i], 6]
+            n = data[i, 6]
             fits = 100 * np.minimum(n, ny) >= percent * np.maximum(n, ny)
+            if data[i, 1] != data[i, 2]:
+                fits &= data[after[i] : last[i], 7] != data[i, 7]
             y, ny = y[fits], ny[fits]
             for block in np.unique(y % blocks).tolist() if blocks > 1 else [0]:
                 own = y % blocks == block if blocks > 1 else slice(None)
                 if len(y[own]):
-                    for c, v in zip(out, (data[i, 1], n, block, y[own].tobytes(), ny[own].tobytes()), strict=True):
+                    for c, v in zip(out, (data[i, 5], n, block, y[own].tobytes(), ny[own].tobytes()), strict=True):
                         c.append(v)
                     weight += len(y)
             if weight > 500_000:
@@ -525,16 +606,13 @@ def meetings(long: DataFrame, pairs: DataFrame, comp: DataFrame, nodes: DataFram
             packed = [[np.repeat(v[i], c[i]).tobytes() for i in range(len(c))] for v in (y, ny)]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), *(pa.array(v, pa.binary()) for v in packed)], ["x", "nx", "block", "y", "ny"])
 
-    if salt is not None:
-        return rows.repartition(fragments, "h").mapInArrow(tidy(leaders), PAIRS).drop("data")
-    most = named.groupBy().agg(F.count("*")).first()[0]  # no list has more classes
-    blocks = int(most) // 200_000 + 1
-    kind = "x long, nx long, block long, y binary, ny binary"
-    sent = rows.repartition(fragments, "h").mapInArrow(tidy(partners), kind)
-    # The same pairs' counts from the short lists, so that the sums are complete.
-    full = nodes.toDF("cls", "rep").join(comp.toDF("rep", "comp"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp")).join(sizes, "comp", "left")
-    full = full.select("cls", F.struct(F.coalesce("size", F.lit(1).cast("long")).alias("size"), "comp").alias("at"))
-    met = pairs.where(~F.col("star")).join(full.toDF("a", "at_a"), "a").join(full.toDF("b", "at_b"), "b").where("at_a.comp <> at_b.comp")
+    sent = dealt.repartition(fragments, "h", "i", "j").mapInArrow(tidy(partners), kind)
+    # The same pairs' counts from the short lists, so that the sums are complete. Only pairs of classes
+    # that met in a mixed list can have a part there.
+    full = comp.join(sizes, "comp").select(F.col("id").alias("cls"), F.struct("size", "comp").alias("at"))
+    alone = lambda c: F.struct(F.lit(1).cast("long").alias("size"), F.col(c).alias("comp"))
+    met = pairs.where(~F.col("star")).join(full.toDF("a", "at_a"), "a", "left").join(full.toDF("b", "at_b"), "b", "left")
+    met = met.withColumn("at_a", F.coalesce("at_a", alone("a"))).withColumn("at_b", F.coalesce("at_b", alone("b"))).where("at_a.comp <> at_b.comp")
     one = F.col("at_a") < F.col("at_b")
     of = lambda p, q: F.when(one, F.col(p)).otherwise(F.col(q))
     met = met.select(of("a", "b").alias("x"), of("na", "nb").alias("nx"), of("b", "a").alias("y"), of("nb", "na").alias("ny"), "c")
@@ -543,12 +621,21 @@ def meetings(long: DataFrame, pairs: DataFrame, comp: DataFrame, nodes: DataFram
 
 
 def one_each(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """df without near duplicates: of each component the rows with its least key stay, and of equal
-    rows among them one. Rows with a null key stay."""
-    got = scratch.keep(join(df, key, text, k, percent))
-    losers = got.where(F.col(key) != F.col("component_id")).select(key).distinct()
-    out = df.join(losers, key, "left_anti").select(df.columns)
-    twice = scratch.keep(got.groupBy(key).count().where("count > 1").select(key))
+    """df without near duplicates: of each component its first row (by key, then by a hash of the text)
+    stays, and of equal rows one. Rows with a null key stay. Decided per row: of rows that repeat a key,
+    a text that links with nothing stays whatever its namesakes do."""
+    got = scratch.keep(members(df, key, text, k, percent))
+    first = got.where(F.col("c").isNotNull()).groupBy("c").agg(F.min(F.struct("id", "t")).alias("w"))
+    stays = got.join(first, "c", "left").select("id", "t", (F.col("c").isNull() | (F.struct("id", "t") == F.col("w"))).alias("stays"))
+    stays = scratch.keep(stays.groupBy("id").agg(F.count("*").alias("rows"), F.bool_or("stays").alias("any")).join(stays.where("stays").distinct(), "id", "left"))
+    at, mark = (next(n for n in (name + "_" * i for i in range(len(df.columns) + 1)) if n not in df.columns) for name in ("key", "mark"))
+    long = F.col(key).cast("long")
+    out = df.join(stays.where("rows = 1 AND NOT any").select(F.col("id").alias(at)), long == F.col(at), "left_anti")
+    twice = stays.where("rows > 1").select(F.col("id").alias(at), F.col("t").alias(mark))
     if twice.isEmpty():
         return out
-    return out.join(twice, key, "left_anti").select(df.columns).unionByName(out.join(twice, key, "left_semi").dropDuplicates([key, text]).select(df.columns))
+    keys = twice.select(at).distinct()
+    text_hash = F.xxhash64(F.col(text).cast("string"))
+    many = out.join(twice, (long == F.col(at)) & (text_hash == F.col(mark)), "left_semi")
+    kept = many.withColumn(mark, text_hash).dropDuplicates([key, mark]).select(df.columns)
+    return out.join(keys, long == F.col(at), "left_anti").select(df.columns).unionByName(kept)

@@ -74,10 +74,7 @@ def components(docs):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("small", [1, 16])
-def test_jaccard_join_equals_brute_force(spark, small):
-    from pairbench.llm.ngram_join import join
-
+def near_copies():
     rng = random.Random(3)
     base = [rng.choices("abcdefghij", k=60) for _ in range(6)]
     docs = []
@@ -86,11 +83,49 @@ def test_jaccard_join_equals_brute_force(spark, small):
         for _ in range(rng.randint(0, 3)):
             w[rng.randrange(60)] = "zz"
         docs.append((i, " ".join(w)))
-    docs += [(900, None), (901, ""), (902, "x y"), (903, "X  y")]
-    got = join(spark.createDataFrame(docs, "doc_id long, text string"), small=small).collect()
+    return docs + [(900, None), (901, ""), (902, "x y"), (903, "X  y")]
+
+
+@pytest.mark.parametrize(("small", "heavy", "block"), [(1, 10**6, 2000), (16, 10**6, 2000), (1, 20, 5)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, small, heavy, block):
+    """Also with counters dealt by class and lists cut into blocks."""
+    from pairbench.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "HEAVY", heavy)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    docs = near_copies()
+    got = ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string"), small=small).collect()
     assert {r[0]: (r[1], r[2]) for r in got} == components(docs)
 
 
+def test_bitmaps_never_exceed_the_symmetric_difference():
+    from pairbench.llm.ngram_join import bitmaps, differing
+
+    rng = np.random.default_rng(5)
+    pairs = []
+    for _ in range(300):
+        n, m, c = rng.integers(1, 200), rng.integers(1, 200), rng.integers(0, 200)
+        both = rng.integers(0, 2**63, c)
+        pairs.append((np.unique(np.r_[both, rng.integers(0, 2**63, n)]).astype(np.uint64), np.unique(np.r_[both, rng.integers(0, 2**63, m)]).astype(np.uint64)))
+    marks = [bitmaps(np.concatenate(side), np.cumsum([0, *map(len, side)])) for side in zip(*pairs, strict=True)]
+    assert (differing(*marks) <= [len(np.setxor1d(x, y)) for x, y in pairs]).all()
+
+
+def test_one_each_keeps_one_of_every_component_and_other_texts_of_its_keys(spark):
+    from pairbench.llm.ngram_join import one_each
+
+    docs = near_copies()
+    want = {i for i, (_, c) in components(docs).items() if i == c}
+    got = one_each(spark.createDataFrame([(i, t, 7, "x") for i, t in docs], "doc_id long, text string, n long, t string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted(want) and set(got[0].asDict()) == {"doc_id", "text", "n", "t"}
+    a, b = "one two three four five six seven", "another text that links with none of them"
+    rows = [(5, a), (5, b), (5, b), (9, a.upper()), (None, a), (None, a), (7, None), (7, None), (8, "")]
+    got = one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got)
+    assert kept == sorted([(-1, a), (-1, a), (5, a), (5, b), (7, ""), (8, "")])
+    assert one_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_decontamination_equals_brute_force():
     from collections import Counter
 
