@@ -26,7 +26,7 @@ class and are joined once. The steps:
    Lists are salted or cut into blocks by class, so that no list is a single task.
 
 So no link between components is lost, and no group of copies is expanded into its pairs. Nothing is
-capped. Broadcast are the sketch and a filter of fixed size.
+capped. Broadcast are the sketch and filters of fixed size.
 
 Null and empty texts have no shingles, link with nothing and are their own component. A text with
 fewer than k words is one shingle of the whole. Rows with a null key take no part and are returned
@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairbench.llm import scratch
@@ -60,7 +60,7 @@ VERIFY_FRAGMENTS = 4
 #: Links that one task may solve.
 FINISH = 50_000
 #: Parts that a list's rows are dealt to when they meet its leaders, and rows of a list in one block.
-SALTS, BLOCK = 16, 2_000
+SALTS, BLOCK = 16, 1_000
 
 
 def sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -324,6 +324,18 @@ def possible(pairs: DataFrame, percent: int, stars: float = 0.5) -> DataFrame:
     return total.where(F.col("c") >= F.when(F.col("star"), least * stars).otherwise(least)).select("a", "b", "na", "nb", "c")
 
 
+def sieve(df: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
+    """df with `hit`: false only where the key is certainly not in ids (one long column). A filter of
+    2**24 bits, so at most 2**19 rows are broadcast; no row of df is shuffled."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    own = ids.toDF("id").select(F.shiftright(bit(F.col("id")), 5).cast("int").alias("word"), (bit(F.col("id")) % 32).cast("int").alias("s"))
+    table = own.groupBy("word").agg(F.expr("bit_or(shiftleft(cast(1 as bigint), s))").alias("b"))
+    word, b = (next(n for n in (name + "_" * i for i in range(len(df.columns) + 1)) if n not in df.columns) for name in ("word", "b"))
+    out = df.join(F.broadcast(table.toDF(word, b)), F.shiftright(bit(key), 5).cast("int") == F.col(word), "left")
+    hit = F.coalesce(F.col(b).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), (bit(key) % 32).cast("int"))) != 0, F.lit(False))
+    return out.select(*[df[c] for c in df.columns], hit.alias("hit"))
+
+
 def alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb, ...) that their bitmaps leave possible, with d, the bits that differ.
     marks: (cls, bits)."""
@@ -337,27 +349,20 @@ def alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
             own = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(d)], [*names, "d"])
             yield own.filter(pa.array(ok))
 
-    both = pairs.join(marks.toDF("a", "x"), "a").join(marks.toDF("b", "y"), "b").select(*names, "x", "y")
+    of = lambda side: sieve(marks, F.col("cls"), pairs.select(side)).where("hit").select("cls", "bits")
+    both = pairs.join(of("a").toDF("a", "x"), "a").join(of("b").toDF("b", "y"), "b").select(*names, "x", "y")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
     return both.mapInArrow(tidy(run), f"{kinds}, d long")
 
 
 def overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b) of the pairs of classes whose whole sets reach the threshold, by partial overlaps of
-    fragments. A filter of 2**24 bits tells the scan which documents are needed. nodes: (cls, rep)."""
-    spark = docs.sparkSession
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(nodes, "cls").select(F.col("rep").alias("id"))
-    got = ids.select(F.shiftright(bit, 5).cast("int").alias("w"), (bit % 32).cast("int").alias("s")).groupBy("w").agg(F.expr("bit_or(shiftleft(cast(1 as bigint), s))").alias("b")).toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 5), np.int64)
-    table[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    shared = spark.sparkContext.broadcast(table.astype(np.uint32).tobytes())
+    fragments; a sieve tells the scan which documents are needed. nodes: (cls, rep)."""
+    ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(nodes, "cls").select("rep")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        live = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").astype(bool)
         border = np.arange(VERIFY_FRAGMENTS + 1).astype(np.float64) * (2.0**64 / VERIFY_FRAGMENTS)
         for batch in batches:
-            batch = batch.filter(pa.array(live[batch.column("bit").to_numpy()]))
             for part in chunks(batch, "text"):
                 h, offset = sets(part.column("text"), k)
                 cls = digests(h, offset)[0]
@@ -368,7 +373,8 @@ def overlaps(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, k: int, percen
                     data += [h[x:y].tobytes() for x, y in zip(edge, edge[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cls, VERIFY_FRAGMENTS)), pa.array(np.tile(np.arange(VERIFY_FRAGMENTS, dtype=np.int32), len(cls))), pa.array(data, pa.binary())], ["cls", "f", "data"])
 
-    segments = docs.select("id", "text", bit.cast("int").alias("bit")).mapInArrow(tidy(cut), "cls long, f int, data binary").groupBy("cls", "f").agg(F.max("data").alias("data"))
+    needed = sieve(docs, F.col("id"), ids).where("hit").select("text")
+    segments = needed.mapInArrow(tidy(cut), "cls long, f int, data binary").groupBy("cls", "f").agg(F.max("data").alias("data"))
     spread = pairs.select("a", "b", "na", "nb", F.explode(F.sequence(F.lit(0), F.lit(VERIFY_FRAGMENTS - 1))).alias("f"))
     both = spread.join(segments.toDF("a", "f", "x"), ["a", "f"]).join(segments.toDF("b", "f", "y"), ["b", "f"])
 
@@ -526,13 +532,22 @@ def _leaders(rows: DataFrame, lists: DataFrame, percent: int, salt: int) -> Data
     mixed = rows.join(lists.drop("rows"), "h")
     first = Window.partitionBy("h").orderBy(F.desc("met"), F.xxhash64("cls", F.lit(salt)), "cls")
     lead = mixed.where(inside).withColumn("r", F.row_number().over(first)).where(F.col("r") <= LEADERS).select("h", F.col("cls").alias("lead"), F.col("n").alias("nl"))
+    lead = lead.groupBy("h").agg(F.collect_list(F.struct("lead", "nl")).alias("leads"))  # LEADERS at most
     lead = lead.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     others = mixed.where((F.col("c") == 1) | (F.col("comp") != F.col("top"))).select("h", "cls", "n", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int").alias("part"))
-    met = others.join(lead, ["h", "part"]).where(F.col("cls") != F.col("lead")).where(100 * F.least("n", "nl") >= percent * F.greatest("n", "nl"))
-    swap = F.col("cls") > F.col("lead")
-    of = lambda p, q: F.when(swap, F.col(q)).otherwise(F.col(p))
-    met = met.select("h", of("cls", "lead").alias("a"), of("lead", "cls").alias("b"), of("n", "nl").alias("na"), of("nl", "n").alias("nb")).distinct()
-    return met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).withColumn("star", F.lit(True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leads = batch.column("leads").combine_chunks() if isinstance(batch.column("leads"), pa.ChunkedArray) else batch.column("leads")
+            flat = leads.flatten()
+            size = np.diff(leads.offsets.to_numpy())
+            own = [np.repeat(batch.column(c).to_numpy(), size) for c in ("cls", "n")]
+            far = [flat.field(c).to_numpy() for c in ("lead", "nl")]
+            m = len(flat)
+            both = np.stack([np.zeros(2 * m, np.int64), np.r_[own[0], far[0]], np.r_[own[1], far[1]]], 1).view(np.uint64)
+            yield _batch(_pairs(np.arange(m), np.arange(m, 2 * m), both, percent), True)
+
+    return others.join(lead, ["h", "part"]).select("cls", "n", "leads").mapInArrow(tidy(run), PAIRS).drop("data")
 
 
 def _partners(rows: DataFrame, lists: DataFrame, pairs: DataFrame, comp: DataFrame, sizes: DataFrame, percent: int, fragments: int) -> DataFrame:
@@ -630,7 +645,10 @@ def one_each(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     stays = scratch.keep(stays.groupBy("id").agg(F.count("*").alias("rows"), F.bool_or("stays").alias("any")).join(stays.where("stays").distinct(), "id", "left"))
     at, mark = (next(n for n in (name + "_" * i for i in range(len(df.columns) + 1)) if n not in df.columns) for name in ("key", "mark"))
     long = F.col(key).cast("long")
-    out = df.join(stays.where("rows = 1 AND NOT any").select(F.col("id").alias(at)), long == F.col(at), "left_anti")
+    losers = stays.where("rows = 1 AND NOT any").select(F.col("id").alias(at))
+    # Only rows that the sieve can't clear are joined, so the text of most documents is never shuffled.
+    flagged = sieve(df, long, losers)
+    out = flagged.where("NOT hit").select(df.columns).unionByName(flagged.where("hit").select(df.columns).join(losers, long == F.col(at), "left_anti"))
     twice = stays.where("rows > 1").select(F.col("id").alias(at), F.col("t").alias(mark))
     if twice.isEmpty():
         return out
