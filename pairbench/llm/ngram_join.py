@@ -338,7 +338,7 @@ def sieve(df: DataFrame, key: Column, ids: DataFrame) -> DataFrame:
 
 def alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb, ...) that their bitmaps leave possible, with d, the bits that differ.
-    marks: (cls, bits)."""
+    marks: (cls, bits) of every document."""
     names = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +349,7 @@ def alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
             own = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(d)], [*names, "d"])
             yield own.filter(pa.array(ok))
 
-    of = lambda side: sieve(marks, F.col("cls"), pairs.select(side)).where("hit").select("cls", "bits")
+    of = lambda side: sieve(marks, F.col("cls"), pairs.select(side)).where("hit").groupBy("cls").agg(F.max("bits"))
     both = pairs.join(of("a").toDF("a", "x"), "a").join(of("b").toDF("b", "y"), "b").select(*names, "x", "y")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
     return both.mapInArrow(tidy(run), f"{kinds}, d long")
@@ -476,7 +476,7 @@ def members(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     fragments = max(2 * spark.sparkContext.defaultParallelism, int(sizes * (1 - percent / 100)) // FRAGMENT + 1)
     order = spark.sparkContext.broadcast(Order(sketch(profile), fragments, HEAVY))
     nodes = reps.groupBy(F.col("d1").alias("cls")).agg(F.min("rep").alias("rep"))
-    marks = own.where("n > 0").groupBy(F.col("d1").alias("cls")).agg(F.max("bits").alias("bits"))
+    marks = own.where("n > 0").select(F.col("d1").alias("cls"), "bits")
     found = postings(docs, order, k, percent).repartition(fragments, "fragment").mapInArrow(tidy(lambda it: fragment(it, percent, small)), PAIRS)
     found = scratch.keep(found)
     pairs = found.where(F.col("a").isNotNull()).drop("data")
