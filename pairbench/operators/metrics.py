@@ -46,10 +46,17 @@ def average_rank(part: list[str], value: str) -> Column:
     return F.rank().over(Window.partitionBy(*part).orderBy(value)) + (tied - 1) / 2.0
 
 
+def pearson(x: str, y: str) -> Column:
+    """Pearson's r as an aggregate; NULL without variance on either side."""
+    a, b, n = F.col(x), F.col(y), F.count(F.col(x) + F.col(y))
+    cov = F.sum(a * b) - F.try_divide(F.sum(a) * F.sum(b), n)
+    spread = (F.sum(a * a) - F.try_divide(F.sum(a) * F.sum(a), n)) * (F.sum(b * b) - F.try_divide(F.sum(b) * F.sum(b), n))
+    return F.when((F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.try_divide(cov, F.sqrt(F.greatest(spread, F.lit(0.0)))))
+
+
 def spearman(df: DataFrame, g: str, x: str, y: str) -> DataFrame:
     ranked = df.select(g, average_rank([g], x).alias("rx"), average_rank([g], y).alias("ry"))
-    many = (F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry"))
-    return ranked.groupBy(g).agg(F.when(many, F.round(F.corr("rx", "ry"), 5)).alias("rho"))
+    return ranked.groupBy(g).agg(F.round(pearson("rx", "ry"), 5).alias("rho"))
 
 
 def macro(df: DataFrame, g: str) -> DataFrame:

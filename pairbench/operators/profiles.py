@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from pairbench.operators import metrics
 
 
-def suppression(cells: DataFrame, entity: str, group: str, site: str, value: str) -> DataFrame:
-    """Of the sites where the group's reference (its least entity) lies above its own mean, the share
-    that an entity ranks strictly lower in its own profile; NULL without such sites."""
-    own = cells.select(
-        F.col(group).alias("g"), F.col(entity).alias("e"), F.col(site).alias("site"), metrics.average_rank([entity], value).alias("rank"),
-        (F.col(value) > F.avg(value).over(Window.partitionBy(entity))).alias("high"),
-    )
+def suppression(cells: DataFrame, entity: str, group: str, site: str, value: str, label: str) -> DataFrame:
+    """Of the sites that the group's reference (its least entity) binds (label 1), the share that an
+    entity ranks strictly lower in its own profile over all sites; NULL without such sites."""
+    own = cells.select(F.col(group).alias("g"), F.col(entity).alias("e"), F.col(site).alias("site"), metrics.average_rank([entity], value).alias("rank"), (F.col(label) == 1).alias("bound"))
     refs = own.groupBy("g").agg(F.min("e").alias("ref"))
-    ref = own.join(refs, "g").where("e = ref").select("g", "site", F.col("rank").alias("ref_rank"), "high")
-    both = own.drop("high").join(ref, ["g", "site"])
-    share = F.count_if(F.col("high") & (F.col("rank") < F.col("ref_rank"))) / F.nullif(F.count_if("high"), F.lit(0))
+    ref = own.join(refs, "g").where("e = ref").select("g", "site", F.col("rank").alias("ref_rank"), "bound")
+    both = own.drop("bound").join(ref, ["g", "site"])
+    share = F.count_if(F.col("bound") & (F.col("rank") < F.col("ref_rank"))) / F.nullif(F.count_if("bound"), F.lit(0))
     return both.groupBy(F.col("e").alias(entity)).agg(F.round(share, 6).alias("suppression"))
 
 
@@ -27,11 +24,11 @@ def power(m: DataFrame, *keys: str) -> DataFrame:
     return m.groupBy(*keys).agg(F.round(F.sum(F.col("score") + 0.5), 6).alias("power"))
 
 
-def power_ratio(m: DataFrame) -> DataFrame:
-    """Each entity's power over that of its cluster's most powerful entity; NULL if that is not positive."""
+def power_ratio(m: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Each entity's power over that of its cluster's reference; NULL if that is not positive."""
     p = power(m, "cluster", "entity")
-    ref = p.groupBy("cluster").agg(F.max("power").alias("top"))
-    return p.join(ref, "cluster").select("cluster", "entity", F.when(F.col("top") > 0, F.round(F.col("power") / F.col("top"), 6)).alias("ratio"))
+    ref = inventory.select("cluster", F.col("reference").alias("entity")).join(p, ["cluster", "entity"]).select("cluster", F.col("power").alias("ref"))
+    return p.join(ref, "cluster").select("cluster", "entity", F.when(F.col("ref") > 0, F.round(F.col("power") / F.col("ref"), 6)).alias("ratio"))
 
 
 def expected_count(m: DataFrame, g: str) -> DataFrame:
@@ -60,10 +57,10 @@ def audit(m: DataFrame) -> DataFrame:
 
 
 def noise(pairs: DataFrame) -> DataFrame:
-    """Noise floor of replicate pairs: median Jaccard, pooled agreement, pairs under 0.2."""
+    """Noise floor of replicate pairs: medians, pooled agreement on hard calls, flagged pairs."""
     return pairs.agg(
-        F.count("*").alias("n_pairs"), F.round(F.median("jaccard"), 6).alias("median_jaccard"), F.count_if(F.col("jaccard") < 0.2).alias("n_low"),
-        F.round(1 - F.sum("n_differ") / F.nullif(F.sum("n_hard"), F.lit(0)), 6).alias("agreement"),
+        F.count("*").alias("n_pairs"), F.round(F.median("jaccard"), 6).alias("median_jaccard"), F.round(F.median("rho"), 5).alias("median_rho"),
+        F.count_if("low_jaccard").alias("n_low_jaccard"), F.count_if("low_rho").alias("n_low_rho"), F.round(1 - F.sum("n_differ") / F.nullif(F.sum("n_hard"), F.lit(0)), 6).alias("agreement"),
     )
 
 

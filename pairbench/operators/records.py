@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairbench.operators import metrics
+
 
 def summary(m: DataFrame) -> DataFrame:
     return m.groupBy("entity", "source").agg(
@@ -43,9 +45,11 @@ def source_summary(m: DataFrame) -> DataFrame:
 
 
 def inventory(m: DataFrame) -> DataFrame:
+    """One row for each cluster; its reference is the entity with the fewest edits, then the least."""
     return m.groupBy("cluster").agg(
         F.min("family").alias("first_family"), F.count_distinct("entity").alias("n_entities"), F.count_distinct("source").alias("n_sources"), F.count("*").alias("n_rows"),
-        F.min_by("entity", F.struct(F.col("score"), F.col("entity"))).alias("reference"), F.count_distinct(F.when(F.col("label") == 1, F.col("entity"))).alias("n_positive_entities"),
+        F.min_by("entity", F.struct("n_mut", "entity")).alias("reference"), F.max("n_mut").alias("max_edits"),
+        F.count_distinct(F.when(F.col("n_mut") > 1, F.col("entity"))).alias("n_variants"), F.count_distinct(F.when(F.col("label") == 1, F.col("entity"))).alias("n_positive_entities"),
     )
 
 
@@ -61,13 +65,23 @@ def replicate_reconcile(m: DataFrame) -> DataFrame:
 
 
 def replicate_pairs(m: DataFrame) -> DataFrame:
-    """Agreement of two sources on the entities and replicates they share."""
-    one = m.groupBy("entity", "source", "replicate").agg(F.max("label").alias("label"))
-    a, b = (one.select("entity", "replicate", F.col("source").alias(f"source_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
+    """Agreement of each two sources of an entity on the places (slots) that both measured: places in
+    common, hard calls on both sides, differing ones, Jaccard of positives, Spearman of scores, and
+    flags for Jaccard under 0.2 and rho under 0.3. Only entities with two sources are paired."""
+    one = m.groupBy("entity", "source", "slot").agg(F.when(F.min("label") == F.max("label"), F.min("label")).otherwise(-1).alias("label"), F.round(F.avg("score"), 6).alias("score"))
+    many = m.groupBy("entity").agg(F.count_distinct("source").alias("n")).where("n > 1").select("entity")
+    one = one.join(many, "entity", "left_semi")
+    a, b = (one.select("entity", "slot", *[F.col(c).alias(f"{c}_{x}") for c in ("source", "label", "score")]) for x in "ab")
+    pairs = a.join(b, ["entity", "slot"]).where("source_a < source_b")
+    key = ["entity", "source_a", "source_b"]
+    rank = [metrics.average_rank(key, c).alias(r) for c, r in (("score_a", "ra"), ("score_b", "rb"))]
     hard = (F.col("label_a") != -1) & (F.col("label_b") != -1)
     both, some = F.count_if(hard & (F.col("label_a") + F.col("label_b") == 2)), F.count_if(hard & (F.col("label_a") + F.col("label_b") >= 1))
-    pairs = a.join(b, ["entity", "replicate"]).where("source_a < source_b").groupBy("entity", "source_a", "source_b")
-    return pairs.agg(F.count("*").alias("n_common"), F.count_if(hard).alias("n_hard"), F.count_if(hard & (F.col("label_a") != F.col("label_b"))).alias("n_differ"), F.round(both / F.nullif(some, F.lit(0)), 6).alias("jaccard"))
+    out = pairs.select("*", *rank).groupBy(key).agg(
+        F.count("*").alias("n_common"), F.count_if(hard).alias("n_hard"), F.count_if(hard & (F.col("label_a") != F.col("label_b"))).alias("n_differ"),
+        F.round(both / F.nullif(some, F.lit(0)), 6).alias("jaccard"), F.round(metrics.pearson("ra", "rb"), 5).alias("rho"),
+    )
+    return out.withColumn("low_jaccard", F.col("jaccard") < 0.2).withColumn("low_rho", F.col("rho") < 0.3)
 
 
 def pair_ids(m: DataFrame) -> DataFrame:

@@ -1,40 +1,117 @@
-"""Vectors: cosine edges in families, components, medoids, k-nearest lookup, pooling."""
+"""Vectors: cosine edges in families, components, medoids, k-nearest lookup, pooling.
+
+Pairs of a family are never a row join: a family is cut into blocks of vectors, and each two blocks
+meet in a task of their own as one matrix product, which sends on only what the operator keeps (edges,
+sums, or each vector's best). Vectors that are null, or have no length, have no cosine.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BLOCK = 1024
+Emit = Callable[[pa.Table, pa.Table, np.ndarray, bool], pa.Table]
+
+
+def products(e: DataFrame, group: str, key: str, vector: str, emit: Emit, schema: str, block: int = BLOCK) -> DataFrame:
+    """What `emit` makes of each two blocks of a group. It is given both blocks' rows, their cosines
+    (rounded to 5 places) and whether the two are one block."""
+    parts = e.groupBy(group).agg(F.floor(F.count("*") / block).alias("_parts"))
+    own = e.where(F.exists(vector, lambda x: x != 0)).join(parts, group).withColumn("_own", F.pmod(F.xxhash64(key), F.col("_parts") + 1))
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_parts")), lambda j: F.struct(F.least("_own", j).alias("i"), F.greatest("_own", j).alias("j")))
+    dealt = own.withColumn("_at", F.explode(meet)).withColumn("_i", F.col("_at.i")).withColumn("_j", F.col("_at.j")).drop("_at", "_parts")
+
+    def unit(t: pa.Table) -> np.ndarray:
+        rows = t.column(vector).combine_chunks()
+        x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
 
-def dot(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    def run(t: pa.Table) -> pa.Table:
+        i, j = t.column("_i")[0].as_py(), t.column("_j")[0].as_py()
+        side = t.column("_own").to_numpy()
+        a = t.filter(pa.array(side == i)).sort_by(key)
+        b = a if i == j else t.filter(pa.array(side == j)).sort_by(key)
+        return emit(a, b, np.round(unit(a) @ unit(b).T, 5) + 0.0 if len(a) and len(b) else np.zeros((len(a), len(b))), i == j)
 
+    return dealt.groupBy(group, "_i", "_j").applyInArrow(run, schema)
 
-def family_pairs(e: DataFrame) -> DataFrame:
-    """All pairs i < j of one family with their cosine (vectors have unit norm)."""
-    a = e.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("x"))
-    b = e.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
-    return a.join(b, "label").where("i < j").select("label", "i", "j", F.round(dot("x", "y"), 5).alias("cosine"))
+
+def _directed(e: DataFrame, emit: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], schema: str) -> DataFrame:
+    """`emit` sees every vector of a family with each block of the others: ids, the others' ids, cosines
+    (NaN with itself)."""
+
+    def run(a: pa.Table, b: pa.Table, c: np.ndarray, same: bool) -> pa.Table:
+        x, y = a.column("vec_id").to_numpy(), b.column("vec_id").to_numpy()
+        if same:
+            c = np.where(x[:, None] == y[None, :], np.nan, c)
+        got = [emit(x, y, c)] + ([] if same else [emit(y, x, c.T)])
+        label = a.column("label")[0].as_py() if len(a) else b.column("label")[0].as_py() if len(b) else None
+        cols = {k: np.concatenate([g[k] for g in got]) for k in got[0]}
+        return pa.table({"label": pa.array([label] * len(next(iter(cols.values()))), pa.int32()), **cols})
+
+    return products(e.select(F.col("label").cast("int").alias("label"), "vec_id", "embedding"), "label", "vec_id", "embedding", run, schema)
 
 
 def edges(e: DataFrame, least: float) -> DataFrame:
-    return family_pairs(e).where(F.col("cosine") >= least)
+    """(label, i, j, cosine): pairs i < j of a family with at least this cosine."""
+
+    def emit(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> dict:
+        p, q = np.nonzero((c >= least) & (x[:, None] < y[None, :]))
+        return {"i": x[p], "j": y[q], "cosine": c[p, q]}
+
+    return _directed(e, emit, "label int, i long, j long, cosine double")
 
 
 def medoids(e: DataFrame) -> DataFrame:
-    p = family_pairs(e)
-    both = p.select("label", F.col("i").alias("v"), "cosine").union(p.select("label", F.col("j").alias("v"), "cosine"))
-    total = both.groupBy("label", "v").agg(F.round(F.sum(1 - F.col("cosine")), 4).alias("distance"))
-    first = F.row_number().over(Window.partitionBy("label").orderBy("distance", "v"))
-    return total.withColumn("r", first).where("r = 1").select("label", F.col("v").alias("medoid"), "distance")
+    """Each family's vector with the least sum of distances, ties to the lower id."""
 
+    def emit(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> dict:
+        return {"v": x, "d": np.nansum(1 - c, axis=1), "n": (~np.isnan(c)).sum(1)}
+
+    total = _directed(e, emit, "label int, v long, d double, n long").groupBy("label", "v").agg(F.round(F.sum("d"), 4).alias("distance"), F.sum("n").alias("n")).where("n > 0")
+    best = F.min(F.struct("distance", "v")).alias("m")
+    return total.groupBy("label").agg(best).select("label", F.col("m.v").alias("medoid"), F.col("m.distance").alias("distance"))
+
+
+def nearest(e: DataFrame, k: int, eligible: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(label, q, v, cosine, rank): each vector's k most similar of its family, ties to the lower id; at
+    most k a block leave a task. `eligible` masks pairs by their ids."""
+
+    def emit(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> dict:
+        c = np.where(np.isnan(c) | (~eligible(x, y) if eligible else False), -np.inf, c)
+        top = np.argsort(-c, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(x)), top.shape[1])
+        best = c[row, top.ravel()]
+        ok = best > -np.inf
+        return {"q": x[row[ok]], "v": y[top.ravel()[ok]], "cosine": best[ok]}
 
-def nearest(e: DataFrame, k: int) -> DataFrame:
-    """Each vector's k most similar of its family, ties to the lower id."""
-    p = family_pairs(e)
-    both = p.select(F.col("i").alias("q"), F.col("j").alias("v"), "cosine").union(p.select(F.col("j").alias("q"), F.col("i").alias("v"), "cosine"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "v"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k)
+    return _directed(e, emit, "label int, q long, v long, cosine double").withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def farther_share(e: DataFrame) -> DataFrame:
+    """(q, farther): of a vector's relatives but its family's medoid, the share farther than the medoid."""
+    home = e.join(medoids(e), "label").select("label", "vec_id", "embedding", "medoid")
+
+    def run(a: pa.Table, b: pa.Table, c: np.ndarray, same: bool) -> pa.Table:
+        def emit(t: pa.Table, u: pa.Table, m: np.ndarray) -> dict:
+            x, y, centre = t.column("vec_id").to_numpy(), u.column("vec_id").to_numpy(), t.column("medoid").to_numpy()
+            p, q = np.nonzero(x[:, None] != y[None, :])
+            return {"q": x[p], "cosine": m[p, q], "mine": y[q] == centre[p]}
+
+        got = [emit(a, b, c)] + ([] if same else [emit(b, a, c.T)])
+        return pa.table({k: np.concatenate([g[k] for g in got]) for k in got[0]})
+
+    own = F.max(F.when(F.col("mine"), F.col("cosine")))
+    pairs = products(home, "label", "vec_id", "embedding", run, "q long, cosine double, mine boolean").groupBy("q", "cosine").agg(F.count("*").alias("n"), F.bool_or("mine").alias("mine"))
+    to = Window.partitionBy("q")
+    both = pairs.withColumn("own", own.over(to)).where(F.col("own").isNotNull())
+    return both.groupBy("q").agg(F.round(F.sum(F.when(F.col("cosine") < F.col("own"), F.col("n")).otherwise(0)) / F.nullif(F.sum("n") - 1, F.lit(0)), 6).alias("farther"))
 
 
 def pool(e: DataFrame) -> DataFrame:

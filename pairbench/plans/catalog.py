@@ -25,11 +25,19 @@ RUNS = M + """, o AS (SELECT source, score, sum(label) AS h, count(*) AS n FROM
 AP = "round(sum(h / nullif(tot, 0) * hits / rows_), 6)"
 AUC = "round((sum(h * (all_ - rows_ + (n + 1) / 2.0)) - max(tot) * (max(tot) + 1) / 2.0) / nullif(max(tot) * (max(all_) - max(tot)), 0), 6)"
 PAIRS = """p AS (
-  SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 5) AS cosine
+  SELECT a.label, a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"""
+REPLICATES = """o AS (SELECT entity, source, slot, CASE WHEN min(label) = max(label) THEN min(label) ELSE -1 END AS label, round(avg(score), 6) AS score FROM m GROUP BY ALL),
+      q AS (SELECT a.entity, a.source AS source_a, b.source AS source_b, a.label AS x, b.label AS y, a.score AS s, b.score AS t, a.label <> -1 AND b.label <> -1 AS hard
+        FROM o a JOIN o b ON a.entity = b.entity AND a.slot = b.slot AND a.source < b.source),
+      k AS (SELECT *, rank() OVER (PARTITION BY entity, source_a, source_b ORDER BY s) + (count(*) OVER (PARTITION BY entity, source_a, source_b, s) - 1) / 2.0 AS ra,
+        rank() OVER (PARTITION BY entity, source_a, source_b ORDER BY t) + (count(*) OVER (PARTITION BY entity, source_a, source_b, t) - 1) / 2.0 AS rb FROM q),
+      p AS (SELECT entity, source_a, source_b, count(*) AS n_common, count(*) FILTER (hard) AS n_hard, count(*) FILTER (hard AND x <> y) AS n_differ,
+        round(count(*) FILTER (hard AND x + y = 2) / nullif(count(*) FILTER (hard AND x + y >= 1), 0), 6) AS jaccard,
+        CASE WHEN min(ra) < max(ra) AND min(rb) < max(rb) THEN round(corr(ra, rb), 5) END AS rho FROM k GROUP BY ALL)"""
 BOTH = PAIRS + ", b AS (SELECT label, i AS q, j AS v, cosine FROM p UNION ALL SELECT label, j, i, cosine FROM p)"
 DRAW = "sha256('{}:' || {}::VARCHAR)"
-DNA = """d AS (SELECT doc_id, substr(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 60) AS seq FROM documents)"""
+DNA = """d AS (SELECT doc_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents)"""
 RC = "translate(reverse({}), 'ACGT', 'TGCA')"
 
 
@@ -112,12 +120,10 @@ CATALOG: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]]
     ("merge_resolve", _m(records.survivors), f"WITH {RESOLVED} SELECT entity, source, cluster, family, n_rows, n_pos, max_score, in_series FROM r WHERE rank = 1"),
     ("merge_survivor_rows", _m(lambda m: records.surviving_rows(m).groupBy("source").agg(F.count("*").alias("n"))), f"WITH {RESOLVED} SELECT source, count(*) AS n FROM m WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rank > 1 AND r.entity = m.entity AND r.source = m.source) GROUP BY source"),
     ("duplicate_records", _m(lambda m: records.summary(m).groupBy("entity").agg(F.count("*").alias("n")).where("n > 1")), f"WITH {SUMMARY} SELECT entity, count(*) AS n FROM s GROUP BY entity HAVING count(*) > 1"),
-    ("cluster_inventory", _m(records.inventory), f"WITH {M} SELECT cluster, min(family) AS first_family, count(DISTINCT entity) AS n_entities, count(DISTINCT source) AS n_sources, count(*) AS n_rows, (array_agg(entity ORDER BY score, entity))[1] AS reference, count(DISTINCT entity) FILTER (label = 1) AS n_positive_entities FROM m GROUP BY cluster"),
+    ("cluster_inventory", _m(records.inventory), f"WITH {M} SELECT cluster, min(family) AS first_family, count(DISTINCT entity) AS n_entities, count(DISTINCT source) AS n_sources, count(*) AS n_rows, (array_agg(entity ORDER BY n_mut, entity))[1] AS reference, max(n_mut) AS max_edits, count(DISTINCT entity) FILTER (n_mut > 1) AS n_variants, count(DISTINCT entity) FILTER (label = 1) AS n_positive_entities FROM m GROUP BY cluster"),
     ("family_dominance", _m(records.dominance), f"WITH {M}, n AS (SELECT family, count(*) AS n FROM m GROUP BY family) SELECT family, n, round(n / sum(n) OVER (), 6) AS share, round(n / sum(n) OVER (), 6) > 0.01 AS dominant FROM n"),
     ("replicate_reconcile", _m(records.replicate_reconcile), f"WITH {M} SELECT entity, source, site, CASE WHEN min(label) = max(label) THEN min(label) ELSE -1 END AS label, round(avg(score), 6) AS score, count(*) AS n_replicates FROM m GROUP BY entity, source, site"),
-    ("replicate_pairs", _m(records.replicate_pairs), f"""WITH {M}, o AS (SELECT entity, source, replicate, max(label) AS label FROM m GROUP BY ALL),
-      p AS (SELECT a.entity, a.source AS source_a, b.source AS source_b, a.label AS x, b.label AS y, a.label <> -1 AND b.label <> -1 AS hard FROM o a JOIN o b ON a.entity = b.entity AND a.replicate = b.replicate AND a.source < b.source)
-      SELECT entity, source_a, source_b, count(*) AS n_common, count(*) FILTER (hard) AS n_hard, count(*) FILTER (hard AND x <> y) AS n_differ, round(count(*) FILTER (hard AND x + y = 2) / nullif(count(*) FILTER (hard AND x + y >= 1), 0), 6) AS jaccard FROM p GROUP BY ALL"""),
+    ("replicate_pairs", _m(records.replicate_pairs), f"WITH {M}, {REPLICATES} SELECT *, jaccard < 0.2 AS low_jaccard, rho < 0.3 AS low_rho FROM p"),
     ("pair_ids", _m(records.pair_ids), f"WITH {M} SELECT substr(sha256(entity::VARCHAR || chr(31) || source::VARCHAR || chr(31) || site::VARCHAR || chr(31) || replicate), 1, 24) AS pair_id, count(*) AS n FROM m GROUP BY 1"),
     ("schema_checks", _m(records.checks), f"WITH {M} SELECT 'label' AS \"check\", count(*) FILTER (label NOT IN (-1, 0, 1)) AS n_rows FROM m UNION ALL SELECT 'family_upper', count(*) FILTER (family <> upper(family)) FROM m UNION ALL SELECT 'replicate', count(*) FILTER (replicate NOT IN ('O', 'F')) FROM m"),
     ("score_histogram", _m(_histogram), f"WITH {M} SELECT least(floor((score + 0.5) / 0.025), 39)::BIGINT AS bin, count(*) AS n FROM m GROUP BY 1"),
@@ -139,10 +145,10 @@ CATALOG: list[tuple[str, Callable[[SparkSession, str], DataFrame], str | None]]
     ("matrix_completeness", _complete, "WITH c AS (SELECT user_id, event_type, round(avg(value), 6) AS cell FROM events GROUP BY ALL), u AS (SELECT DISTINCT user_id FROM events), t AS (SELECT DISTINCT event_type FROM events) SELECT u.user_id, t.event_type, cell, cell IS NULL AS missing FROM u CROSS JOIN t LEFT JOIN c ON c.user_id = u.user_id AND c.event_type = t.event_type"),
     ("cosine_edges", _e(lambda e: vectors.edges(e, 0.25)), f"WITH {PAIRS} SELECT * FROM p WHERE cosine >= 0.25"),
     ("medoids", _e(vectors.medoids), f"WITH {BOTH}, t AS (SELECT label, q AS v, round(sum(1 - cosine), 4) AS distance FROM b GROUP BY ALL) SELECT label, v AS medoid, distance FROM t QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, v) = 1"),
-    ("knn_topk", _e(lambda e: vectors.nearest(e, 5)), f"WITH {BOTH}, k AS (SELECT q, v, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, v) AS rank FROM b) SELECT * FROM k WHERE rank <= 5"),
+    ("knn_topk", _e(lambda e: vectors.nearest(e, 5).drop("label")), f"WITH {BOTH}, k AS (SELECT q, v, cosine, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, v) AS rank FROM b) SELECT * FROM k WHERE rank <= 5"),
     ("vector_mean_pool", _e(vectors.pool), "WITH c AS (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding) AS x FROM embeddings) SELECT label, pos, round(avg(x::DOUBLE), 6) AS mean FROM c GROUP BY ALL"),
     ("cobinding_overlap", lambda s, d: windows.overlapping(events(s, d), "event_type", "start", 301), "WITH e AS (SELECT DISTINCT event_type AS g, (epoch_us(ts) // 1000000)::BIGINT AS s FROM events) SELECT g, s FROM e WHERE EXISTS (SELECT 1 FROM e x WHERE x.g <> e.g AND abs(x.s - e.s) < 301)"),
-    ("revcomp_palindromes", lambda s, d: sequences(s, d).select("doc_id", "seq", windows.reverse_complement(F.col("seq")).alias("rc")), f"WITH {DNA} SELECT doc_id, seq, {RC.format('seq')} AS rc FROM d WHERE length(seq) >= 60"),
+    ("revcomp_palindromes", lambda s, d: sequences(s, d).select("doc_id", "seq", windows.reverse_complement(F.col("seq")).alias("rc")), f"WITH {DNA} SELECT doc_id, seq, {RC.format('seq')} AS rc FROM d"),
     ("kmer_vocabulary", lambda s, d: windows.kmers(sequences(s, d), "seq", 6), f"WITH {DNA}, w AS (SELECT unnest(list_transform(range(1, length(seq) - 4), lambda i: substr(seq, i, 6))) AS w FROM d WHERE length(seq) >= 6) SELECT least(w, {RC.format('w')}) AS kmer, count(*) AS n, count(*) FILTER (w = {RC.format('w')}) AS n_palindromes FROM w GROUP BY 1"),
     ("balanced_entity_folds", lambda s, d: splits.balanced_folds(table(s, d, "part"), "p_partkey", 5, "folds"), f"SELECT p_partkey, ntile(5) OVER (ORDER BY {DRAW.format('folds', 'p_partkey')}, p_partkey) AS fold FROM (SELECT DISTINCT p_partkey FROM part)"),
     ("fold_variant_fraction", lambda s, d: splits.variant_fraction(table(s, d, "part"), "p_brand", "p_partkey", 0.2, "variants"), f"SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY {DRAW.format('variants', 'p_partkey')}, p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM (SELECT DISTINCT p_brand, p_partkey FROM part)) WHERE r <= greatest(1, round_even(n * 0.2, 0))"),

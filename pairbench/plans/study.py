@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairbench.functions.text import ALIASES, alias, first_path
 from pairbench.operators import alignment, components, metrics, motifs, profiles, records, splits, vectors
-from pairbench.plans.catalog import AP, BOTH, DNA, PAIRS, RC, RESOLVED, RUNS, VERDICTS, M, sequences
+from pairbench.plans.catalog import AP, BOTH, DNA, PAIRS, RC, REPLICATES, RESOLVED, RUNS, VERDICTS, M, sequences
 from pairbench.sources import sinks
 from pairbench.sources.tables import measurements, table
 
@@ -22,13 +22,16 @@ MOTIFS = {
 }
 WIDTH, SPAN, NEAR = 6, 20, 0.25
 
-INV = "i AS (SELECT cluster, count(DISTINCT entity) AS n_entities, (array_agg(entity ORDER BY score, entity))[1] AS reference FROM m GROUP BY cluster)"
+INV = "i AS (SELECT cluster, count(DISTINCT entity) AS n_entities, (array_agg(entity ORDER BY n_mut, entity))[1] AS reference FROM m GROUP BY cluster)"
 CELLS = "c AS (SELECT user_id, user_id % 10 AS g, event_type, round(avg(value), 6) AS cell FROM events GROUP BY ALL)"
 SCAN = f"""{DNA}, w AS (SELECT 'rise' AS motif, {MOTIFS["rise"]}::DOUBLE[] AS w UNION ALL SELECT 'fall', {MOTIFS["fall"]}::DOUBLE[]),
-  t AS (SELECT doc_id, seq, motif, w FROM d CROSS JOIN w WHERE length(seq) >= {WIDTH} UNION ALL SELECT doc_id, {RC.format("seq")}, motif, w FROM d CROSS JOIN w WHERE length(seq) >= {WIDTH}),
-  o AS (SELECT doc_id, motif, unnest(list_transform(range(1, length(seq) - {WIDTH - 2}), lambda a: list_sum(list_transform(range(0, {WIDTH}), lambda i: w[i * 4 + strpos('ACGT', substr(seq, a + i, 1))])))) AS x FROM t),
+  l AS (SELECT unnest(['A', 'C', 'G', 'T']) AS b), mers AS (SELECT {" || ".join(f"l{i}.b" for i in range(WIDTH))} AS k FROM {", ".join(f"l l{i}" for i in range(WIDTH))}),
+  weighed AS (SELECT motif, k, list_sum(list_transform(range(0, {WIDTH}), lambda i: w[i * 4 + strpos('ACGT', substr(k, i + 1, 1))])) AS x FROM mers CROSS JOIN w),
+  c AS (SELECT doc_id, unnest(list_transform(range(1, length(seq) - {WIDTH - 2}), lambda a: substr(seq, a, {WIDTH}))) AS k FROM d WHERE length(seq) >= {WIDTH}),
+  n AS (SELECT doc_id, k, {RC.format("k")} AS rc, count(*) AS n FROM c GROUP BY ALL),
+  o AS (SELECT doc_id, motif, x, n FROM n JOIN weighed s ON s.k = n.k UNION ALL SELECT doc_id, motif, x, n FROM n JOIN weighed s ON s.k = n.rc),
   b AS (SELECT doc_id, motif, max(x) AS top FROM o GROUP BY ALL),
-  z AS (SELECT doc_id, motif, round(any_value(top), 5) AS best, round(any_value(top) + ln(sum(exp(x - top))), 5) AS total FROM o JOIN b USING (doc_id, motif) GROUP BY ALL)"""
+  z AS (SELECT doc_id, motif, round(any_value(top), 5) AS best, round(any_value(top) + ln(sum(n * exp(x - top))), 5) AS total FROM o JOIN b USING (doc_id, motif) GROUP BY ALL)"""
 ALIAS_SQL = "CASE lower(trim(regexp_replace({0}, '\\s+', ' ', 'g')))" + "".join(f" WHEN '{k}' THEN '{v}'" for k, v in ALIASES.items()) + " ELSE lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))) END"
 
 
@@ -48,7 +51,7 @@ def _detection(m: DataFrame) -> DataFrame:
 
 def _suppression(s: SparkSession, d: str) -> DataFrame:
     cells = table(s, d, "events").groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("cell")).withColumn("g", F.col("user_id") % 10)
-    return profiles.suppression(cells, "user_id", "g", "event_type", "cell")
+    return profiles.suppression(cells.withColumn("label", F.when(F.col("cell") > 60, 1).otherwise(0)), "user_id", "g", "event_type", "cell", "label")
 
 
 def _hard_summary(m: DataFrame) -> DataFrame:
@@ -72,14 +75,6 @@ def _predict(e: DataFrame) -> DataFrame:
     return profiles.weighted_profile(vectors.nearest(e, 5), cells)
 
 
-def _displacement(e: DataFrame) -> DataFrame:
-    """Share of a vector's other relatives that are farther from it than its family's medoid."""
-    p = vectors.family_pairs(e)
-    both = p.select("label", F.col("i").alias("q"), F.col("j").alias("v"), "cosine").union(p.select("label", F.col("j").alias("q"), F.col("i").alias("v"), "cosine"))
-    to = both.join(vectors.medoids(e).select("label", F.col("medoid").alias("v")), ["label", "v"]).select("q", F.col("cosine").alias("mine"))
-    return both.join(to, "q").groupBy("q").agg(F.round(F.count_if(F.col("cosine") < F.col("mine")) / F.nullif(F.count("*") - 1, F.lit(0)), 6).alias("farther"))
-
-
 def _cyclic(e: DataFrame) -> DataFrame:
     """A donor for each vector of a family, never itself if there is another: the next id, in a ring."""
     w = Window.partitionBy("label")
@@ -134,25 +129,22 @@ def _component_folds(s: SparkSession, d: str) -> DataFrame:
 
 CATALOG: list[tuple[str, Query, str | None]] = [
     ("interaction_power", _m(lambda m: profiles.power(m, "source")), f"WITH {M} SELECT source, round(sum(score + 0.5), 6) AS power FROM m GROUP BY source"),
-    ("power_ratio", _m(profiles.power_ratio), f"WITH {M}, p AS (SELECT cluster, entity, round(sum(score + 0.5), 6) AS power FROM m GROUP BY ALL) SELECT cluster, entity, CASE WHEN max(power) OVER (PARTITION BY cluster) > 0 THEN round(power / max(power) OVER (PARTITION BY cluster), 6) END AS ratio FROM p"),
+    ("power_ratio", _m(lambda m: profiles.power_ratio(m, records.inventory(m))), f"WITH {M}, {INV}, p AS (SELECT cluster, entity, round(sum(score + 0.5), 6) AS power FROM m GROUP BY ALL) SELECT p.cluster, p.entity, CASE WHEN f.power > 0 THEN round(p.power / f.power, 6) END AS ratio FROM p JOIN i USING (cluster) JOIN p f ON f.cluster = p.cluster AND f.entity = i.reference"),
     ("expected_count_calls", _m(lambda m: profiles.expected_count(m, "source")), f"WITH {M}, p AS (SELECT source, score + 0.5 AS p, round_even(round(sum(score + 0.5) OVER (PARTITION BY source), 6), 0)::BIGINT AS k, row_number() OVER (PARTITION BY source ORDER BY score DESC) AS r FROM m) SELECT source, k, CASE WHEN k <= 0 THEN 'Infinity'::DOUBLE ELSE coalesce(max(p) FILTER (r = k), min(p)) END AS cutoff FROM p GROUP BY source, k"),
     ("ece", _m(lambda m: metrics.ece(m, F.col("score") + 0.5)), f"WITH {M}, b AS (SELECT score + 0.5 AS p, label, ntile(15) OVER (ORDER BY score) AS bin FROM m WHERE label <> -1), g AS (SELECT count(*) AS n, abs(avg(p) - avg(label)) AS gap FROM b GROUP BY bin) SELECT round(sum(n * gap) / sum(n), 6) AS ece FROM g"),
     ("detection_auroc", _m(_detection), f"WITH {M}, q AS (SELECT cluster, entity, source, round(-sum(score + 0.5), 6) AS score, count(*) FILTER (label = 1) = 0 AS dead FROM m GROUP BY ALL), k AS (SELECT cluster, dead, rank() OVER (PARTITION BY cluster ORDER BY score) + (count(*) OVER (PARTITION BY cluster, score) - 1) / 2.0 AS r FROM q) SELECT cluster, round((coalesce(sum(r) FILTER (dead), 0) - count(*) FILTER (dead) * (count(*) FILTER (dead) + 1) / 2.0) / nullif(count(*) FILTER (dead) * count(*) FILTER (NOT dead), 0), 6) AS auroc FROM k GROUP BY cluster"),
-    ("suppression", _suppression, f"WITH {CELLS}, k AS (SELECT user_id, g, event_type, rank() OVER (PARTITION BY user_id ORDER BY cell) + (count(*) OVER (PARTITION BY user_id, cell) - 1) / 2.0 AS r, cell > avg(cell) OVER (PARTITION BY user_id) AS high, min(user_id) OVER (PARTITION BY g) AS ref FROM c) SELECT a.user_id, round(count(*) FILTER (b.high AND a.r < b.r) / nullif(count(*) FILTER (b.high), 0), 6) AS suppression FROM k a JOIN k b ON b.user_id = a.ref AND b.event_type = a.event_type GROUP BY a.user_id"),
+    ("suppression", _suppression, f"WITH {CELLS}, k AS (SELECT user_id, g, event_type, rank() OVER (PARTITION BY user_id ORDER BY cell) + (count(*) OVER (PARTITION BY user_id, cell) - 1) / 2.0 AS r, cell > 60 AS high, min(user_id) OVER (PARTITION BY g) AS ref FROM c) SELECT a.user_id, round(count(*) FILTER (b.high AND a.r < b.r) / nullif(count(*) FILTER (b.high), 0), 6) AS suppression FROM k a JOIN k b ON b.user_id = a.ref AND b.event_type = a.event_type GROUP BY a.user_id"),
     ("site_summary", _m(profiles.site_summary), f"WITH {M} SELECT site, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, count(*) FILTER (label = -1) AS n_nocall, max(score) AS max_score FROM m GROUP BY site"),
     ("audit_invariants", _m(profiles.audit), f"WITH {M} SELECT source, min(score) < -0.5 AS under, max(score) > 0.5 AS over, min(score) > -0.3 AS no_low, abs(median(score)) > 0.1 AS off_centre, avg((label = 1)::INT) > 0.05 AS many_positives, count(DISTINCT site) AS n_sites FROM m GROUP BY source"),
-    ("noise_floor", _m(lambda m: profiles.noise(records.replicate_pairs(m))), f"""WITH {M}, o AS (SELECT entity, source, replicate, max(label) AS label FROM m GROUP BY ALL),
-      p AS (SELECT a.entity, a.source AS x, b.source AS y, count(*) FILTER (a.label <> -1 AND b.label <> -1) AS n_hard, count(*) FILTER (a.label <> -1 AND b.label <> -1 AND a.label <> b.label) AS n_differ,
-        round(count(*) FILTER (a.label = 1 AND b.label = 1) / nullif(count(*) FILTER (a.label <> -1 AND b.label <> -1 AND a.label + b.label >= 1), 0), 6) AS jaccard FROM o a JOIN o b ON a.entity = b.entity AND a.replicate = b.replicate AND a.source < b.source GROUP BY ALL)
-      SELECT count(*) AS n_pairs, round(median(jaccard), 6) AS median_jaccard, count(*) FILTER (jaccard < 0.2) AS n_low, round(1 - sum(n_differ) / nullif(sum(n_hard), 0), 6) AS agreement FROM p"""),
+    ("noise_floor", _m(lambda m: profiles.noise(records.replicate_pairs(m))), f"WITH {M}, {REPLICATES} SELECT count(*) AS n_pairs, round(median(jaccard), 6) AS median_jaccard, round(median(rho), 5) AS median_rho, count(*) FILTER (jaccard < 0.2) AS n_low_jaccard, count(*) FILTER (rho < 0.3) AS n_low_rho, round(1 - sum(n_differ) / nullif(sum(n_hard), 0), 6) AS agreement FROM p"),
     ("pair_id_duplicates", _m(lambda m: records.pair_ids(m).where("n > 1").agg(F.count("*").alias("n_ids"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))), f"WITH {M}, p AS (SELECT count(*) AS n FROM m GROUP BY entity, source, site, replicate HAVING count(*) > 1) SELECT count(*) AS n_ids, coalesce(sum(n), 0)::BIGINT AS n_rows FROM p"),
     ("clusters_with_at_least_k", _m(_big), f"WITH {M} SELECT cluster, count(*) AS n_rows FROM m GROUP BY cluster HAVING count(DISTINCT entity) >= 5"),
     ("entity_view", _m(lambda m: profiles.entity_view(records.survivors(m), records.inventory(m))), f"WITH {RESOLVED}, {INV} SELECT entity, source, cluster, reference <> entity AS is_variant, coalesce(n_entities, 1) AS n_entities FROM r LEFT JOIN i USING (cluster) WHERE rank = 1"),
     ("reference_rows", _m(lambda m: profiles.reference_rows(records.survivors(m), records.inventory(m))), f"WITH {M}, {INV}, e AS (SELECT cluster, entity, row_number() OVER (PARTITION BY cluster ORDER BY entity) AS row FROM (SELECT DISTINCT cluster, entity FROM m)) SELECT e.entity, e.row::INT AS row, CASE WHEN f.entity = e.entity THEN -1 ELSE coalesce(f.row, -1) END::INT AS reference_row FROM e LEFT JOIN i USING (cluster) LEFT JOIN e f ON f.cluster = e.cluster AND f.entity = i.reference"),
     ("hard_set_summary", _m(_hard_summary), f"WITH {VERDICTS} SELECT cluster, count(*) AS n, count(*) FILTER (verdict <> 'ok') AS n_silent FROM v GROUP BY cluster"),
     ("per_group_deltas", _m(_deltas), f"WITH {RUNS}, a AS (SELECT source, {AP} AS ap FROM r GROUP BY source), q AS (SELECT source, abs(score) AS score, sum(label) AS h, count(*) AS n FROM m WHERE label <> -1 GROUP BY source, abs(score)), u AS (SELECT *, sum(h) OVER d AS hits, sum(n) OVER d AS rows_, sum(h) OVER e AS tot FROM q WINDOW d AS (PARTITION BY source ORDER BY score DESC ROWS UNBOUNDED PRECEDING), e AS (PARTITION BY source)), b AS (SELECT source, {AP} AS base_ap FROM u GROUP BY source) SELECT source, ap, base_ap, round(ap - base_ap, 6) AS delta FROM a JOIN b USING (source)"),
-    ("knn_predict", _e(_predict), f"WITH {BOTH}, k AS (SELECT q, v, greatest(cosine, 0.0) AS w FROM b QUALIFY row_number() OVER (PARTITION BY q ORDER BY cosine DESC, v) <= 5), x AS (SELECT vec_id AS v, unnest(range(4)) AS pos, unnest(embedding[1:4])::DOUBLE AS x FROM embeddings) SELECT q, pos::INT AS pos, round(coalesce(sum(w * x) / nullif(sum(w), 0), avg(x)), 5) AS value FROM k JOIN x USING (v) GROUP BY q, pos"),
-    ("displacement_rank", _e(_displacement), f"WITH {BOTH}, t AS (SELECT label, q AS v, round(sum(1 - cosine), 4) AS distance FROM b GROUP BY ALL), c AS (SELECT label, v FROM t QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, v) = 1), o AS (SELECT b.q, b.cosine AS mine FROM b JOIN c ON b.label = c.label AND b.v = c.v) SELECT q, round(count(*) FILTER (cosine < mine) / nullif(count(*) - 1, 0), 6) AS farther FROM b JOIN o USING (q) GROUP BY q"),
+    ("knn_predict", _e(_predict), f"WITH {BOTH}, k AS (SELECT q, v, greatest(cosine, 0.0) AS w FROM b QUALIFY row_number() OVER (PARTITION BY q ORDER BY cosine DESC, v) <= 5), x AS (SELECT vec_id AS v, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT q, pos::INT AS pos, round(coalesce(sum(w * x) / nullif(sum(w), 0), avg(x)), 5) AS value FROM k JOIN x USING (v) GROUP BY q, pos"),
+    ("displacement_rank", _e(vectors.farther_share), f"WITH {BOTH}, t AS (SELECT label, q AS v, round(sum(1 - cosine), 4) AS distance FROM b GROUP BY ALL), c AS (SELECT label, v FROM t QUALIFY row_number() OVER (PARTITION BY label ORDER BY distance, v) = 1), o AS (SELECT b.q, b.cosine AS mine FROM b JOIN c ON b.label = c.label AND b.v = c.v) SELECT q, round(count(*) FILTER (cosine < mine) / nullif(count(*) - 1, 0), 6) AS farther FROM b JOIN o USING (q) GROUP BY q"),
     ("ablate_cyclic", _e(_cyclic), "SELECT vec_id, label, coalesce(lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id), min(vec_id) OVER (PARTITION BY label)) AS donor FROM embeddings"),
     ("family_components", _components, f"WITH RECURSIVE {PAIRS}, l AS (SELECT i AS a, j AS b FROM p WHERE cosine >= {NEAR} UNION ALL SELECT j, i FROM p WHERE cosine >= {NEAR}), r(id, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.seen) SELECT id, min(seen) AS component FROM r GROUP BY id"),
     ("pwm_scan", _scan, f"WITH {SCAN} SELECT * FROM z"),
