@@ -13,13 +13,16 @@ adverts, forms or comments. The field sees more than those names, so it also dec
 missing.
 
 Character references are decoded once, white space in a block becomes one space. Null and empty pages
-give empty text. Unclosed and stray tags are allowed. Pages are read whole; extra columns are ignored.
+give empty text. Unclosed and stray tags are allowed. Pages are read whole. Extra columns are passed
+through, but `text` and `n_chars`, which give way to the results; rows that repeat are each extracted; an
+empty table gives an empty result (and a field without weights).
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,64 +38,131 @@ BLOCK = frozenset(
 )
 OUTSIDE = frozenset("nav header footer aside form dialog menu button".split())
 OUTSIDE_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|menu|nav\w*|footer|header|comments?|cookie\w*|consent|notice|popup|share|social|related|newsletter|subscribe|breadcrumbs?|login|search)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OPEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+ATTRIBUTE = re.compile(r"[^>\"']*")
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: An end tag that is implied when another of these begins.
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 
+class Node:
+    """An open element: its tag, its class, id and role in lower case, and the element around it. What
+    all elements around it give to the features is kept, so deep nesting costs nothing a block."""
+
+    __slots__ = ("inside", "marks", "names", "outside", "parent", "tag")
+
+    def __init__(self, tag: str, names: str, parent: Node | None):
+        self.tag, self.names, self.parent = tag, names, parent
+        own = frozenset([f"in={tag}", *(f"name={x}" for x in re.split(r"[\s_-]+", names) if x)])
+        odd = bool(names and OUTSIDE_NAME.search(names))
+        if odd:
+            own |= {"name=outside"}
+        self.marks: frozenset[str] = own if parent is None else parent.marks if own <= parent.marks else parent.marks | own
+        self.inside = tag in ("article", "main") or "main" in names.split() or (parent is not None and parent.inside)
+        self.outside = tag in OUTSIDE or odd or (parent is not None and parent.outside)
+
+
 @dataclass
 class Leaf:
     text: str
-    path: list[tuple[str, str]]
+    node: Node | None
     links: int = 0
 
 
+class Tokens:
+    """Tags of a page in order, each character read once: an unclosed quote or tag is ordinary text."""
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self.dead:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.dead.add(what)  # nor is there one farther on
+        return found
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """(begin, end, tag or None for a comment, whether it closes, attributes) of the next tag."""
+        while (m := OPEN.search(self.page, at)) is not None:
+            if m[2] is None:
+                long = m[0] == "<!--"
+                stop = self._find("-->" if long else ">", m.end())
+                if stop < 0 and not long:
+                    return None
+                return m.start(), len(self.page) if stop < 0 else stop + (3 if long else 1), None, False, ""
+            end = m.end()
+            while True:
+                end = ATTRIBUTE.match(self.page, end).end()
+                if end == len(self.page):
+                    return None
+                if self.page[end] == ">":
+                    return m.start(), end + 1, m[2].lower(), bool(m[1]), self.page[m.end() : end]
+                stop = self._find(self.page[end], end + 1)
+                end = stop + 1 if stop >= 0 else end + 1
+        return None
+
+
 def leaves(page: str) -> list[Leaf]:
     out: list[Leaf] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Node] = []
+    blocks: list[int] = []  # places of block elements in the stack
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    links, path = 0, None
+    links, node, begun = 0, None, False
+    tokens, endings = Tokens(page), {}
 
     def end() -> None:
-        nonlocal links, path
+        nonlocal links, node, begun
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Leaf(text, path or list(stack), links))
+                out.append(Leaf(text, node if begun else stack[-1] if stack else None, links))
             parts.clear()
-        links, path = 0, None
+        links, node, begun = 0, None, False
 
     def take(raw: str) -> None:
-        nonlocal links, path
+        nonlocal links, node, begun
         if raw:
-            if path is None and not raw.isspace():
-                path = list(stack)
+            if not begun and not raw.isspace():
+                node, begun = stack[-1] if stack else None, True
             parts.append(raw)
-            if any(t == "a" for t, _ in stack):
+            if opened["a"]:
                 links += len(raw)
 
+    def cut(at: int) -> None:
+        for gone in stack[at:]:
+            opened[gone.tag] -= 1
+        del stack[at:]
+        while blocks and blocks[-1] >= at:
+            blocks.pop()
+
     at, n = 0, len(page)
     while at < n:
-        m = TOKEN.search(page, at)
+        m = tokens.next(at)
         if m is None:
             take(page[at:])
             break
-        take(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        begin, stop, tag, closes, attributes = m
+        take(page[at:begin])
+        at = stop
+        if tag is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if closes:
             if tag in BLOCK:
                 end()
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if opened[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                cut(i)
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = stop.end() if stop else n
+            if tag not in endings:
+                endings[tag] = re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+            close = endings[tag].search(page, at)
+            at = close.end() if close else n
             parts.append(" ")
             continue
         if tag == "br" or tag == "hr":
@@ -101,35 +171,34 @@ def leaves(page: str) -> list[Leaf]:
             continue
         if tag in BLOCK:
             end()
-            for i in range(len(stack) - 1, -1, -1):
-                name = stack[i][0]
+            for i in reversed(blocks):
+                name = stack[i].tag
                 if tag in CLOSES.get(name, ()):
-                    del stack[i:]
+                    cut(i)
                     break
-                if name in BLOCK and name != "p":
+                if name != "p":
                     break
-        names = " ".join(next(g for g in x if g or g == "") if any(x) else "" for x in NAMES.findall(m[3])) if m[3].strip() else ""
-        if not m[3].rstrip().endswith("/"):
-            stack.append((tag, names.lower()))
+        names = " ".join(next(g for g in x if g or g == "") if any(x) else "" for x in NAMES.findall(attributes)) if attributes.strip() else ""
+        if not attributes.rstrip().endswith("/"):
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            opened[tag] += 1
+            stack.append(Node(tag, names.lower(), stack[-1] if stack else None))
     end()
     return out
 
 
 def label(leaf: Leaf) -> int:
-    inside = any(t in ("article", "main") or "main" in c.split() for t, c in leaf.path)
-    return int(inside and not any(t in OUTSIDE or OUTSIDE_NAME.search(c) for t, c in leaf.path))
+    return int(leaf.node is not None and leaf.node.inside and not leaf.node.outside)
 
 
 def features(page: list[Leaf]) -> list[list[str]]:
     out = []
     for i, b in enumerate(page):
         words = b.text.split()
-        f = {"bias", f"tag={b.path[-1][0] if b.path else '-'}", f"n={min(int(np.log2(len(words) + 1)), 8)}"}
-        for t, c in b.path:
-            f.add(f"in={t}")
-            f.update(f"name={x}" for x in re.split(r"[\s_-]+", c) if x)
-            if c and OUTSIDE_NAME.search(c):
-                f.add("name=outside")
+        f = {"bias", f"tag={b.node.tag if b.node else '-'}", f"n={min(int(np.log2(len(words) + 1)), 8)}"}
+        if b.node:
+            f |= b.node.marks
         f.add(f"links={min(int(4 * b.links / max(len(b.text), 1)), 4)}")
         f.add(f"stop={b.text[-1] in '.!?…'}")
         f.add(f"upper={b.text[:1].isupper()}")
@@ -229,14 +298,15 @@ def article(crf: Field, page: str | None) -> str:
 def extract(df: DataFrame, crf: Field, key: str = "page_id", page: str = "html") -> DataFrame:
     """All columns of df but the page, with text and n_chars. One narrow stage."""
     rest = [c for c in df.columns if c not in (page, "text", "n_chars")]
+    column = next(c for c in ("_html" + "_" * i for i in range(len(rest) + 1)) if c not in rest)
     shared = df.sparkSession.sparkContext.broadcast(crf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                text = [article(shared.value, h) for h in part.column("_html").to_pylist()]
+                text = [article(shared.value, h) for h in part.column(column).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], [*rest, "text", "n_chars"])
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
-    return df.select(*[F.col(f"`{c}`") for c in rest], F.col(page).cast("string").alias("_html")).mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.col(page).cast("string").alias(column)).mapInArrow(run, f"{kinds}, text string, n_chars long")

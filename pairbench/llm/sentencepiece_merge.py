@@ -72,6 +72,11 @@ class PieceModel:
         self.key = np.array([x[0] for x in pairs], np.int64)
         self.rank = np.array([x[1] for x in pairs], np.int64)
         self.made = np.array([x[2] for x in pairs], np.int64)
+        # Pairs whose symbol is in no pair of the same or an earlier rank: all their occurrences can go at once.
+        early = np.full(n, np.iinfo(np.int64).max)
+        for part in (self.key >> 20, self.key & 0xFFFFF):
+            np.minimum.at(early, part, self.rank)
+        self.safe = early[self.made] > self.rank
         # An open table from a pair's key to its place.
         self.bits = 21
         self.slot = np.full(1 << self.bits, -1, np.int32)
@@ -141,7 +146,13 @@ class PieceModel:
                     break
                 begin = np.cumsum(length) - length
             hit = np.flatnonzero(rank == np.repeat(least, length))
-            left = hit[np.r_[True, word[hit[1:]] != word[hit[:-1]]]]  # the leftmost in each word
+            # The leftmost in each word; where it is safe, all: of those that overlap, every other one.
+            first = np.r_[True, word[hit[1:]] != word[hit[:-1]]]
+            run = np.flatnonzero(first | np.r_[True, np.diff(hit) != 1])
+            other = (np.arange(len(hit)) - np.repeat(run, np.diff(np.r_[run, len(hit)]))) % 2 == 0
+            begun = np.flatnonzero(first)
+            safe = np.logical_and.reduceat(self.safe[place[hit]], begun)
+            left = hit[first | (other & np.repeat(safe, np.diff(np.r_[begun, len(hit)])))]
             sym[left] = self.made[place[left]]
             keep = np.ones(len(sym), bool)
             keep[left + 1] = False

@@ -251,6 +251,6 @@ def test_components_grow_with_links(spark, monkeypatch, finish):
                 want[a] = want[b] = min(want[a], want[b])
     comp = None
     for part in (links[:150], links[150:], []):
-        comp = ngram_join.joined(comp, spark.createDataFrame(part, "ra long, rb long"))
+        comp = ngram_join.joined(comp, spark.createDataFrame(part, "a long, b long"))
     assert {r["id"]: r["comp"] for r in comp.collect()} == want
     assert comp.count() == len(want)
