@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that spark.checkpoint.dir names; sets one only where it is unset."""
+    """Cuts lineage in the folder that spark.checkpoint.dir names. Where it is unset, a local session
+    (as in tests) takes a folder of its own; on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp())
     return df.checkpoint()
 
 

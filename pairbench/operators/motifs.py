@@ -66,18 +66,32 @@ def cut(spans: DataFrame, genome: DataFrame, width: int) -> DataFrame:
 
 def similarity(a: list[float], b: list[float], overlap: int = 6) -> float:
     """Best cosine of two motifs over all offsets with at least `overlap` shared places and both strands,
-    after each place is centred; 0 if none fits."""
+    after each place is centred; -1 if none fits. All offsets are one correlation of the padded motifs."""
     x, y = (np.asarray(m, float).reshape(-1, 4) for m in (a, b))
     x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
-    best = None
+    best = -1.0
     for z in (y, y[::-1, ::-1]):
-        for shift in range(overlap - len(z), len(x) - overlap + 1):
-            p, q = x[max(shift, 0) : shift + len(z)], z[max(-shift, 0) : len(x) - shift]
-            size = np.linalg.norm(p) * np.linalg.norm(q)
-            if len(p) >= overlap and size > 0:
-                value = float((p * q).sum() / size)
-                best = value if best is None else max(best, value)
-    return 0.0 if best is None else best
+        dots = sum(np.correlate(x[:, c], z[:, c], "full") for c in range(4))
+        one = np.ones(len(x)), np.ones(len(z))
+        shared = np.correlate(*one, "full")
+        size = np.sqrt(np.correlate((x * x).sum(1), one[1], "full").clip(0) * np.correlate(one[0], (z * z).sum(1), "full").clip(0))
+        fits = (shared >= overlap) & (size > 1e-12)
+        if fits.any():
+            best = max(best, float((dots[fits] / size[fits]).max()))
+    return best
+
+
+def best_against(filters: DataFrame, motifs: DataFrame, overlap: int = 6) -> DataFrame:
+    """(filter, motif, similarity): each filter's most similar motif, ties to the lesser name. Both
+    libraries (name, weights) are small; the pairs are scored in Arrow batches."""
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"filter": b["filter"], "motif": b["motif"], "similarity": [round(similarity(x, y, overlap), 6) for x, y in zip(b["x"], b["y"], strict=True)]})
+
+    scored = filters.toDF("filter", "x").crossJoin(motifs.toDF("motif", "y")).mapInPandas(run, "filter string, motif string, similarity double")
+    best = F.min(F.struct((-F.col("similarity")).alias("s"), "motif")).alias("m")
+    return scored.groupBy("filter").agg(best).select("filter", F.col("m.motif").alias("motif"), (-F.col("m.s")).alias("similarity"))
 
 
 def similarities(df: DataFrame, overlap: int = 6) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairbench.functions.text import ALIASES, alias, first_path
 from pairbench.operators import alignment, components, metrics, motifs, profiles, records, splits, vectors
-from pairbench.plans.catalog import AP, BOTH, DNA, PAIRS, RC, REPLICATES, RESOLVED, RUNS, VERDICTS, M, sequences
+from pairbench.plans.catalog import AP, BOTH, DNA, DRAW, PAIRS, RC, REPLICATES, RESOLVED, RUNS, VERDICTS, M, sequences
 from pairbench.sources import sinks
 from pairbench.sources.tables import measurements, table
 
@@ -127,6 +127,19 @@ def _component_folds(s: SparkSession, d: str) -> DataFrame:
     return splits.group_folds(_components(s, d), "component", 5, "components")
 
 
+def _folds_sql(sizes: str, group: str, seed: str, folds: int) -> str:
+    """Recursive SQL for the greedy folds of a (group, n) table: the largest group into the emptiest fold."""
+    return f"""o AS (SELECT {group}::VARCHAR AS grp, n, row_number() OVER (ORDER BY n DESC, {DRAW.format(seed, group)}) AS i FROM {sizes}),
+      f(i, grp, n, fold, filled) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, list_transform(range({folds}), lambda x: 0::BIGINT)
+        UNION ALL SELECT i, grp, n, k - 1, list_transform(filled, lambda x, j: x + CASE WHEN j = k THEN n ELSE 0 END)
+        FROM (SELECT o.i, o.grp, o.n, list_position(filled, list_min(filled))::BIGINT AS k, filled FROM f JOIN o ON o.i = f.i + 1))"""
+
+
+CARVE = f"""p AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), o AS (SELECT p_brand, n, row_number() OVER (ORDER BY {DRAW.format("carve", "p_brand")}) AS i, (sum(n) OVER () * 0.2)::DOUBLE AS target FROM p),
+  f(i, p_brand, n, taken, got) AS (SELECT 0::BIGINT, NULL::VARCHAR, 0::BIGINT, false, 0::BIGINT
+    UNION ALL SELECT o.i, o.p_brand, o.n, got < target AND got + o.n <= 1.25 * target, CASE WHEN got < target AND got + o.n <= 1.25 * target THEN got + o.n ELSE got END FROM f JOIN o ON o.i = f.i + 1)"""
+
+
 CATALOG: list[tuple[str, Query, str | None]] = [
     ("interaction_power", _m(lambda m: profiles.power(m, "source")), f"WITH {M} SELECT source, round(sum(score + 0.5), 6) AS power FROM m GROUP BY source"),
     ("power_ratio", _m(lambda m: profiles.power_ratio(m, records.inventory(m))), f"WITH {M}, {INV}, p AS (SELECT cluster, entity, round(sum(score + 0.5), 6) AS power FROM m GROUP BY ALL) SELECT p.cluster, p.entity, CASE WHEN f.power > 0 THEN round(p.power / f.power, 6) END AS ratio FROM p JOIN i USING (cluster) JOIN p f ON f.cluster = p.cluster AND f.entity = i.reference"),
@@ -158,7 +171,7 @@ CATALOG: list[tuple[str, Query, str | None]] = [
     ("fasta_manifest", lambda s, d: sinks.manifest(sequences(s, d), "doc_id", "seq"), f"WITH {DNA} SELECT doc_id, length(seq)::INT AS length, substr(sha256(seq), 1, 8) AS digest FROM d"),
     ("edit_profiles", _edit_profiles, None),
     ("greedy_clusters", lambda s, d: alignment.greedy_clusters(table(s, d, "part"), "p_type", "p_partkey", "p_name", most=3), None),
-    ("group_folds", lambda s, d: splits.group_folds(table(s, d, "part"), "p_brand", 5, "groups"), None),
-    ("component_folds", _component_folds, None),
-    ("validation_carve", lambda s, d: splits.validation_carve(table(s, d, "part"), "p_brand", 0.2, "carve"), None),
+    ("group_folds", lambda s, d: splits.group_folds(table(s, d, "part"), "p_brand", 5, "groups"), f"WITH RECURSIVE g AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), {_folds_sql('g', 'p_brand', 'groups', 5)} SELECT grp AS p_brand, n, fold FROM f WHERE i > 0"),
+    ("component_folds", _component_folds, f"WITH RECURSIVE {PAIRS}, l AS (SELECT i AS a, j AS b FROM p WHERE cosine >= {NEAR} UNION ALL SELECT j, i FROM p WHERE cosine >= {NEAR}), r(id, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.seen), c AS (SELECT id, min(seen) AS component FROM r GROUP BY id), g AS (SELECT component, count(*) AS n FROM c GROUP BY 1), {_folds_sql('g', 'component', 'components', 5)} SELECT grp AS component, n, fold FROM f WHERE i > 0"),
+    ("validation_carve", lambda s, d: splits.validation_carve(table(s, d, "part"), "p_brand", 0.2, "carve"), f"WITH RECURSIVE {CARVE} SELECT p_brand, n FROM f WHERE taken UNION ALL SELECT p_brand, n FROM (SELECT * FROM o ORDER BY n, i LIMIT 1) WHERE NOT EXISTS (SELECT 1 FROM f WHERE taken)"),
 ]

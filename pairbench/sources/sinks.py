@@ -37,3 +37,37 @@ def fasta(df: DataFrame, name: str, seq: str, path: str) -> None:
 def manifest(df: DataFrame, name: str, seq: str) -> DataFrame:
     """Name, length and digest of every sequence."""
     return df.select(name, F.length(seq).alias("length"), F.substring(F.sha2(F.col(seq), 256), 1, 8).alias("digest"))
+
+
+def arrays(df: DataFrame, key: str, place: str, values: list[str], path: str) -> None:
+    """Long cells as one row a key, with the places in order and an array of each value."""
+    cells = F.array_sort(F.collect_list(F.struct(place, *values)))
+    own = df.groupBy(key).agg(cells.alias("c")).select(key, F.col(f"c.{place}").alias(place), *[F.col(f"c.{v}").alias(v) for v in values])
+    parquet(own, path)
+
+
+def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Appends the rows whose keys are not yet there: a run that is resumed adds each once."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        df = df.join(spark.read.parquet(path).select(keys), keys, "left_anti")
+    parquet(df.dropDuplicates(keys), path, "append")
+
+
+def build(make, path: str, spark) -> None:
+    """Writes make()'s table; if that fails, what stood there goes too, so no stale table is read."""
+    try:
+        parquet(make(), path, "overwrite")
+    except Exception:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        raise
+
+
+def text(content: str, path: str, spark) -> None:
+    """A small report."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(content.encode()))
+    out.close()

@@ -50,10 +50,13 @@ def test_components_without_edges(spark):
 
 
 def test_suppression(spark):
+    """F-9: identical 0, negated 1, rescaled 0; without a bound site undefined."""
     ref = [1.0, 2.0, 3.0, 40.0, 50.0]
     rows = [(0, "g", i, x) for i, x in enumerate(ref)] + [(1, "g", i, -x) for i, x in enumerate(ref)] + [(2, "g", i, 3 * x + 7) for i, x in enumerate(ref)]
-    got = dict(profiles.suppression(spark.createDataFrame(rows, "e int, g string, s int, v double"), "e", "g", "s", "v").collect())
+    cells = spark.createDataFrame(rows, "e int, g string, s int, v double")
+    got = dict(profiles.suppression(cells.withColumn("y", (F.col("s") > 2).cast("int")), "e", "g", "s", "v", "y").collect())
     assert got == {0: 0.0, 1: 1.0, 2: 0.0}
+    assert set(dict(profiles.suppression(cells.withColumn("y", F.lit(0)), "e", "g", "s", "v", "y").collect()).values()) == {None}
 
 
 def test_ece(spark):
