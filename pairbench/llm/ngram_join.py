@@ -129,7 +129,7 @@ class Order:
         before = np.cumsum(counts[at]) - counts[at]
         self.cut = np.empty(len(counts), np.int32)
         self.cut[at] = np.minimum(before * fragments // max(int(counts.sum()), 1), fragments - 1)
-        self.split = np.maximum(counts // heavy, 1).astype(np.int64)
+        self.split = np.clip(counts // heavy, 1, 4096).astype(np.int16)
 
     def key(self, h: np.ndarray) -> np.ndarray:
         place = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
@@ -140,7 +140,7 @@ class Order:
         place = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
         parts = self.split[place]
         part = (mix(cls.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-        return np.where(parts > 1, -(place * 4096 + part % 4096) - 1, self.cut[place])
+        return np.where(parts > 1, -(place * 4096 + part) - 1, self.cut[place])
 
 
 def _rows(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -481,13 +481,14 @@ def members(df: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5,
     found = scratch.keep(found)
     pairs = found.where(F.col("a").isNotNull()).drop("data")
     comp = verify(docs, possible(pairs, percent), nodes, marks, None, k, percent)
-    long = found.where(F.col("data").isNotNull()).select("data")
+    # Written once: its readers need no Python worker beside their own.
+    long = scratch.keep(found.where(F.col("data").isNotNull()).select("data").mapInArrow(tidy(_unpack), "h long, cls long, n long"))
     for salt in (*range(1, ROUNDS + 1), None):
         met = scratch.keep(meetings(long, pairs, comp, percent, fragments, salt))
         if not met.isEmpty():
             comp = verify(docs, possible(met, percent), nodes, marks, comp, k, percent)
         scratch.drop(met)
-    scratch.drop(found)
+    scratch.drop(found, long)
     final = reps.join(comp.toDF("d1", "c"), "d1", "left").select("n", "d1", "d2", "rep", F.coalesce("c", "d1").alias("c"))
     final = final.join(final.groupBy("c").agg(F.min("rep").alias("least")), "c").select("n", "d1", "d2", "c", "least")
     return own.join(final, ["n", "d1", "d2"], "left").select("id", "t", "n", "c", F.coalesce("least", "id").alias("component_id"))
@@ -508,12 +509,11 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[i]) for i in range(3)], ["h", "cls", "n"])
 
 
-def meetings(long: DataFrame, pairs: DataFrame, comp: DataFrame, percent: int, fragments: int, salt: int | None) -> DataFrame:
-    """Counted pairs of classes in different components that meet in the long lists. With a salt, each
+def meetings(rows: DataFrame, pairs: DataFrame, comp: DataFrame, percent: int, fragments: int, salt: int | None) -> DataFrame:
+    """Counted pairs of classes in different components that meet in the long lists (rows: h, cls, n). With a salt, each
     list gives the pairs of its other classes with LEADERS classes of its largest component: those in
     the most lists (an original is in more lists than its altered copies), then by a hash; without, all
     pairs of different components, with their counts from the short lists too."""
-    rows = long.mapInArrow(tidy(_unpack), "h long, cls long, n long")
     # At class level first, so that the lists' rows are joined once.
     sizes = comp.groupBy("comp").agg(F.count("*").alias("size"))
     named = rows.groupBy("cls").agg(F.count("*").alias("met")).join(comp.toDF("cls", "comp"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), "met")

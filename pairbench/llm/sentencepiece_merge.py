@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pairbench.llm.textkit import tidy
 
 SPACE = "▁"
-CACHE_WORDS = 120_000
+CACHE_WORDS = 80_000
 
 
 class PieceModel:
@@ -257,8 +257,8 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", en
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for i in range(0, max(batch.num_rows, 1), 256):
-                part = batch.slice(i, 256)
+            for i in range(0, max(batch.num_rows, 1), 128):
+                part = batch.slice(i, 128)
                 keys = part.column(0)
                 ids = [x.tolist() for x in enc.encode(part.column(1).to_pylist(), end)]
                 plain = [enc.decode(x) for x in ids]
