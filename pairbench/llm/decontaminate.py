@@ -6,7 +6,8 @@ fingerprints within RADIUS = 19 bits agree in some block up to 4 bits, so tables
 block, every value within 4 bits of an item's value return all items within the radius. Pairs within
 it are then verified by the exact weighted similarity of their shingle multisets (sum of minima over
 sum of maxima). Windows that share no shingle with an item of their size have similarity 0 and get
-no fingerprint.
+no fingerprint. Where a window or an item repeats a shingle, a similarity of 0.75 can leave more
+differing bits than the radius: such pairs go to the exact check wherever they share a shingle.
 
 Items with fewer than k words are one shingle of their own length. A document shorter than an item is
 one window for it. Null and empty texts and items match nothing. Keys may repeat: rows with the same
@@ -29,6 +30,8 @@ from pairbench.llm.textkit import Words, chunks, mix, select_rows, shingles, tid
 RADIUS = 19
 BLOCKS, BLOCK_BITS = 4, 16
 FILTER_BITS = 22
+#: Windows, and pairs to verify, that are in memory at once.
+WINDOWS = 1 << 14
 #: Items in one scan of the documents; more items take more scans.
 ITEMS = 2048
 
@@ -57,6 +60,11 @@ def _grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[np.repeat(offset[:-1], n) + inner], np.repeat(w.offset[:-1], n) + inner
 
 
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All of first[i], first[i] + 1, ... (n[i] of them), end to end."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Benchmark:
     """The items of one scan, by shingle size k (their number of words, if that is less)."""
 
@@ -84,6 +92,7 @@ class _Items:
         self.shingle, start = np.unique(pair[:, 0], return_index=True)
         self.of = pair[:, 1].astype(np.int64)
         self.of_at = np.r_[start, len(pair)]
+        self.repeats = np.bincount(pair[:, 1].astype(np.int64), minlength=len(parts)) < [len(p) for p in parts]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[(self.shingle >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
         # (Item, shingle) -> count, under one mixed key.
@@ -102,64 +111,108 @@ class _Items:
     def key(item: np.ndarray, shingle: np.ndarray) -> np.ndarray:
         return mix(shingle ^ mix(item.astype(np.uint64) + np.uint64(1)))
 
-    def windows(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes of all shingles, first shingle, number of shingles, size class, document) of every
-        window that shares a shingle with an item of its size."""
-        h, word = _grams(w, self.k)
+    def windows(self, w: Words, h: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first shingle, number of shingles, size class, document) of every window that shares a
+        shingle with an item of its size, by first shingle; and the (window, item) pairs that go to the
+        exact check by a shared shingle, because the window or the item repeats a shingle."""
         hit = np.flatnonzero(self.filter[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         place = np.minimum(np.searchsorted(self.shingle, h[hit]), len(self.shingle) - 1)
         ok = self.shingle[place] == h[hit]
         hit, place = hit[ok], place[ok]
         n = self.of_at[place + 1] - self.of_at[place]
-        item = self.of[np.repeat(self.of_at[place], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        doc_of = np.searchsorted(w.offset, word[hit], side="right") - 1
-        size = self.size[item]
-        # One entry for each (shingle position, size).
-        both = np.unique(np.stack([np.repeat(hit, n), size], 1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
-        pos, size = both[:, 0], both[:, 1]
-        doc = doc_of[np.searchsorted(hit, pos)] if len(pos) else pos
+        item = self.of[_ranges(self.of_at[place], n)]
+        by_item, of_size = np.repeat(hit, n), self.size[item]
+        # Windows around the hits of one size: hits are in order, so what a hit before has is left out.
+        span = int(self.size.max()) + 1
+        both = np.unique(of_size * (len(h) + 1) + by_item)
+        size, pos = both // (len(h) + 1), both % (len(h) + 1)
+        low, high, grams, doc = self._around(w, word, pos, size)
+        low = np.maximum(low, np.where(np.r_[False, size[1:] == size[:-1]], np.r_[-1, high[:-1]] + 1, 0)) if len(low) else low
+        n = np.maximum(high - low + 1, 0)
+        start = _ranges(low, n)
+        size, grams, doc = np.repeat(size, n), np.repeat(grams, n), np.repeat(doc, n)
+        code = start * span + size
+        order = np.argsort(code, kind="stable")
+        start, size, grams, doc, code = start[order], size[order], grams[order], doc[order], code[order]
+        # The last place, up to each shingle, at which a shingle stood that came again by then.
+        last = np.full(len(h), -1)
+        if len(hit):
+            same = np.argsort(h, kind="stable")
+            again = np.flatnonzero(h[same[1:]] == h[same[:-1]])
+            last[same[again + 1]] = same[again]
+            last = np.maximum.accumulate(last)
+        low, high, g, _ = self._around(w, word, by_item, of_size)
+        some = np.flatnonzero(self.repeats[item] | (last[np.minimum(high + g, len(h)) - 1] >= low))
+        direct = []
+        for i in range(0, len(some), 1 << 12):
+            part = some[i : i + (1 << 12)]
+            n = high[part] - low[part] + 1
+            begin, who, own = _ranges(low[part], n), np.repeat(item[part], n), np.repeat(part, n)
+            ok = self.repeats[who] | (last[begin + g[own] - 1] >= begin)
+            at = np.searchsorted(code, begin[ok] * span + of_size[own[ok]])
+            direct.append(np.unique(at * len(self.size) + who[ok]))
+        return start, grams, size, doc, np.unique(np.concatenate([np.zeros(0, np.int64), *direct]))
+
+    def _around(self, w: Words, word: np.ndarray, pos: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first and last start, number of shingles, document) of the windows of `size` words on a shingle."""
+        doc = np.searchsorted(w.offset, word[pos], side="right") - 1
         first = np.searchsorted(word, w.offset[doc])  # the document's first shingle
         last = first + w.count[doc] - self.k
         grams = np.minimum(size, w.count[doc]) - self.k + 1
-        low = np.maximum(pos - grams + 1, first)
-        high = np.minimum(pos, last - grams + 1)
-        n = high - low + 1
-        start = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out = np.stack([start, np.repeat(size, n), np.repeat(grams, n), np.repeat(doc, n)], 1)
-        out = np.unique(out, axis=0) if len(out) else out
-        return h, out[:, 0], out[:, 2], out[:, 1], out[:, 3]
+        return np.maximum(pos - grams + 1, first), np.minimum(pos, last - grams + 1), grams, doc
 
-    def search(self, w: Words, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, similarity, first word in the document, words) of the best window of each pair."""
-        h, start, grams, size, doc = self.windows(w)
-        none = np.zeros(0, np.int64)
-        if not len(start):
-            return none, none, np.zeros(0), none, none
+    def _candidates(self, h: np.ndarray, start: np.ndarray, grams: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Pairs (window * items + item) of one size whose fingerprints differ in up to RADIUS bits."""
         # Fingerprints from running sums over the shingles that some window needs.
-        need = np.zeros(len(h) + 1, np.int64)
-        np.add.at(need, start, 1)
-        np.add.at(need, start + grams, -1)
+        base, end = int(start.min()), int((start + grams).max())
+        need = np.zeros(end - base + 1, np.int64)
+        np.add.at(need, start - base, 1)
+        np.add.at(need, start + grams - base, -1)
         used = np.flatnonzero(np.cumsum(need)[:-1] > 0)
         total = np.zeros((len(used) + 1, 64), np.int32)
-        np.cumsum(_bits(h[used]), axis=0, out=total[1:])
-        at = np.searchsorted(used, start)
+        np.cumsum(_bits(h[base + used]), axis=0, out=total[1:])
+        at = np.searchsorted(used, start - base)
         finger = _fingerprint(total[at + grams] - total[at])
         found = []
         for b, (edge, who) in enumerate(self.near):
             value = ((finger >> np.uint64(b * BLOCK_BITS)) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64)
             n = edge[value + 1] - edge[value]
-            item = who[np.repeat(edge[value], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            item = who[_ranges(edge[value], n)].astype(np.int64)
             window = np.repeat(np.arange(len(start)), n)
             ok = (self.size[item] == size[window]) & (np.bitwise_count(self.finger[item] ^ finger[window]) <= RADIUS)
             found.append(window[ok] * len(self.size) + item[ok])
-        pair = np.unique(np.concatenate(found))
-        window, item = pair // len(self.size), pair % len(self.size)
-        if not len(pair):
+        return np.unique(np.concatenate(found))
+
+    def search(self, w: Words, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, similarity, first word in the document, words) of the best window of each pair."""
+        h, word = _grams(w, self.k)
+        start, grams, size, doc, direct = self.windows(w, h, word)
+        got = []
+        for i in range(0, len(start), WINDOWS):
+            part = slice(i, i + WINDOWS)
+            near = self._candidates(h, start[part], grams[part], size[part]) + i * len(self.size)
+            of = direct[np.searchsorted(direct, i * len(self.size)) : np.searchsorted(direct, (i + WINDOWS) * len(self.size))]
+            pair = np.union1d(near, of)
+            # Verified some at a time, so that memory does not grow with the candidates.
+            for j in range(0, len(pair), WINDOWS):
+                got.append(self._verify(h, start, grams, pair[j : j + WINDOWS], threshold))
+        if not got:
+            none = np.zeros(0, np.int64)
             return none, none, np.zeros(0), none, none
-        # The exact similarity of the multisets.
+        window, item, similarity = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.lexsort((start[window], -similarity, item, doc[window]))
+        window, item, similarity = window[order], item[order], similarity[order]
+        d = doc[window]
+        best = np.r_[True, (d[1:] != d[:-1]) | (item[1:] != item[:-1])] if len(d) else np.zeros(0, bool)
+        window, item, similarity, d = window[best], item[best], similarity[best], d[best]
+        return d, self.index[item], similarity, word[start[window]] - w.offset[d], grams[window] + self.k - 1
+
+    def _verify(self, h: np.ndarray, start: np.ndarray, grams: np.ndarray, pair: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, similarity) of the pairs whose multisets have `threshold` similarity or more."""
+        window, item = pair // len(self.size), pair % len(self.size)
         n = grams[window]
         who = np.repeat(np.arange(len(pair)), n)
-        inner = h[np.repeat(start[window], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        inner = h[_ranges(start[window], n)]
         order = np.lexsort((inner, who))
         who, inner = who[order], inner[order]
         new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (inner[1:] != inner[:-1])])
@@ -170,14 +223,7 @@ class _Items:
         both = np.bincount(who, both, len(pair))
         similarity = both / (n + (self.size[item] - self.k + 1) - both)
         ok = similarity >= threshold
-        window, item, similarity = window[ok], item[ok], similarity[ok]
-        order = np.lexsort((start[window], -similarity, item, doc[window]))
-        window, item, similarity = window[order], item[order], similarity[order]
-        d = doc[window]
-        best = np.r_[True, (d[1:] != d[:-1]) | (item[1:] != item[:-1])] if len(d) else np.zeros(0, bool)
-        window, item, similarity, d = window[best], item[best], similarity[best], d[best]
-        _, word = _grams(w, self.k)
-        return d, self.index[item], similarity, word[start[window]] - w.offset[d], grams[window] + self.k - 1
+        return window[ok], item[ok], similarity[ok]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = 0.75, k: int = 5) -> DataFrame:

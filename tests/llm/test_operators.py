@@ -160,6 +160,19 @@ def test_decontamination_equals_brute_force():
     assert got == want
 
 
+def test_decontamination_finds_windows_that_repeat_a_shingle():
+    from pairbench.llm.decontaminate import Benchmark
+    from pairbench.llm.textkit import words
+
+    # 168 of 196 shingles of item and window agree (0.75); the window has one other shingle 24 times.
+    items = [" ".join(f"w{i}_{j}" for j in range(200)) for i in range(40)]
+    docs = [" ".join([*text.split()[:172], *["x"] * 28]) for text in items]
+    for inside, outside in ((items, docs), (docs, items)):
+        (group,) = Benchmark(list(range(40)), inside).by_k.values()
+        d, i, similarity, *_ = group.search(words(pa.array(outside)), 0.75)
+        assert d.tolist() == i.tolist() == list(range(40)) and (similarity == 0.75).all()
+
+
 def test_html_keeps_the_article_only():
     from pairbench.llm import html_extract as x
 
