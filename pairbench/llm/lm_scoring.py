@@ -246,25 +246,27 @@ def fit(model: Model, docs: list[np.ndarray], epochs: int = 3, batch: int = 64,
             t += 1
             r, y = rows[part], target[part]
             x, q, k, v, a, h = model.states(r, lead[part])
-            logits = model.class_logits(h, r[:, CONTEXT:])
-            logits -= logits.max(-1, keepdims=True)
-            p = np.exp(logits)
-            p /= p.sum(-1, keepdims=True)
-            np.put_along_axis(p, y[..., None], np.take_along_axis(p, y[..., None], -1) - 1, -1)
-            p *= live[part][..., None] / np.float32(live[part].sum())
-            g = {"out": np.einsum("btd,btc->dc", h, p)}
-            gh = p @ w["out"].T
+            # p becomes the gradient of the mean loss by the logits, in place.
+            flat = h.reshape(-1, WIDTH)
+            p = model.class_logits(flat, r[:, CONTEXT:].ravel())
+            np.exp(p, out=p)
+            weight = live[part].ravel() / np.float32(live[part].sum())
+            p *= (weight / p.sum(-1))[:, None]
+            p[np.arange(len(p)), y.ravel()] -= weight
+            g = {"out": flat.T @ p}
+            gh = (p @ w["out"].T).reshape(h.shape)
             ga = gh @ v.transpose(0, 2, 1)
             gv = a.transpose(0, 2, 1) @ gh
             gs = a * (ga - (ga * a).sum(-1, keepdims=True))
             gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
-            g["q"] = np.einsum("btd,bte->de", x[:, CONTEXT:], gq)
-            g["k"], g["v"] = np.einsum("btd,bte->de", x, gk), np.einsum("btd,bte->de", x, gv)
+            seen, late = x.reshape(-1, WIDTH), x[:, CONTEXT:].reshape(-1, WIDTH)
+            g["q"] = late.T @ gq.reshape(-1, WIDTH)
+            g["k"], g["v"] = seen.T @ gk.reshape(-1, WIDTH), seen.T @ gv.reshape(-1, WIDTH)
             gx = gk @ w["k"].T + gv @ w["v"].T
             gx[:, CONTEXT:] += gh + gq @ w["q"].T
             g["place"] = gx.sum(0)
-            g["embed"] = np.zeros_like(w["embed"])
-            np.add.at(g["embed"], r.ravel(), gx.reshape(-1, WIDTH))
+            cell = (r.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+            g["embed"] = np.bincount(cell, gx.ravel(), w["embed"].size).astype(np.float32).reshape(-1, WIDTH)
             now = rate * min(1.0, 1.5 * (1 - t / (total + 1)))
             for name, grad in g.items():
                 m1[name] = 0.9 * m1[name] + 0.1 * grad
