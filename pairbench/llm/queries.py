@@ -88,6 +88,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairbench.llm.conversation_repair import damage, repair
+
+    rows = damage(read(spark, sf_dir, "conversations"))
+    return repair(rows, "conv", there="there").withColumnRenamed("conv", "conv_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -106,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": op8_sharding,
         "op9_decontaminate": op9_decontaminate,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_conversation_repair": op11_conversation_repair,
         "pipeline": pipeline,
     }
 
