@@ -95,6 +95,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(rows, "conv", there="there").withColumnRenamed("conv", "conv_id")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from pairbench.llm.token_alignment import align
+
+    return align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontaminate": op9_decontaminate,
         "op10_sentencepiece": op10_sentencepiece,
         "op11_conversation_repair": op11_conversation_repair,
+        "op12_token_alignment": op12_token_alignment,
         "pipeline": pipeline,
     }
 
