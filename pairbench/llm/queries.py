@@ -103,6 +103,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairbench.llm.suffix_dedup import dedup
+
+    return dedup(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sentencepiece": op10_sentencepiece,
         "op11_conversation_repair": op11_conversation_repair,
         "op12_token_alignment": op12_token_alignment,
+        "op13_suffix_dedup": op13_suffix_dedup,
         "pipeline": pipeline,
     }
 
