@@ -10,12 +10,14 @@ each run of them is one text of at most WIDTH + RUN - 1 bytes, about one for 32
 1. Documents are packed into blocks, written once, bucketed by block in the shared folder, so that no
    later step shuffles them again. A block has the hashes of its anchors, each once.
 2. Hashes are dealt by range and counted. Only those that occur twice or more go back to their blocks.
-3. Blocks send the texts around these anchors, each distinct one once, and equal ones from all blocks
-   become one with its least (key, start). All others of them are covered whole.
-4. Distinct texts of the same anchor lie in one task, which builds a suffix array over them: it sorts
-   directly the suffixes that are smaller than their successors, induces the rest by scanning the
-   buckets of first bytes, and takes the common prefixes of neighbours. Where WIDTH bytes agree, all
-   but the least (key, start) are covered.
+3. Blocks name the texts around these anchors by hashes, each once, with their least (key, start).
+   Where equal texts meet, all but the eldest are covered whole.
+4. Anchors around which different texts stand get these texts, each from the block that has the
+   eldest. They meet in one task, which builds a suffix array over them: it sorts directly the
+   suffixes that are smaller than their successors, induces the rest by scanning the buckets of first
+   bytes, and takes the common prefixes of neighbours. Where WIDTH bytes agree, all but the least
+   (key, start) are covered. (Two windows of one anchor are never equal: it stands at other places
+   in them.)
 5. Blocks get the answers to their texts, cover bytes, and hash what is left.
 
 An anchor around which too many different texts stand (a frequent line) would be too much for one
@@ -33,12 +35,13 @@ import hashlib
 import math
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairbench.llm import scratch
@@ -46,11 +49,11 @@ from pairbench.llm.textkit import flat, mix, tidy
 
 WIDTH, GRAM = 100, 37
 RUN = WIDTH - GRAM + 1  # windows of one anchor at most: their marks fit into a long
-BLOCK_BYTES = 8 << 20
-PIECE = (1 << 20) - 256  # windows worked on at once; their places fit into 20 bits
+BLOCK_BYTES = 4 << 20
+PIECE = 1 << 18  # windows worked on at once; the places of their parts fit into 20 bits
 PART = 1 << 20  # hashes counted in one task
 CROWD = 20_000  # texts of one anchor, each counted once a block, up to which they go to one task
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _LOW = np.uint64((1 << 20) - 1)
 
@@ -177,12 +180,7 @@ def covered(texts: pa.Array, keys: pa.Array, start: np.ndarray) -> np.ndarray:
     many = np.bincount(run, minlength=1)[run] > 1
     order, run = order[many], run[many]
     own = np.searchsorted(at, order, side="right") - 1
-    # Ranks of keys, null first.
-    by = pc.sort_indices(keys, null_placement="at_start").to_numpy().astype(np.int64)
-    code = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)[by]
-    rank = np.empty(len(by), np.int64)
-    rank[by] = np.cumsum(np.r_[True, code[1:] != code[:-1]])
-    key, begin = rank[own], start[own] + inside[order]
+    key, begin = ranks(keys)[own], start[own] + inside[order]
     old = np.lexsort((begin, key, run))
     order, own, run, key, begin = order[old], own[old], run[old], key[old], begin[old]
     first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else run
@@ -196,25 +194,26 @@ def covered(texts: pa.Array, keys: pa.Array, start: np.ndarray) -> np.ndarray:
 # ---- anchors
 
 
+@lru_cache(maxsize=2)
+def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base, and of its inverse, modulo 2**64."""
+    out = []
+    for base in (int(_BASES[which]), pow(int(_BASES[which]), -1, 1 << 64)):
+        table = np.full(PIECE + WIDTH, base, np.uint64)
+        table[0] = 1
+        out.append(np.multiply.accumulate(table))
+    return tuple(out)
+
+
 class Piece:
     """Up to PIECE windows of a block's bytes: hashes of their parts, and the runs of one anchor."""
 
-    def __init__(self, data: np.ndarray, left: np.ndarray, at: int):
-        own = data[at : at + PIECE + WIDTH - 1]
-        n = len(own)
-        self.at, self.sums, self.inverse = at, [], []
-        for base in _BASES:
-            power = np.full(n, base, np.uint64)
-            power[:1] = 1
-            power = np.multiply.accumulate(power)
-            back = np.full(n + 1, pow(int(base), -1, 1 << 64), np.uint64)
-            back[:1] = 1
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((own.astype(np.uint64) + np.uint64(1)) * power, out=total[1:])
-            self.sums.append(total)
-            self.inverse.append(np.multiply.accumulate(back))
+    def __init__(self, data: np.ndarray, end: np.ndarray, at: int):
+        self.at, self.own, self.sums = at, data[at : at + PIECE + WIDTH - 1], {}
+        n = len(self.own)
         many = max(0, n - WIDTH + 1)
-        valid = left[at : at + many] >= WIDTH
+        doc = np.searchsorted(end, np.arange(at, at + many), side="right")
+        valid = end[doc] - np.arange(at, at + many) >= WIDTH
         gram = self.hash(np.arange(n - GRAM + 1), GRAM) if many else np.zeros(0, np.uint64)
         # The least hash of RUN neighbours, the leftmost of equals: the place stands in its low bits.
         least = (gram & ~_LOW) | np.arange(len(gram), dtype=np.uint64)
@@ -226,9 +225,7 @@ class Piece:
             least = np.minimum(least[: width - RUN], least[RUN - width :])
         anchor = (least & _LOW).astype(np.int64)
         fresh = valid.copy()
-        fresh[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
-        # A document's first window begins a run, even where an equal place can't tell.
-        fresh[1:] |= valid[1:] & (left[at + 1 : at + many] > left[at : at + many - 1])
+        fresh[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1] | (doc[1:] != doc[:-1])
         self.first = np.flatnonzero(fresh)
         ends = valid & ~np.r_[valid[1:] & ~fresh[1:], False]
         self.count = np.flatnonzero(ends) - self.first + 1
@@ -236,12 +233,17 @@ class Piece:
 
     def hash(self, begin: np.ndarray, size, which: int = 0) -> np.ndarray:
         """A hash of the `size` bytes from each place on."""
-        total = (self.sums[which][begin + size] - self.sums[which][begin]) * self.inverse[which][begin]
+        power, back = _powers(which)
+        if which not in self.sums:
+            total = np.zeros(len(self.own) + 1, np.uint64)
+            np.cumsum((self.own.astype(np.uint64) + np.uint64(1)) * power[: len(self.own)], out=total[1:])
+            self.sums[which] = total
+        total = (self.sums[which][begin + size] - self.sums[which][begin]) * back[begin]
         return mix(total + np.asarray(size, np.uint64) * _BASES[1 - which])
 
     def texts(self, anchors: np.ndarray, crowded: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(first window, windows, anchor, id, id) of the runs with one of these sorted anchors. Where
-        it is crowded, each window is a run of its own and its own anchor."""
+        """(first window, windows, anchor, id) of the runs with one of these sorted anchors. Where it
+        is crowded, each window is a run of its own and its own anchor."""
         place = np.minimum(np.searchsorted(anchors, self.anchor), max(len(anchors) - 1, 0))
         hit = anchors[place] == self.anchor if len(anchors) else np.zeros(len(place), bool)
         apart = hit.copy()
@@ -251,17 +253,15 @@ class Piece:
         single = np.repeat(self.first[apart] - np.cumsum(n) + n, n) + np.arange(n.sum())
         first = np.r_[self.first[whole], single]
         count = np.r_[self.count[whole], np.ones(len(single), np.int64)]
-        ids = [self.hash(first, count + WIDTH - 1, i) for i in (0, 1)]
-        anchor = np.r_[self.anchor[whole], ids[0][whole.sum() :] & ~np.uint64(1)]
-        return first + self.at, count, anchor, *ids
+        anchor = np.r_[self.anchor[whole], self.hash(single, WIDTH) & ~np.uint64(1)]
+        return first + self.at, count, anchor, self.hash(first, count + WIDTH - 1, 1)
 
 
 def pieces(data: np.ndarray, size: np.ndarray) -> Iterator[Piece]:
     """All windows of documents that stand end to end."""
     end = np.cumsum(size)
-    left = np.repeat(end, size) - np.arange(len(data))  # bytes from a place to its document's end
     for at in range(0, max(len(data) - WIDTH + 1, 0), PIECE):
-        yield Piece(data, left, at)
+        yield Piece(data, end, at)
 
 
 def anchors(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -362,62 +362,114 @@ def repeated(kept: DataFrame) -> DataFrame:
         edge = np.cumsum([0, *map(len, own)])
         found = [out[p][total[p] > 1].tobytes() for p in (place[a:b] for a, b in zip(edge, edge[1:], strict=False))]
         some = [i for i, x in enumerate(found) if x]
-        return pa.table({"block": table.column("block").take(pa.array(some, pa.int64())), "anchors": pa.array([found[i] for i in some], pa.binary())})
+        return _freed(pa.table({"block": table.column("block").take(pa.array(some, pa.int64())), "anchors": pa.array([found[i] for i in some], pa.binary())}))
 
     dealt = kept.select("block", "anchors", "texts").mapInArrow(tidy(deal), "part long, block long, anchors binary, texts binary")
     return dealt.groupBy("part").applyInArrow(count, "block long, anchors binary")
 
 
-def _texts(row: pa.Table, found: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """A block's bytes, its documents' sizes, and first window, windows, anchor and ids of its texts."""
-    data = np.frombuffer(row.column("data")[0].as_buffer() or b"", np.uint8)
-    size = row.column("size").combine_chunks().values.to_numpy()
-    known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in found])) if found else np.zeros(0, np.uint64)
-    crowded = (known & np.uint64(1)).astype(bool)
-    got = [p.texts(known & ~np.uint64(1), crowded) for p in pieces(data, size)] if len(known) else []
-    if not got:
-        return data, size, [np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint64)]
-    return data, size, [np.concatenate(x) for x in zip(*got, strict=True)]
+class _Block:
+    """A block's row with the texts around its repeated anchors: first window, windows, anchor, id."""
+
+    def __init__(self, row: pa.Table, found: list[bytes]):
+        self.keys = row.column("key").combine_chunks().values
+        self.data = np.frombuffer(row.column("data")[0].as_buffer(), np.uint8)
+        self.size = row.column("size").combine_chunks().values.to_numpy()
+        known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in found])) if found else np.zeros(0, np.uint64)
+        crowded = (known & np.uint64(1)).astype(bool)
+        got = [p.texts(known & ~np.uint64(1), crowded) for p in pieces(self.data, self.size)] if len(known) else []
+        none = [np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64)]
+        self.first, self.count, anchor, one = [np.concatenate(x) for x in zip(*got, strict=True)] if got else none
+        self.anchor, self.id = anchor.view(np.int64), one.view(np.int64)
+        self.end = np.cumsum(self.size)
+        self.doc = np.searchsorted(self.end, self.first, side="right")
+        self.start = self.first - (self.end - self.size)[self.doc]
+
+    def eldest(self) -> np.ndarray:
+        """For each distinct (anchor, id), in their order, the place of the one with the least (key, start)."""
+        age = ranks(self.keys)[self.doc]
+        order = np.lexsort((self.start, age, self.id, self.anchor))
+        a, i = self.anchor[order], self.id[order]
+        return order[np.r_[True, (a[1:] != a[:-1]) | (i[1:] != i[:-1])]] if len(order) else order
+
+    def of(self, anchor: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """For each own text the place of its (anchor, id) in a list that has all, each once."""
+        n = len(anchor)
+        a, i = np.r_[anchor, self.anchor], np.r_[one, self.id]
+        order = np.lexsort((np.arange(len(a)) >= n, i, a))
+        place = np.empty(len(a), np.int64)
+        place[order] = order[np.maximum.accumulate(np.where(order < n, np.arange(len(a)), 0))]
+        return place[n:]
+
+
+def ranks(keys: pa.Array) -> np.ndarray:
+    """Equal keys have equal ranks, and null the least."""
+    by = pc.sort_indices(keys, null_placement="at_start").to_numpy().astype(np.int64)
+    code = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)[by]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(np.r_[True, code[1:] != code[:-1]][: len(by)])
+    return out
+
+
+def _freed(out: pa.Table) -> pa.Table:
+    """out, after freed memory is given back."""
+    return [*tidy(iter)([out])][0]
 
 
-def _kind(kind: pa.DataType) -> pa.DataType:
-    return pa.string() if pa.types.is_large_string(kind) else kind
+def _grouped(kept: DataFrame, other: DataFrame, by: str, run, schema: str) -> DataFrame:
+    """run(block's row, rows of other with this block); blocks without any get none."""
+
+    def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _freed(run(left, right.combine_chunks()))
+
+    return kept.select("block", "key", "size", "data").groupBy("block").cogroup(other.groupBy(by)).applyInArrow(each, schema)
 
 
 def surroundings(kept: DataFrame, found: DataFrame, kind: str) -> DataFrame:
-    """(block, anchor, id, id2, key, start, text): each distinct text around repeated anchors, with
-    its least (key, start) in the block."""
+    """(of, anchor, id, key, start): each block's distinct texts around repeated anchors, with their
+    least (key, start) in the block."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = left.column("key").combine_chunks().values if len(left) else pa.array([], pa.int64())
-        data, size, (first, count, anchor, one, two) = _texts(left, right.column("anchors").to_pylist()) if len(left) else (None, np.zeros(0, np.int64), [np.zeros(0, np.int64)] * 5)
-        end = np.cumsum(size)
-        doc = np.searchsorted(end, first, side="right")
-        by = pc.sort_indices(keys, null_placement="at_start").to_numpy().astype(np.int64)
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
-        start = first - (end - size)[doc]
-        # Rows of one key may stand apart in rank; the least place among them is taken by key, then start.
-        code = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
-        least = np.full(int(code.max(initial=-1)) + 2, len(by), np.int64)
-        np.minimum.at(least, code + 1, rank)
-        order = np.lexsort((start, least[code + 1][doc], two, one))
-        fresh = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])] if len(order) else np.zeros(0, bool)
-        pick = order[fresh]
-        length = count[pick] + WIDTH - 1
+        own = _Block(left, right.column("anchors").to_pylist())
+        pick = own.eldest()
+        block = pa.array(np.full(len(pick), left.column("block")[0].as_py()))
+        return pa.table({"of": block, "anchor": own.anchor[pick], "id": own.id[pick], "key": own.keys.take(pa.array(own.doc[pick])), "start": own.start[pick]})
+
+    return _grouped(kept, found, "block", run, f"of long, anchor long, id long, key {kind}, start long")
+
+
+def judged(texts: DataFrame) -> DataFrame:
+    """(of, anchor, id, eldest, mixed): whether a block's text is the eldest of all equal ones, and
+    whether other texts stand around its anchor."""
+    alike = Window.partitionBy("anchor", "id").orderBy("key", "start")
+    around = Window.partitionBy("anchor")
+    rows = texts.withColumn("eldest", F.rank().over(alike) == 1)
+    return rows.select("of", "anchor", "id", "eldest", (F.min("id").over(around) != F.max("id").over(around)).alias("mixed"))
+
+
+def written(kept: DataFrame, found: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
+    """(of, anchor, id, key, start, text) of the texts that are asked for: rows (of, anchor, id)."""
+    rows = _told(found, asked.withColumn("eldest", F.lit(True)).withColumn("marks", F.lit(0).cast("long")))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        want = right.filter(pc.is_valid(right.column("id"))).combine_chunks()
+        own = _Block(left, right.column("anchors").drop_null().to_pylist() if len(want) else [])
+        pick = own.eldest()
+        key = np.stack([np.r_[own.anchor[pick], want.column("anchor").to_numpy()], np.r_[own.id[pick], want.column("id").to_numpy()]])
+        _, at, n = np.unique(key, axis=1, return_inverse=True, return_counts=True)
+        pick = pick[n[at.reshape(-1)[: len(pick)]] > 1]
+        length = own.count[pick] + WIDTH - 1
         at = np.r_[0, np.cumsum(length)]
-        raw = data[np.repeat(first[pick] - at[:-1], length) + np.arange(at[-1])] if len(pick) else np.zeros(0, np.uint8)
+        raw = own.data[np.repeat(own.first[pick] - at[:-1], length) + np.arange(at[-1])] if len(pick) else np.zeros(0, np.uint8)
         text = pa.Array.from_buffers(pa.binary(), len(pick), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
-        cells = {"block": pa.array(np.full(len(pick), left.column("block")[0].as_py() if len(left) else 0)), **{n: pa.array(x[pick].view(np.int64)) for n, x in (("anchor", anchor), ("id", one), ("id2", two))}}
-        return pa.table(cells | {"key": keys.take(pa.array(doc[pick])), "start": pa.array(start[pick]), "text": text})
+        block = pa.array(np.full(len(pick), left.column("block")[0].as_py()))
+        return pa.table({"of": block, "anchor": own.anchor[pick], "id": own.id[pick], "key": own.keys.take(pa.array(own.doc[pick])), "start": own.start[pick], "text": text})
 
-    schema = f"block long, anchor long, id long, id2 long, key {kind}, start long, text binary"
-    return kept.select("block", "key", "size", "data").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(run, schema)
+    return _grouped(kept, rows, "of", run, f"of long, anchor long, id long, key {kind}, start long, text binary")
 
 
-def solved(texts: DataFrame, kind: str) -> DataFrame:
-    """(id, id2, key, start, marks): the least (key, start) of every distinct text, and the windows
-    that are covered even there."""
+def solved(texts: DataFrame) -> DataFrame:
+    """(of, anchor, id, marks): the windows of these texts that are covered, where there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -426,28 +478,33 @@ def solved(texts: DataFrame, kind: str) -> DataFrame:
         def out():
             table = pa.Table.from_batches(held).combine_chunks()
             marks = covered(table.column("text").combine_chunks().cast(pa.large_binary()), table.column("key").combine_chunks(), table.column("start").to_numpy())
-            got = table.select(["id", "id2", "key", "start"]).append_column("marks", pa.array(marks))
-            return got.to_batches()
+            got = table.select(["of", "anchor", "id"]).append_column("marks", pa.array(marks))
+            return got.filter(pa.array(marks != 0)).combine_chunks().to_batches()
 
         for batch in batches:
-            # A batch of texts ends where an anchor's texts end.
-            anchor = batch.column(0).to_numpy()
-            edge = [*(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(anchor)]
+            anchor = batch.column(1).to_numpy()
+            edge = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]).tolist() if len(anchor) else []
+            if held and edge and held[-1].column(1)[-1].as_py() == anchor[0]:
+                edge = edge[1:]
             done = 0
-            for e in [0, *edge] if held and len(anchor) and held[-1].column(0)[-1].as_py() != anchor[0] else edge:
-                if e > done:
-                    held.append(batch.slice(done, e - done))
-                    weight += held[-1].nbytes
-                    done = e
+            for e in [*edge, len(anchor)]:  # texts are solved in batches that end where an anchor's texts end
+                held += [batch.slice(done, e - done)] if e > done else []
+                weight, done = weight + int(batch.nbytes * (e - done) / max(len(anchor), 1)), e
                 if weight >= BATCH_BYTES and e < len(anchor):
                     yield from out()
                     held, weight = [], 0
         if held:
             yield from out()
 
-    least = texts.repartition("anchor").groupBy("anchor", "id", "id2").agg(F.min(F.struct("key", "start", "text")).alias("at"))
-    rows = least.select("anchor", "id", "id2", "at.key", "at.start", "at.text").sortWithinPartitions("anchor")
-    return rows.mapInArrow(tidy(run), f"id long, id2 long, key {kind}, start long, marks long")
+    rows = texts.repartition("anchor").sortWithinPartitions("anchor")
+    return rows.mapInArrow(tidy(run), "of long, anchor long, id long, marks long")
+
+
+def _told(found: DataFrame, answers: DataFrame) -> DataFrame:
+    """What blocks are told: answers to their texts, and which of their anchors are repeated."""
+    none = lambda t: F.lit(None).cast(t)
+    back = found.select("block", none("long"), none("long"), none("boolean"), none("long"), "anchors")
+    return answers.select("of", "anchor", "id", "eldest", "marks", none("binary").alias("anchors")).unionAll(back)
 
 
 def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", rest: bool = False) -> DataFrame:
@@ -456,50 +513,43 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", rest: bool = F
     kind = df.schema[key].dataType.simpleString()
     kept = _bucketed(blocks(df, key, text), "block")
     found = scratch.keep(repeated(kept))
-    texts = scratch.keep(surroundings(kept, found, kind))
-    answers = texts.select(F.col("block").alias("of"), "id", "id2").join(solved(texts, kind), ["id", "id2"])
-    no = lambda t: F.lit(None).cast(t)
-    told = answers.select("of", "id", "id2", "key", "start", "marks", no("binary").alias("anchors")).unionAll(
-        found.select("block", no("long"), no("long"), no(kind), no("long"), no("long"), "anchors")
-    )
+    verdict = scratch.keep(judged(surroundings(kept, found, kind)))
+    marks = solved(written(kept, found, verdict.where("eldest AND mixed").select("of", "anchor", "id"), kind))
+    answers = verdict.select("of", "anchor", "id", "eldest", F.lit(0).cast("long").alias("marks")).unionAll(marks.select("of", "anchor", "id", F.lit(True), "marks"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = left.column("key").combine_chunks().values
-        right = right.combine_chunks()
-        answer = right.filter(pc.is_valid(right.column("id")))
-        data, size, (first, count, _, one, two) = _texts(left, right.column("anchors").drop_null().to_pylist())
-        end = np.cumsum(size)
-        doc = np.searchsorted(end, first, side="right")
-        ids, ids2, at, marks = (answer.column(n).to_numpy() for n in ("id", "id2", "start", "marks"))
-        order = np.lexsort((ids2, ids))
-        # Answers and texts meet by place in one sorted list of both.
-        every = np.lexsort((np.r_[np.zeros(len(ids)), np.ones(len(one))], np.r_[ids2, two.view(np.int64)], np.r_[ids, one.view(np.int64)]))
-        place = np.empty(len(every), np.int64)
-        place[every] = np.cumsum(every < len(ids)) - 1
-        mine = order[place[len(ids) :]]
-        codes = pa.concat_arrays([keys, answer.column("key").combine_chunks().cast(keys.type)]).dictionary_encode().indices
-        codes = pc.fill_null(codes, -1).to_numpy(zero_copy_only=False)
-        start = first - (end - size)[doc]
-        eldest = (codes[doc] == codes[len(keys) :][mine]) & (start == at[mine])
-        window = np.zeros(len(data) + 1, np.int64)
-        np.add.at(window, first[~eldest], 1)
-        np.add.at(window, (first + count)[~eldest], -1)
-        window = np.cumsum(window)[: len(data)] > 0
-        own = np.flatnonzero(eldest & (marks[mine] != 0))
-        bits = (marks[mine[own]][:, None] >> np.arange(RUN)) & 1
-        row, bit = np.nonzero(bits)
-        window[first[own[row]] + bit] = True
+        own = _Block(left, right.column("anchors").drop_null().to_pylist())
+        right = right.filter(pc.is_valid(right.column("id"))).combine_chunks()
+        # A text can have two rows: whether it is the eldest, and marks.
+        anchor, one, mark = (right.column(n).to_numpy() for n in ("anchor", "id", "marks"))
+        eldest = right.column("eldest").combine_chunks().cast(pa.int8()).to_numpy().astype(bool) if len(right) else np.zeros(0, bool)
+        order = np.lexsort((one, anchor))
+        begin = np.flatnonzero(np.r_[True, (np.diff(anchor[order]) != 0) | (np.diff(one[order]) != 0)]) if len(order) else order
+        anchor, one = anchor[order[begin]], one[order[begin]]
+        mark, eldest = (f.reduceat(x[order], begin) if len(order) else x for f, x in ((np.bitwise_or, mark), (np.logical_and, eldest)))
+        mine = own.of(anchor, one)
+        # The eldest of a block's equal texts, and those with the same key and start.
+        age, pick = ranks(own.keys)[own.doc], own.eldest()
+        at = own.of(own.anchor[pick], own.id[pick])
+        same = (age == age[pick][at]) & (own.start == own.start[pick][at]) & eldest[mine] if len(mine) else np.zeros(0, bool)
+        window = np.zeros(len(own.data) + 1, np.int64)
+        np.add.at(window, own.first[~same], 1)
+        np.add.at(window, (own.first + own.count)[~same], -1)
+        window = np.cumsum(window)[: len(own.data)] > 0
+        part = np.flatnonzero(same & (mark[mine] != 0)) if len(mine) else mine
+        row, bit = np.nonzero((mark[mine[part]][:, None] >> np.arange(RUN)) & 1)
+        window[own.first[part[row]] + bit] = True
         total = np.r_[0, np.cumsum(window)]
-        gone = total[1:] > total[np.maximum(np.arange(len(data)) - WIDTH + 1, 0)]
-        spans = gone & ~np.r_[False, gone[:-1]]
-        spans[(end - size)[size > 0]] = gone[(end - size)[size > 0]]
-        edge = np.r_[0, end]
-        removed, pieces_ = (np.diff(np.r_[0, np.cumsum(x)][edge]) for x in (gone, spans))
-        left_ = data[~gone]
-        edge = (edge - np.r_[0, np.cumsum(removed)]).tolist()
-        kept_ = [left_[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)]
-        cells = {key: keys, "n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(pieces_), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept_], pa.string())}
-        return pa.table(cells | ({"rest": pa.array(kept_, pa.binary())} if rest else {}))
+        gone = total[1:] > total[np.maximum(np.arange(len(own.data)) - WIDTH + 1, 0)]
+        begin = (own.end - own.size)[own.size > 0]
+        spans = gone & ~np.r_[False, gone[:-1]][: len(gone)]
+        spans[begin] = gone[begin]
+        edge = np.r_[0, own.end]
+        removed, runs = (np.diff(np.r_[0, np.cumsum(x)][edge]) for x in (gone, spans))
+        left_over, edge = own.data[~gone], (edge - np.r_[0, np.cumsum(removed)]).tolist()
+        parts = [left_over[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)]
+        cells = {key: own.keys, "n_bytes": own.size, "n_removed": removed, "n_spans": runs, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in parts]}
+        return pa.table(cells | ({"rest": pa.array(parts, pa.binary())} if rest else {}))
 
     schema = f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", rest binary" if rest else "")
-    return kept.select("block", "key", "size", "data").groupBy("block").cogroup(told.groupBy("of")).applyInArrow(run, schema)
+    return _grouped(kept, _told(found, answers), "of", run, schema)

@@ -85,7 +85,7 @@ def test_equals_plain(spark, monkeypatch, crowd):
     monkeypatch.setattr(S, "PIECE", 2000)
     rows = corpus(crowd)
     random.Random(1).shuffle(rows)
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS block", "2 AS key", "3 AS id").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS block", "2 AS key", "3 AS id", "4 AS anchor", "5 AS of").repartition(3)
     assert ran(S.dedup(df)) == plain(rows)
 
 
