@@ -45,13 +45,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairbench.llm import scratch
-from pairbench.llm.textkit import flat, mix, tidy
+from pairbench.llm.textkit import mix, tidy
 
 WIDTH, GRAM = 100, 37
 RUN = WIDTH - GRAM + 1  # windows of one anchor at most: their marks fit into a long
 BLOCK_BYTES = 4 << 20
 PIECE = 1 << 18  # windows worked on at once; the places of their parts fit into 20 bits
 PART = 1 << 20  # hashes counted in one task
+SOME = 8192  # anchors of a block in one row
 CROWD = 20_000  # texts of one anchor, each counted once a block, up to which they go to one task
 BATCH_BYTES = 2 << 20
 _BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -166,12 +167,10 @@ def common_prefixes(word: np.ndarray, order: np.ndarray, most: int = WIDTH) -> n
 
 
 def covered(texts: pa.Array, keys: pa.Array, start: np.ndarray) -> np.ndarray:
-    """For each of these (large binary) texts, standing at (key, start), a long whose bit i says that its window i also stands
+    """For each of these texts, standing at (key, start), a long whose bit i says that its window i also stands
     at a smaller (key, start) in these texts."""
-    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    text = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
-    at = at - at[0]
-    size = np.diff(at)
+    text, size = _bytes(texts)
+    at = np.r_[0, np.cumsum(size)]
     windows = size - WIDTH + 1
     inside = np.arange(len(text)) - np.repeat(at[:-1], size)
     wanted = inside < np.repeat(windows, size)
@@ -283,44 +282,54 @@ def anchors(data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def blocks(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(block, key array, size array, data, anchors, texts): documents end to end and their anchors."""
+    """Documents (block, key, data), and rows (block, anchors, texts) with some of the block's anchors.
+    Rows are kept small, as large cells cost a multiple of their size on the way."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, held = TaskContext.get().partitionId(), 0, 0
         keys: list[pa.Array] = []
-        sizes: list[np.ndarray] = []
-        data: list[np.ndarray] = []
+        data: list[pa.Array] = []
 
         def block():
-            size, raw = np.concatenate(sizes), np.concatenate(data)
-            anchor, texts = anchors(raw, size)
-            cells = [pa.array([part << 32 | number]), _list(pa.concat_arrays(keys)), _list(pa.array(size)), *(pa.array([x.tobytes()], pa.binary()) for x in (raw, anchor, texts.astype(np.uint32)))]
-            return pa.RecordBatch.from_arrays(cells, ["block", "key", "size", "data", "anchors", "texts"])
+            nonlocal number, held
+            name, own, raw = part << 32 | number, pa.concat_arrays(keys), pa.concat_arrays(data)
+            anchor, texts = anchors(*_bytes(raw))
+            cut = range(0, len(anchor), SOME)
+            cells = [pa.array([x[i : i + SOME].tobytes() for i in cut], pa.binary()) for x in (anchor, texts.astype(np.uint32))]
+            none = lambda n, t: pa.nulls(n, t)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(own)), own, raw, *(none(len(own), pa.binary()) for _ in range(2))], names)
+            if len(cut):
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cut)), none(len(cut), own.type), none(len(cut), pa.binary()), *cells], names)
+            keys.clear(), data.clear()
+            number, held = number + 1, 0
 
-        held = 0
         for batch in batches:
-            raw, at = flat(batch.column(1))
+            raw = pc.fill_null(batch.column(1), b"")
+            at = np.r_[0, np.cumsum(pc.binary_length(raw).to_numpy())].astype(np.int64)
             i = 0
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(at, at[i] + BLOCK_BYTES - held, side="right")) - 1)
                 keys.append(batch.column(0).slice(i, j - i))
-                sizes.append(np.diff(at[i : j + 1]))
-                data.append(raw[at[i] : at[j]].copy())
+                data.append(raw.slice(i, j - i))
                 held, i = held + int(at[j] - at[i]), j
                 if held >= BLOCK_BYTES or i < batch.num_rows:
-                    yield block()
-                    keys.clear(), sizes.clear(), data.clear()
-                    held, number = 0, number + 1
+                    yield from block()
         if keys:
-            yield block()
+            yield from block()
 
-    schema = f"block long, key array<{kind}>, size array<long>, data binary, anchors binary, texts binary"
-    return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(tidy(run), schema)
+    names = ["block", "key", "data", "anchors", "texts"]
+    rows = df.select(F.col(key), F.col(text).cast("string").cast("binary"))
+    return rows.mapInArrow(tidy(run), f"block long, key {kind}, data binary, anchors binary, texts binary")
 
 
-def _list(values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _bytes(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary array end to end, and the size of each element."""
+    data = data.cast(pa.large_binary())
+    at = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    body = data.buffers()[2]
+    raw = np.frombuffer(body, np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], np.diff(at)
 
 
 def _bucketed(df: DataFrame, by: str) -> DataFrame:
@@ -338,6 +347,7 @@ def _bucketed(df: DataFrame, by: str) -> DataFrame:
 def repeated(kept: DataFrame) -> DataFrame:
     """(block, anchors): of each block's anchors those that occur twice or more anywhere, in pieces;
     the lowest bit is set for crowded ones."""
+    kept = kept.where("anchors IS NOT NULL")
     total = kept.agg(F.sum(F.length("anchors") / 8)).first()[0] or 0
     bits = max(0, math.ceil(math.log2(total / PART))) if total else 0
 
@@ -369,12 +379,11 @@ def repeated(kept: DataFrame) -> DataFrame:
 
 
 class _Block:
-    """A block's row with the texts around its repeated anchors: first window, windows, anchor, id."""
+    """A block's documents with the texts around its repeated anchors: first window, windows, anchor, id."""
 
     def __init__(self, row: pa.Table, found: list[bytes]):
-        self.keys = row.column("key").combine_chunks().values
-        self.data = np.frombuffer(row.column("data")[0].as_buffer(), np.uint8)
-        self.size = row.column("size").combine_chunks().values.to_numpy()
+        self.keys = row.column("key").combine_chunks()
+        self.data, self.size = _bytes(row.column("data").combine_chunks())
         known = np.sort(np.concatenate([np.frombuffer(x, np.uint64) for x in found])) if found else np.zeros(0, np.uint64)
         crowded = (known & np.uint64(1)).astype(bool)
         got = [p.texts(known & ~np.uint64(1), crowded) for p in pieces(self.data, self.size)] if len(known) else []
@@ -417,12 +426,12 @@ def _freed(out: pa.Table) -> pa.Table:
 
 
 def _grouped(kept: DataFrame, other: DataFrame, by: str, run, schema: str) -> DataFrame:
-    """run(block's row, rows of other with this block); blocks without any get none."""
+    """run(block's documents, rows of other with this block); blocks without any get none."""
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
         return _freed(run(left, right.combine_chunks()))
 
-    return kept.select("block", "key", "size", "data").groupBy("block").cogroup(other.groupBy(by)).applyInArrow(each, schema)
+    return kept.where("anchors IS NULL").select("block", "key", "data").groupBy("block").cogroup(other.groupBy(by)).applyInArrow(each, schema)
 
 
 def surroundings(kept: DataFrame, found: DataFrame, kind: str) -> DataFrame:
@@ -477,7 +486,7 @@ def solved(texts: DataFrame) -> DataFrame:
 
         def out():
             table = pa.Table.from_batches(held).combine_chunks()
-            marks = covered(table.column("text").combine_chunks().cast(pa.large_binary()), table.column("key").combine_chunks(), table.column("start").to_numpy())
+            marks = covered(table.column("text").combine_chunks(), table.column("key").combine_chunks(), table.column("start").to_numpy())
             got = table.select(["of", "anchor", "id"]).append_column("marks", pa.array(marks))
             return got.filter(pa.array(marks != 0)).combine_chunks().to_batches()
 
