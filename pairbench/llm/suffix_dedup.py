@@ -228,7 +228,8 @@ class Piece:
         self.first = np.flatnonzero(fresh)
         ends = valid & ~np.r_[valid[1:] & ~fresh[1:], False]
         self.count = np.flatnonzero(ends) - self.first + 1
-        self.anchor = gram[anchor[self.first]] & ~np.uint64(1)
+        # Least hashes are small numbers, so they are mixed once more to be dealt evenly by range.
+        self.anchor = mix(gram[anchor[self.first]]) & ~np.uint64(1)
 
     def hash(self, begin: np.ndarray, size, which: int = 0) -> np.ndarray:
         """A hash of the `size` bytes from each place on."""
