@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that spark.checkpoint.dir names. Where it is unset, a local session
-    (as in tests) takes a folder of its own; on a cluster that is an error."""
+    """Cuts lineage in the shared folder that spark.checkpoint.dir names; it has to be set."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp())
+        if not shared:
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        sc.setCheckpointDir(shared)
     return df.checkpoint()
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairbench.operators import metrics
+from pairbench.operators import components, metrics
 
 
 def null_samples(df: DataFrame, g: str, repeats: int, seed: str) -> DataFrame:
@@ -24,6 +27,40 @@ def null_samples(df: DataFrame, g: str, repeats: int, seed: str) -> DataFrame:
     return per.groupBy("draw").agg(F.round(F.avg("ap"), 6).alias("ap"))
 
 
+def expected_null(df: DataFrame, g: str) -> DataFrame:
+    """(n_groups, expected_ap): the exact mean of the macro average precision of random rankings.
+    With k positives in n places it is (H + (k - 1) / (n - 1) (n - H)) / n, H being the n-th harmonic
+    number (its series over 64 terms)."""
+    n = metrics.scored(df).groupBy(g).agg(F.sum("label").alias("k"), F.count("*").alias("n")).where("k > 0")
+    m = F.col("n").cast("double")
+    few = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(64)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / i)
+    h = F.when(F.col("n") <= 64, few).otherwise(F.log(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m) + 1 / (120 * m * m * m * m))
+    rest = F.coalesce(F.try_divide((F.col("k") - 1) * (m - h), m - 1), F.lit(0.0))
+    return n.agg(F.count("*").alias("n_groups"), F.round(F.avg((h + rest) / m), 6).alias("expected_ap"))
+
+
+def sampled_null(df: DataFrame, g: str, draws: int = 200, seed: int = 0) -> DataFrame:
+    """(draw, ap): macro average precision of random rankings, as null_samples, but each group is one row
+    with its numbers of places and positives, and a draw takes the positives' places from a generator
+    that is keyed by (seed, group, draw): time and memory grow with the positives, and no place becomes
+    a row. The same draws come out on every cluster."""
+    n = metrics.scored(df).groupBy(g).agg(F.sum("label").alias("k"), F.count("*").alias("n")).where("k > 0")
+    dealt = n.select(F.xxhash64(g).alias("key"), "k", "n", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 25))).alias("part")).repartition("key", "part")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for key, k, size, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for draw in range(part * 25, min(part * 25 + 25, draws)):
+                    rng = np.random.Generator(np.random.Philox(key=[key & (1 << 64) - 1, seed << 32 | draw]))
+                    at = np.sort(rng.choice(size, k, replace=False, shuffle=False)) + 1
+                    out.append((draw, float(np.mean(np.arange(1, k + 1) / at))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.float64()))], ["draw", "ap"])
+
+    per = dealt.select("key", "k", "n", "part").mapInArrow(run, "draw int, ap double")
+    return per.groupBy("draw").agg(F.round(F.avg("ap"), 6).alias("ap"))
+
+
 def null_band(samples: DataFrame) -> DataFrame:
     return samples.agg(F.round(F.avg("ap"), 5).alias("random_mean"), F.round(F.percentile("ap", 0.95), 5).alias("random_p95"))
 
@@ -117,52 +154,89 @@ def losses(df: DataFrame, g: str, weight: float = 0.5) -> DataFrame:
     return out.select(g, F.round("nce", 5).alias("nce"), F.round("bce", 5).alias("bce"), F.round(weight * F.col("nce") + (1 - weight) * F.col("bce"), 5).alias("hybrid"))
 
 
-def rank_ceiling(cells: DataFrame, ranks: list[int], most: int = 4000) -> DataFrame:
-    """(rank, ap): macro AP of the best approximations of a binary matrix (entity, site, label) by few
-    factors. No-calls take their site's mean. The entity-by-entity Gram matrix is summed on executors
-    (`most` entities at most, checked) and its eigenvectors are found on the driver; the matrix itself
-    stays distributed by sites."""
-    names = [r[0] for r in cells.select("entity").distinct().orderBy("entity").limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"over {most} entities: the Gram matrix would not fit")
-    place = {e: i for i, e in enumerate(names)}
-
-    def centred(own: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-        x, y = np.zeros(len(names)), np.full(len(names), -1)
-        rows = [place[e] for e in own["entity"]]
-        y[rows] = own["label"]
-        known = y >= 0
-        mean = y[known].mean() if known.any() else 0.0
-        x[:] = np.where(known, y, mean)
-        return x - x.mean(), y, x.mean()
-
-    def gram(batches):
-        total = np.zeros((len(names), len(names)))
+def _multiplied(cells: DataFrame, vectors: DataFrame, on: str, to: str, names: list[str]) -> DataFrame:
+    """(to, names): the matrix cells (x) times a few vectors (on, names), summed with map-side combine."""
+    sums = [F.sum(F.col("x") * F.col(n)).alias(n) for n in names]
+    return cells.select("entity", "site", "x").join(vectors, on).groupBy(to).agg(*sums)
+
+
+def _inner(rows: DataFrame, names: list[str]) -> np.ndarray:
+    """The products of all pairs of columns, added up over rows: one small matrix a partition, and of
+    these one row a cell reaches the driver."""
+    size = len(names)
+
+    def run(batches):
+        total = np.zeros((size, size))
         for b in batches:
-            for _, own in b.groupby("site"):
-                x = centred(own)[0]
-                total += np.outer(x, x)
-        yield pd.DataFrame({"row": np.arange(len(names)), "data": list(total)})
-
-    dealt = cells.select("entity", "site", F.col("label").cast("int").alias("label")).repartition("site")
-    sums = dealt.mapInPandas(gram, "row int, data array<double>").select("row", F.posexplode("data").alias("col", "x")).groupBy("row", "col").agg(F.sum("x").alias("x")).toPandas()
-    matrix = np.zeros((len(names), len(names)))
-    matrix[sums["row"], sums["col"]] = sums["x"]
-    values, vectors = np.linalg.eigh(matrix)
-    vectors = vectors[:, np.argsort(-values, kind="stable")]
-    bases = {r: vectors[:, :r] for r in ranks}
-
-    def project(batches):
+            x = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], 1)
+            total += x.T @ x
+        yield pa.RecordBatch.from_pydict({"cell": np.arange(size * size), "x": total.ravel()})
+
+    sums = rows.select(names).mapInArrow(run, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x"))
+    out = np.zeros(size * size)
+    for r in sums.collect():
+        out[r["cell"]] = r["x"]
+    return out.reshape(size, size)
+
+
+def _turned(rows: DataFrame, key: str, names: list[str], by: np.ndarray) -> DataFrame:
+    """(key, names): each row's vector times a small matrix."""
+
+    def run(batches):
         for b in batches:
-            for _, own in b.groupby("site"):
-                x, y, mean = centred(own)
-                for r, u in bases.items():
-                    z = np.round(u @ (u.T @ x) + mean, 9)
-                    keep = y >= 0
-                    yield pd.DataFrame({"g": [f"{r}:{i}" for i in np.flatnonzero(keep)], "rank": r, "score": z[keep], "label": y[keep]})
-
-    scored = dealt.mapInPandas(project, "g string, rank int, score double, label int")
-    ap = metrics.average_precision(scored, "g").select(F.split_part("g", F.lit(":"), F.lit(1)).cast("int").alias("rank"), "ap")
+            x = np.stack([b.column(n).to_numpy(zero_copy_only=False) for n in names], 1) @ by
+            yield pa.RecordBatch.from_arrays([b.column(key), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], [key, *names])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, *names).mapInArrow(run, ", ".join([f"`{key}` {kind}", *(f"{n} double" for n in names)]))
+
+
+def rank_ceiling(cells: DataFrame, ranks: list[int], spare: int = 8, rounds: int = 100, close: float = 1e-11) -> DataFrame:
+    """(rank, ap, n): macro AP of the best approximations of a binary matrix (entity, site, label) by few
+    factors. No-calls take their site's mean, so they are 0 once sites are centred, and the matrix is
+    as sparse as its calls.
+
+    Subspace iteration: max(ranks) + spare random columns, drawn from hashes of the entities, are
+    multiplied by the matrix and its transpose, as joins and sums, and made orthonormal by the Cholesky
+    factor of their small product, until the leading values rest. Entities and sites stay distributed;
+    only matrices of the width of the columns reach the driver. Columns beyond the matrix's rank vanish
+    and are left out. With equal values at the cut the approximation is one of several best ones."""
+    own = cells.select("entity", "site", F.col("label").cast("int").alias("label")).where("label >= 0")
+    own = own.withColumn("mean", F.avg("label").over(Window.partitionBy("site"))).withColumn("x", F.col("label") - F.col("mean"))
+    own = components.cut(own)
+    names = [f"q{i}" for i in range(max(ranks) + spare)]
+    bits = [(F.pmod(F.xxhash64("entity", F.lit(i)), F.lit(2**20)) / 2.0**19 - 1).alias(n) for i, n in enumerate(names)]
+    q, last = own.select("entity").distinct().select("entity", *bits), None
+    for _ in range(rounds):
+        gram = _inner(q, names)
+        values, turn = np.linalg.eigh(gram)
+        keep = values > values.max(initial=0) * 1e-13
+        if not keep.any():
+            names = []
+            break
+        q = _turned(q, "entity", names, np.pad(turn[:, keep] / np.sqrt(values[keep]), ((0, 0), (0, (~keep).sum()))))
+        names = names[: int(keep.sum())]
+        q = components.cut(q.select("entity", *names))
+        at = components.cut(_multiplied(own, q, "entity", "site", names))
+        # The best combinations of the columns, largest first.
+        values, turn = np.linalg.eigh(_inner(at, names))
+        turn = np.ascontiguousarray(turn[:, ::-1])
+        values = values[::-1][: max(ranks)]
+        if last is not None and len(last) == len(values) and np.all(np.abs(values - last) <= close * max(values.max(), 1e-300)):
+            break
+        last = values
+        q_next = _multiplied(own, at, "site", "entity", names)
+        q = components.cut(own.select("entity").distinct().join(q_next, "entity"))
+    if not names:
+        return own.sparkSession.createDataFrame([], "rank int, ap double, n long")
+    leading = names[: max(ranks)]
+    u = _turned(q, "entity", names, turn).select("entity", *leading)
+    at = _turned(at, "site", names, turn).select("site", *[F.col(n).alias(f"s{n}") for n in leading])
+    scored = own.join(u, "entity").join(at, "site")
+    some = [F.col(n) * F.col(f"s{n}") for n in leading]
+    total = F.array(*[F.struct(F.lit(r).alias("rank"), F.round(reduce(add, some[:r], F.col("mean")), 8).alias("score")) for r in ranks])
+    out = scored.select("entity", "label", F.explode(total).alias("at")).select(F.struct("at.rank", "entity").alias("g"), "at.score", "label")
+    ap = metrics.average_precision(out, "g").select("g.rank", "ap")
     return ap.groupBy("rank").agg(F.round(F.avg("ap"), 6).alias("ap"), F.count("ap").alias("n"))
 
 

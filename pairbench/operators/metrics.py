@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairbench.operators import ordering
+
 
 def scored(df: DataFrame) -> DataFrame:
     return df.where("label <> -1")
@@ -82,17 +84,18 @@ def calls(df: DataFrame, g: str, cut: float) -> DataFrame:
 def ece(df: DataFrame, p: Column, bins: int = 15) -> DataFrame:
     """Expected calibration error over bins of equal mass (the first n % bins get one more). Rows are
     grouped by p before the global order; rows that tie share their mean label."""
-    own = scored(df).groupBy(p.alias("p")).agg(F.count("*").alias("n"), F.avg("label").alias("y"))
-    own = own.select("*", F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)).alias("to"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    q, r = F.floor(F.col("all") / bins), F.col("all") % bins
+    rows = scored(df).groupBy(p.alias("p")).agg(F.count("*").alias("n"), F.avg("label").alias("y"))
+    own, total = ordering.running(rows, ["p"], "n", before="from")
+    own = own.withColumn("to", F.col("from") + F.col("n"))
+    q, r = divmod(total, bins)
 
     def begin(b: Column) -> Column:
-        return b * q + F.least(b, r)
+        return b * q + F.least(b, F.lit(r))
 
     def bin_of(at: Column) -> Column:
-        return F.when(at < r * (q + 1), F.floor(at / (q + 1))).otherwise(r + F.floor((at - r * (q + 1)) / F.nullif(q, F.lit(0))))
+        return ordering.tile(at, total, bins)
 
-    cut = own.select("*", F.explode(F.sequence(bin_of(F.col("to") - F.col("n")), bin_of(F.col("to") - 1))).alias("bin"))
-    part = F.least(F.col("to"), begin(F.col("bin") + 1)) - F.greatest(F.col("to") - F.col("n"), begin(F.col("bin")))
+    cut = own.select("*", F.explode(F.sequence(bin_of(F.col("from")), bin_of(F.col("to") - 1))).alias("bin"))
+    part = F.least(F.col("to"), begin(F.col("bin") + 1)) - F.greatest(F.col("from"), begin(F.col("bin")))
     per = cut.withColumn("part", part).groupBy("bin").agg(F.sum("part").alias("n"), F.abs(F.sum(F.col("part") * (F.col("p") - F.col("y")))).alias("gap"))
     return per.agg(F.round(F.sum("gap") / F.sum("n"), 6).alias("ece"))

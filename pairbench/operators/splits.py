@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairbench.operators import ordering
+
 
 def draw(seed: str, key: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), key.cast("string")), 256)
@@ -13,8 +15,8 @@ def draw(seed: str, key: Column) -> Column:
 
 def balanced_folds(df: DataFrame, key: str, folds: int, seed: str) -> DataFrame:
     """Distinct keys dealt to folds whose sizes differ by one at most."""
-    keys = df.select(key).distinct()
-    return keys.withColumn("fold", F.ntile(folds).over(Window.orderBy(draw(seed, F.col(key)), key)))
+    keys, total = ordering.running(df.select(key).distinct().withColumn("_draw", draw(seed, F.col(key))), ["_draw", key])
+    return keys.select(key, (ordering.tile(F.col("before"), total, folds) + 1).cast("int").alias("fold"))
 
 
 def variant_fraction(df: DataFrame, group: str, key: str, fraction: float, seed: str) -> DataFrame:
@@ -31,9 +33,8 @@ def digest(df: DataFrame, group: str, key: str) -> DataFrame:
 
 def smallest_first(df: DataFrame, group: str, share: float) -> DataFrame:
     """Whole groups, smallest first, until the target is reached."""
-    n = df.groupBy(group).agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("n", group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return n.select(group, "n", before.alias("before"), (F.sum("n").over(Window.partitionBy()) * share).alias("target")).where("before < target").select(group, "n")
+    n, total = ordering.running(df.groupBy(group).agg(F.count("*").alias("n")), ["n", group], "n")
+    return n.where(F.col("before") < total * share).select(group, "n")
 
 
 def _one_task(groups: DataFrame, run, schema: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,35 @@ BLOCK = 1024
 Emit = Callable[[pa.Table, pa.Table, np.ndarray, bool], pa.Table]
 
 
+def matrix(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    """A column of vectors; a null component is not a number."""
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return np.split(x, np.cumsum(pc.list_value_length(rows).to_numpy())[:-1]) if len(rows) else []
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def cosines(a: pa.ChunkedArray, b: pa.ChunkedArray) -> np.ndarray:
+    """All cosines of two columns of vectors, rounded to 5 places. Vectors of different widths, and those
+    with a component that is not finite, have none: their cosine is minus infinity."""
+    x, y = matrix(a), matrix(b)
+    out = np.full((len(x), len(y)), -np.inf)
+
+    def good(rows: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+        own = [i for i, r in enumerate(rows) if len(r) == n]
+        m = np.stack([rows[i] for i in own])
+        keep = np.isfinite(m).all(1) & m.any(1)
+        return np.array(own)[keep], m[keep]
+
+    for n in ({len(r) for r in x} & {len(r) for r in y}) - {0}:
+        (p, u), (q, v) = good(x, n), good(y, n)
+        out[np.ix_(p, q)] = np.round(unit(u) @ unit(v).T, 5) + 0.0
+    return out
+
+
 def products(e: DataFrame, group: str, key: str, vector: str, emit: Emit, schema: str, block: int = BLOCK) -> DataFrame:
     """What `emit` makes of each two blocks of a group. It is given both blocks' rows, their cosines
     (rounded to 5 places) and whether the two are one block."""
@@ -26,17 +56,12 @@ def products(e: DataFrame, group: str, key: str, vector: str, emit: Emit, schema
     meet = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_parts")), lambda j: F.struct(F.least("_own", j).alias("i"), F.greatest("_own", j).alias("j")))
     dealt = own.withColumn("_at", F.explode(meet)).withColumn("_i", F.col("_at.i")).withColumn("_j", F.col("_at.j")).drop("_at", "_parts")
 
-    def unit(t: pa.Table) -> np.ndarray:
-        rows = t.column(vector).combine_chunks()
-        x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
-        return x / np.sqrt((x * x).sum(1, keepdims=True))
-
     def run(t: pa.Table) -> pa.Table:
         i, j = t.column("_i")[0].as_py(), t.column("_j")[0].as_py()
         side = t.column("_own").to_numpy()
         a = t.filter(pa.array(side == i)).sort_by(key)
         b = a if i == j else t.filter(pa.array(side == j)).sort_by(key)
-        return emit(a, b, np.round(unit(a) @ unit(b).T, 5) + 0.0 if len(a) and len(b) else np.zeros((len(a), len(b))), i == j)
+        return emit(a, b, cosines(a.column(vector), b.column(vector)), i == j)
 
     return dealt.groupBy(group, "_i", "_j").applyInArrow(run, schema)
 
@@ -71,7 +96,8 @@ def medoids(e: DataFrame) -> DataFrame:
     """Each family's vector with the least sum of distances, ties to the lower id."""
 
     def emit(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> dict:
-        return {"v": x, "d": np.nansum(1 - c, axis=1), "n": (~np.isnan(c)).sum(1)}
+        some = np.isfinite(c)
+        return {"v": x, "d": np.where(some, 1 - np.where(some, c, 0), 0).sum(1), "n": some.sum(1)}
 
     total = _directed(e, emit, "label int, v long, d double, n long").groupBy("label", "v").agg(F.round(F.sum("d"), 4).alias("distance"), F.sum("n").alias("n")).where("n > 0")
     best = F.min(F.struct("distance", "v")).alias("m")
@@ -95,23 +121,36 @@ def nearest(e: DataFrame, k: int, eligible: Callable[[np.ndarray, np.ndarray], n
 
 
 def farther_share(e: DataFrame) -> DataFrame:
-    """(q, farther): of a vector's relatives but its family's medoid, the share farther than the medoid."""
-    home = e.join(medoids(e), "label").select("label", "vec_id", "embedding", "medoid")
+    """(q, farther): of a vector's relatives but its family's medoid, the share farther than the medoid.
+    Each vector takes its cosine with the medoid into the products, and only two counts of it leave a
+    block."""
+    own = e.select("label", "vec_id", "embedding")
+    centre = medoids(e).select("label", "medoid")
+    core = own.join(centre.withColumnRenamed("medoid", "vec_id"), ["label", "vec_id"]).select("label", F.col("vec_id").alias("medoid"), F.col("embedding").alias("centre"))
+
+    def near(batches):
+        for t in batches:
+            x, y = (matrix(t.column(n)) for n in ("embedding", "centre"))
+            c = np.array([np.round(unit(a[None]) @ unit(b[None]).T, 5)[0, 0] if a.any() and len(a) == len(b) else np.nan for a, b in zip(x, y, strict=True)])
+            yield pa.RecordBatch.from_arrays([*t.drop_columns(["centre"]).columns, pa.array(c + 0.0)], names)
+
+    names = ["label", "vec_id", "embedding", "medoid", "bound"]
+    home = own.where(F.exists("embedding", lambda x: x != 0)).join(core, "label").select(*names[:4], "centre")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in home.schema][:4]
+    bounded = home.mapInArrow(near, ", ".join([*kinds, "bound double"]))
 
     def run(a: pa.Table, b: pa.Table, c: np.ndarray, same: bool) -> pa.Table:
         def emit(t: pa.Table, u: pa.Table, m: np.ndarray) -> dict:
-            x, y, centre = t.column("vec_id").to_numpy(), u.column("vec_id").to_numpy(), t.column("medoid").to_numpy()
-            p, q = np.nonzero(x[:, None] != y[None, :])
-            return {"q": x[p], "cosine": m[p, q], "mine": y[q] == centre[p]}
+            x, y, own, bound = t.column("vec_id").to_numpy(), u.column("vec_id").to_numpy(), t.column("medoid").to_numpy(), t.column("bound").to_numpy()
+            other = (x[:, None] != y[None, :]) & (y[None, :] != own[:, None]) & np.isfinite(m)
+            return {"q": x, "far": (other & (m < bound[:, None])).sum(1), "n": other.sum(1), "medoid": own}
 
         got = [emit(a, b, c)] + ([] if same else [emit(b, a, c.T)])
         return pa.table({k: np.concatenate([g[k] for g in got]) for k in got[0]})
 
-    own = F.max(F.when(F.col("mine"), F.col("cosine")))
-    pairs = products(home, "label", "vec_id", "embedding", run, "q long, cosine double, mine boolean").groupBy("q", "cosine").agg(F.count("*").alias("n"), F.bool_or("mine").alias("mine"))
-    to = Window.partitionBy("q")
-    both = pairs.withColumn("own", own.over(to)).where(F.col("own").isNotNull())
-    return both.groupBy("q").agg(F.round(F.sum(F.when(F.col("cosine") < F.col("own"), F.col("n")).otherwise(0)) / F.nullif(F.sum("n") - 1, F.lit(0)), 6).alias("farther"))
+    counts = products(bounded, "label", "vec_id", "embedding", run, "q long, far long, n long, medoid long")
+    total = counts.where("q <> medoid").groupBy("q").agg(F.sum("far").alias("far"), F.sum("n").alias("n"))
+    return total.select("q", F.round(F.col("far") / F.nullif("n", F.lit(0)), 6).alias("farther"))
 
 
 def pool(e: DataFrame) -> DataFrame:

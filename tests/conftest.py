@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,6 +12,8 @@ def spark():
     from pyspark.sql import SparkSession
 
     conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"}
+    shared = tempfile.mkdtemp(prefix="spark-")  # one machine: any folder is shared
+    conf |= {"spark.checkpoint.dir": f"file://{shared}", "spark.sql.warehouse.dir": f"{shared}/warehouse"}
     return SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
 
 
