@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, one machine (as in tests) takes a
+    folder of its own; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder that spark.checkpoint.dir names; it has to be set."""
+    """Cuts lineage in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

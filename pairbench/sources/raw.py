@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairbench.sources import formats
+
 
 class NoScoreColumn(ValueError):
     """No column, or more than one, can be the score."""
@@ -20,17 +19,8 @@ class Truncated(NoScoreColumn):
 
 
 def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, line): lines of every member of every zip archive, an archive a task at a time."""
-
-    def run(batches):
-        for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        lines = z.read(name).decode("utf-8", "replace").splitlines()
-                        yield pd.DataFrame({"archive": archive, "member": name, "line": lines})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, line string")
+    """(archive, member, line): lines of every member of every zip archive, a member a task at a time."""
+    return formats.zipped_lines(spark, path).select("archive", "member", "line")
 
 
 def cells(lines: DataFrame, header: str = "(?i)^8-mer") -> DataFrame:
@@ -57,19 +47,14 @@ def score_column(df: DataFrame, names: list[str], pattern: str = "score", least:
 
 
 def records(spark: SparkSession, path: str, start: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(id, body) of text files of records, each begun by a line `start` followed by its id; gzip is read
-    as it is. Records are split by the reader, so no record needs a sequential scan; `wanted` (id) keeps
-    some."""
-    raw = spark.read.option("lineSep", "\n" + start).text(path).select(F.regexp_replace("value", "^" + re.escape(start), "").alias("value"))
-    out = raw.select(F.trim(F.split_part("value", F.lit("\n"), F.lit(1))).alias("id"), F.regexp_extract("value", r"(?s)^[^\n]*\n(.*)$", 1).alias("body")).where("id <> ''")
-    return out if wanted is None else out.join(wanted.select("id"), "id", "left_semi")
+    """(id, body) of text files of records, each begun by a line `start` followed by its id, read by byte
+    ranges (gzip as a stream); `wanted` (id) keeps some."""
+    return formats.records(spark, path, start, wanted).select("id", "body")
 
 
 def weight_matrices(spark: SparkSession, path: str) -> DataFrame:
     """(name, weights): motifs of `>name` and rows of four numbers, first of a name; weights lie end to end."""
-    own = records(spark, path, ">").groupBy("id").agg(F.min("body").alias("body"))
-    numbers = F.transform(F.filter(F.split("body", r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
-    return own.select(F.col("id").alias("name"), numbers.alias("weights")).where((F.size("weights") > 0) & (F.size("weights") % 4 == 0))
+    return formats.weight_matrices(spark, path)
 
 
 def named_columns(df: DataFrame, names: dict[str, str], key: str, prefix: str = "") -> DataFrame:
@@ -88,7 +73,8 @@ def bed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, head, seq) of every record; a sequence is in one row, without line ends."""
+    """(name, head, seq) of every record; a sequence is in one row, without line ends, as proteins are.
+    Chromosomes are read by formats.genome."""
     own = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))
     head = F.split_part("value", F.lit("\n"), F.lit(1))
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")

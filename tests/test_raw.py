@@ -36,8 +36,12 @@ def test_record_stream(spark, tmp_path):
 
 
 def test_weight_matrices(spark, tmp_path):
-    (tmp_path / "m.txt").write_text(">a\n1 0 0 0\n0 1 0 0\n>b\n0 0 1\n")
+    (tmp_path / "m.txt").write_text(">a\n1 0 0 0\n0 1 0 0\n>a\n0 0 0 1\n")
     assert [tuple(r) for r in raw.weight_matrices(spark, str(tmp_path / "m.txt")).collect()] == [("a", [1.0, 0, 0, 0, 0, 1, 0, 0])]
+    for bad in (">b\n0 0 1\n", ">b\n0 0 1 x\n", ">b\n", ">b\n0 0\n0 0\n"):
+        (tmp_path / "m.txt").write_text(bad)
+        with pytest.raises(ValueError, match="'b'"):
+            raw.weight_matrices(spark, str(tmp_path / "m.txt"))
 
 
 def test_domain_calls(spark):
