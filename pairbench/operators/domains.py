@@ -25,8 +25,9 @@ def call(df: DataFrame, seq: str, hits: str, families: list[str], pad: int = 10,
     allowed = F.filter(F.col(hits), lambda h: h["family"].isin(families))
     kept = collapse(F.coalesce(allowed, F.array().cast(f"array<{HIT}>")))
     out = df.withColumn("kept", kept).withColumn("names", F.array_sort(F.array_distinct(F.transform("kept", lambda h: h["family"]))))
-    first = F.greatest(F.array_min(F.transform("kept", lambda h: h["first"])) - pad, F.lit(1))
-    last = F.least(F.array_max(F.transform("kept", lambda h: h["last"])) + pad, F.length(seq))
+    some = F.size("kept") > 0  # without a hit there is no window
+    first = F.when(some, F.greatest(F.array_min(F.transform("kept", lambda h: h["first"])) - pad, F.lit(1)))
+    last = F.when(some, F.least(F.array_max(F.transform("kept", lambda h: h["last"])) + pad, F.length(seq)))
     out = out.withColumn("first", first).withColumn("last", last).withColumn("window", F.col(seq).substr(F.col("first"), F.col("last") - F.col("first") + 1))
     many = (F.size("kept") > 1) & F.lit(not repeats)
     status = F.when(F.size("kept") == 0, "no_domain").when(F.size("names") > 1, "mixed").when(many, "repeat_array").when(F.col("window").rlike("[^ACDEFGHIKLMNPQRSTVWY]"), "nonstandard").otherwise("ok")

@@ -15,17 +15,20 @@ from pairbench.operators import metrics
 
 
 def window_scores(codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The score of every window of both strands; codes are 0..3 for A, C, G, T, weights width x 4."""
+    """The score of every window of both strands; codes are 0..3 for A, C, G, T, weights width x 4. Any other
+    code leaves its windows without a score: minus infinity."""
+    codes = np.minimum(codes, 4)
     n = len(codes) - len(weights) + 1
     both = np.zeros((2, n))
     for strand, w in zip(both, (weights, weights[::-1, ::-1]), strict=True):
         for i, place in enumerate(w):
-            strand += place[codes[i : i + n]]
+            strand += np.append(place, -np.inf)[codes[i : i + n]]
     return both.ravel()
 
 
 def scan(df: DataFrame, seq: str, motifs: dict[str, list[float]]) -> DataFrame:
     """For every row and motif, over all offsets and both strands: best and log-sum-exp of the scores.
+    Windows with a letter beyond ACGT are left out, and rows without any other window give none.
     A motif is a flat list of four weights (A, C, G, T) a position; motifs are few and go with the task."""
     library = {name: np.asarray(w, float).reshape(-1, 4) for name, w in motifs.items()}
     code = np.full(256, 255, np.uint8)
@@ -39,6 +42,8 @@ def scan(df: DataFrame, seq: str, motifs: dict[str, list[float]]) -> DataFrame:
                 for motif, w in library.items():
                     if len(codes) >= len(w):
                         x = window_scores(codes, w)
+                        if x.max() == -np.inf:
+                            continue
                         row.append(i)
                         name.append(motif)
                         best.append(float(x.max()))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairbench.functions.text import ALIASES, alias, first_path
-from pairbench.operators import alignment, components, metrics, motifs, profiles, records, splits, vectors
+from pairbench.operators import alignment, components, metrics, motifs, profiles, records, similar, splits, vectors
 from pairbench.plans.catalog import AP, BOTH, DNA, DRAW, PAIRS, RC, REPLICATES, RESOLVED, RUNS, VERDICTS, M, sequences
 from pairbench.sources import sinks
 from pairbench.sources.tables import measurements, table
@@ -170,7 +170,7 @@ CATALOG: list[tuple[str, Query, str | None]] = [
     ("archive_groups", lambda s, d: table(s, d, "pages").groupBy(first_path(F.col("url")).alias("head")).agg(F.count("*").alias("n")), "SELECT split_part(regexp_replace(url, '^https?://', ''), '/', 2) AS head, count(*) AS n FROM pages GROUP BY 1"),
     ("fasta_manifest", lambda s, d: sinks.manifest(sequences(s, d), "doc_id", "seq"), f"WITH {DNA} SELECT doc_id, length(seq)::INT AS length, substr(sha256(seq), 1, 8) AS digest FROM d"),
     ("edit_profiles", _edit_profiles, None),
-    ("greedy_clusters", lambda s, d: alignment.greedy_clusters(table(s, d, "part"), "p_type", "p_partkey", "p_name", most=3), None),
+    ("greedy_clusters", lambda s, d: similar.clusters(table(s, d, "part"), "p_type", "p_partkey", "p_name", most=3), None),
     ("group_folds", lambda s, d: splits.group_folds(table(s, d, "part"), "p_brand", 5, "groups"), f"WITH RECURSIVE g AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), {_folds_sql('g', 'p_brand', 'groups', 5)} SELECT grp AS p_brand, n, fold FROM f WHERE i > 0"),
     ("component_folds", _component_folds, f"WITH RECURSIVE {PAIRS}, l AS (SELECT i AS a, j AS b FROM p WHERE cosine >= {NEAR} UNION ALL SELECT j, i FROM p WHERE cosine >= {NEAR}), r(id, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.seen), c AS (SELECT id, min(seen) AS component FROM r GROUP BY id), g AS (SELECT component, count(*) AS n FROM c GROUP BY 1), {_folds_sql('g', 'component', 'components', 5)} SELECT grp AS component, n, fold FROM f WHERE i > 0"),
     ("validation_carve", lambda s, d: splits.validation_carve(table(s, d, "part"), "p_brand", 0.2, "carve"), f"WITH RECURSIVE {CARVE} SELECT p_brand, n FROM f WHERE taken UNION ALL SELECT p_brand, n FROM (SELECT * FROM o ORDER BY n, i LIMIT 1) WHERE NOT EXISTS (SELECT 1 FROM f WHERE taken)"),

@@ -1,9 +1,9 @@
 import parity
 import pytest
 
-from pairbench.plans import catalog, contract, genome, lookups, names, reports, scores, study
+from pairbench.plans import catalog, contract, corpus, genome, lookups, names, reports, scores, study
 
-EVERY = {name: (query, sql) for part in (catalog, study, contract, lookups, names, scores, genome, reports) for name, query, sql in part.CATALOG}
+EVERY = {name: (query, sql) for part in (catalog, study, contract, lookups, names, scores, genome, reports, corpus) for name, query, sql in part.CATALOG}
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in EVERY.items() if sql])
