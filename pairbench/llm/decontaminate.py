@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pairbench.llm.textkit import Words, chunks, mix, select_rows, shingles, tidy, words
 
@@ -34,6 +35,8 @@ FILTER_BITS = 22
 WINDOWS = 1 << 14
 #: Items in one scan of the documents; more items take more scans.
 ITEMS = 2048
+#: Bytes of their texts.
+ITEM_BYTES = 16 << 20
 
 
 def _near(radius: int) -> np.ndarray:
@@ -68,10 +71,10 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Benchmark:
     """The items of one scan, by shingle size k (their number of words, if that is less)."""
 
-    def __init__(self, ids: list[int], texts: list[str], k: int = 5):
+    def __init__(self, ids: list, texts: list[str], k: int = 5, kind: pa.DataType | None = None):
         w = words(pa.array(texts, pa.string()))
         keep = np.flatnonzero(w.count > 0)
-        self.ids = np.array([ids[i] for i in keep], np.int64)
+        self.ids = pa.array([ids[i] for i in keep], kind or pa.int64())
         self.size = w.count[keep]
         self.by_k = {}
         for kk in np.unique(np.minimum(self.size, k)).tolist():
@@ -229,23 +232,23 @@ class _Items:
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = 0.75, k: int = 5) -> DataFrame:
     """(key, item_id, similarity, first_word, n_words): every document and item with a window of
     `threshold` similarity or more, by its most similar window (of equals the first). One narrow
-    stage for each ITEMS items; the items of a scan are broadcast, so that what is broadcast is
-    bounded by ITEMS whatever the benchmark's size."""
+    stage for each ITEMS items or ITEM_BYTES of them; the items of a scan are broadcast, so that what is
+    broadcast is bounded whatever the benchmark's size."""
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, item_id long, similarity double, first_word long, n_words long"
+    schema = f"`{key}` {kind}, item_id {items.schema[item].dataType.simpleString()}, similarity double, first_word long, n_words long"
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
     out = None
     for shared in _scans(items, item, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(*shared.value, k)
+            bench = Benchmark(*shared.value[:2], k, shared.value[2])
             for batch in batches:
                 for part in chunks(batch, "_text"):
                     w = words(part.column("_text"))
                     for group in bench.by_k.values():
                         d, i, similarity, first, n = group.search(w, threshold)
                         if len(d):
-                            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), pa.array(bench.ids[i]), pa.array(similarity), pa.array(first), pa.array(n)], [key, "item_id", "similarity", "first_word", "n_words"])
+                            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), bench.ids.take(pa.array(i)), pa.array(similarity), pa.array(first), pa.array(n)], [key, "item_id", "similarity", "first_word", "n_words"])
 
         found = rows.mapInArrow(tidy(run), schema)
         out = found if out is None else out.unionByName(found)
@@ -253,14 +256,17 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 
 def _scans(items: DataFrame, item: str, item_text: str) -> list[Broadcast]:
-    """The items, broadcast in groups of about ITEMS / 2 by a hash."""
-    good = items.select(F.col(item).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
-    scans = max(1, -(-good.count() // (ITEMS // 2)))
+    """The items with an id of any type and a text, broadcast in groups of about ITEMS / 2 and ITEM_BYTES / 2
+    by a hash."""
+    kind = to_arrow_type(items.schema[item].dataType)
+    good = items.select(F.col(item).alias("i"), F.col(item_text).cast("string").alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
+    n, size = good.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    scans = max(1, -(-n // (ITEMS // 2)), -(-size // (ITEM_BYTES // 2)))
     out = []
     for s in range(scans):
         own = good if scans == 1 else good.where(F.pmod(F.xxhash64("i", "t"), F.lit(scans)) == s)
         got = sorted((r["i"], r["t"]) for r in own.collect())
-        out.append(items.sparkSession.sparkContext.broadcast(([x[0] for x in got], [x[1] for x in got])))
+        out.append(items.sparkSession.sparkContext.broadcast(([x[0] for x in got], [x[1] for x in got], kind)))
     return out
 
 
@@ -269,7 +275,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "it
     for shared in _scans(items, item, item_text):
 
         def keep(texts: pa.Array, shared=shared, held={}) -> np.ndarray:  # noqa: B006
-            bench = held.get(0) or held.setdefault(0, Benchmark(*shared.value, k))
+            bench = held.get(0) or held.setdefault(0, Benchmark(*shared.value[:2], k, shared.value[2]))
             w = words(texts)
             ok = np.ones(w.n_docs, bool)
             for group in bench.by_k.values():

@@ -23,7 +23,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea select svg math iframe object canvas title".split())
+#: Elements without main text: scripts and styles, drawings, inert parts, and parts of forms.
+RAW = frozenset("script style template textarea select svg iframe title".split())
+#: Of these the ones whose text runs to the page's end when their end tag is missing; the others' tags are skipped.
+ENDLESS = frozenset("script style".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -47,16 +50,19 @@ CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 
 class Node:
     """An open element: its tag, its class, id and role in lower case, and the element around it. What
-    all elements around it give to the features is kept, so deep nesting costs nothing a block."""
+    all elements around it give to the features is kept, so deep nesting costs nothing a block; of
+    these only `known` ones (those of the trained field), so a node's cost is bounded by them."""
 
     __slots__ = ("inside", "marks", "names", "outside", "parent", "tag")
 
-    def __init__(self, tag: str, names: str, parent: Node | None):
+    def __init__(self, tag: str, names: str, parent: Node | None, known: Container[str] | None = None):
         self.tag, self.names, self.parent = tag, names, parent
         own = frozenset([f"in={tag}", *(f"name={x}" for x in re.split(r"[\s_-]+", names) if x)])
         odd = bool(names and OUTSIDE_NAME.search(names))
         if odd:
             own |= {"name=outside"}
+        if known is not None:
+            own = frozenset(x for x in own if x in known)
         self.marks: frozenset[str] = own if parent is None else parent.marks if own <= parent.marks else parent.marks | own
         self.inside = tag in ("article", "main") or "main" in names.split() or (parent is not None and parent.inside)
         self.outside = tag in OUTSIDE or odd or (parent is not None and parent.outside)
@@ -99,12 +105,16 @@ class Tokens:
                     return None
                 if self.page[end] == ">":
                     return m.start(), end + 1, m[2].lower(), bool(m[1]), self.page[m.end() : end]
-                stop = self._find(self.page[end], end + 1)
+                before = end - 1
+                while self.page[before].isspace():
+                    before -= 1
+                # A quote opens a value only after an equals sign; elsewhere it is a character of a name.
+                stop = self._find(self.page[end], end + 1) if self.page[before] == "=" else -1
                 end = stop + 1 if stop >= 0 else end + 1
         return None
 
 
-def leaves(page: str) -> list[Leaf]:
+def leaves(page: str, known: Container[str] | None = None) -> list[Leaf]:
     out: list[Leaf] = []
     stack: list[Node] = []
     blocks: list[int] = []  # places of block elements in the stack
@@ -161,8 +171,11 @@ def leaves(page: str) -> list[Leaf]:
         if tag in RAW:
             if tag not in endings:
                 endings[tag] = re.compile(rf"</{re.escape(tag)}\s*>", re.I)
-            close = endings[tag].search(page, at)
-            at = close.end() if close else n
+            empty = tag == "svg" and attributes.rstrip().endswith("/")
+            close = None if empty or endings[tag] is None else endings[tag].search(page, at)
+            if close is None and not empty:
+                endings[tag] = None  # nor is there one farther on
+            at = close.end() if close else n if tag in ENDLESS else at
             parts.append(" ")
             continue
         if tag == "br" or tag == "hr":
@@ -183,7 +196,7 @@ def leaves(page: str) -> list[Leaf]:
             if tag in BLOCK:
                 blocks.append(len(stack))
             opened[tag] += 1
-            stack.append(Node(tag, names.lower(), stack[-1] if stack else None))
+            stack.append(Node(tag, names.lower(), stack[-1] if stack else None, known))
     end()
     return out
 
@@ -291,7 +304,7 @@ def train(df: DataFrame, key: str = "page_id", page: str = "html", most: int = 1
 
 
 def article(crf: Field, page: str | None) -> str:
-    blocks = leaves(page or "")
+    blocks = leaves(page or "", crf.index)
     return " ".join(b.text for b, s in zip(blocks, crf.decode(features(blocks)), strict=True) if s)
 
 

@@ -29,6 +29,8 @@ from pairbench.llm.textkit import Words, chunks, select_rows, tidy, words
 
 BITS = 16
 UNKNOWN = "und"
+#: Languages that a model can have: its likelihoods are broadcast.
+MOST_LANGS = 1000
 
 
 def _grams(w: Words) -> np.ndarray:
@@ -116,17 +118,19 @@ class LanguageModel:
 
 
 def train(df: DataFrame, lang: str = "lang", text: str = "text", per_lang: int = 3000, alpha: float = 0.2, seed: int = 7) -> LanguageModel:
-    """A model of all distinct non-null languages in df. The likelihoods are counted over a sample of
+    """A model of all distinct non-null languages in df, of which there may be MOST_LANGS. The likelihoods are counted over a sample of
     about `per_lang` rows for each language (all rows, where there are fewer), drawn by a hash of the
     text; counts are added up on the executors, and languages x 2**16 counts reach the driver."""
     known = df.select(F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).where(F.col("lang").isNotNull())
+    if known.select("lang").distinct().limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"over {MOST_LANGS} languages: {lang} doesn't name languages")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = tuple(sorted(sizes))
     if not langs:
         return LanguageModel((), np.zeros((1 << BITS, 0), np.float32))
-    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 20))
-    share = F.create_map(*[F.lit(x) for la in langs for x in (la, int(per_lang / sizes[la] * (1 << 20)) + 1)])
-    sample = known.where(draw <= share[F.col("lang")])
+    draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 40))
+    share = F.create_map(*[F.lit(x) for la in langs for x in (la, min(1 << 40, round(per_lang / sizes[la] * (1 << 40))))])
+    sample = known.where(draw < share[F.col("lang")])
     place = {la: i for i, la in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,9 +9,9 @@ vector are one entry of the index: they are counted once for the depth, which is
 found together.
 
 Pivots are the first PIVOTS distinct vectors in a hashed order of their values: a bounded sample; all vectors
-are indexed. Queries and vectors meet block by block, each block pair in one task of bounded size, and
+are indexed. Vectors have the width that most of the usable ones have, the smaller one of equals. Queries and vectors meet block by block, each block pair in one task of bounded size, and
 the block results merge by a window per query. Vectors that are null or zero, or hold null or
-non-finite components, or differ in length from the pivots, take no part; nor do null ids. Rows that
+non-finite components, or are of another width, take no part; nor do null ids. Ids can be of any type that orders. Rows that
 repeat an id are separate candidates, each returned, but none is a candidate for its own id; a query id
 that repeats asks once, with its least vector. An empty table gives an empty result; extra columns are
 ignored. Recall of 20 with these settings is in the README; nothing depends on a block's size.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,15 +101,16 @@ def nearest(df: DataFrame, query, key: str = "vec_id", vector: str = "embedding"
     """(query_id, rank, vec_id, score): the k nearest found of every row for which `query` holds."""
     spark = df.sparkSession
     v = F.col(vector).cast("array<double>")
-    rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v"), query.alias("q")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"query_id {kind}, vec_id {kind}, score double"
+    rows = df.select(F.col(key).alias("id"), v.alias("v"), query.alias("q")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     rows = rows.where(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0))
-    drawn = distinct_vectors(rows, PIVOTS)
-    size = max(map(len, drawn), default=0)
-    if not size:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    pivots = np.array([v for v in drawn if len(v) == size], np.float64).reshape(-1, size)
-    pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300) if size else pivots
-    rows = rows.where(F.size("v") == size)
+    common = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    if common is None:
+        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+    rows = rows.where(F.size("v") == common["size"])
+    pivots = np.array(distinct_vectors(rows, PIVOTS), np.float64)
+    pivots = pivots / np.maximum(np.linalg.norm(pivots, axis=1, keepdims=True), 1e-300)
     n = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
     blocks, query_blocks = n["n"] // BLOCK + 1, n["q"] // QUERY_BLOCK + 1
     hashed = lambda m: F.pmod(F.xxhash64("id", F.lit(3)), F.lit(m)).cast("int")
@@ -118,12 +120,15 @@ def nearest(df: DataFrame, query, key: str = "vec_id", vector: str = "embedding"
     right = asked.select("id", "v", hashed(query_blocks).alias("qb")).select("*", every(blocks).alias("b"))
 
     def block(a: pa.Table, b: pa.Table) -> pa.Table:
+        # Ids of any type are numbered in their order within the block pair.
+        every = pa.chunked_array([*a.column("id").chunks, *b.column("id").chunks], a.schema.field("id").type).unique().sort()
+        code = lambda t: pc.index_in(t.column("id"), every).to_numpy(zero_copy_only=False).astype(np.int64)
         if not a.num_rows or not b.num_rows:
             q, i, s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         else:
-            q, i, s = search(a.column("id").to_numpy(), _matrix(a), b.column("id").to_numpy(), _matrix(b), pivots, k, depth)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(s, pa.float64())})
+            q, i, s = search(code(a), _matrix(a), code(b), _matrix(b), pivots, k, depth)
+        return pa.table({"query_id": every.take(pa.array(q, pa.int64())), "vec_id": every.take(pa.array(i, pa.int64())), "score": pa.array(s, pa.float64())})
 
-    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(block, "query_id long, vec_id long, score double")
+    found = left.groupBy("b", "qb").cogroup(right.groupBy("b", "qb")).applyInArrow(block, schema)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

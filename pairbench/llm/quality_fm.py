@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     good = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where(F.col("_k").isNotNull() & F.col("_y").isin(0, 1))
     n = good.count()
     if n > most:
-        good = good.where(F.pmod(F.xxhash64("_k", F.lit(seed)), F.lit(1 << 20)) <= int(most / n * (1 << 20)))
+        good = good.where(F.pmod(F.xxhash64("_k", F.lit(seed)), F.lit(1 << 40)) < int(most / n * (1 << 40)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,7 +1,7 @@
 """Tables written to the shared folder that the cluster names, to cut lineage.
 
-`spark.checkpoint.dir` is read from the session; only where it is unset (as in tests) a local folder
-takes its place. Tables are dropped on request, and the rest when the session ends.
+`spark.checkpoint.dir` is read from the session; only where it is unset on one machine (as in tests) a
+folder of its own takes its place, and on a cluster that is an error. Tables are dropped on request, and the rest when the session ends.
 """
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pairbench.operators.components import shared_folder
+
 
 def folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    return shared_folder(spark)
 
 
 def keep(df: DataFrame) -> DataFrame:
