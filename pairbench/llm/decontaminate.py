@@ -74,7 +74,8 @@ class Benchmark:
     def __init__(self, ids: list, texts: list[str], k: int = 5, kind: pa.DataType | None = None):
         w = words(pa.array(texts, pa.string()))
         keep = np.flatnonzero(w.count > 0)
-        self.ids = pa.array([ids[i] for i in keep], kind or pa.int64())
+        self.kind = kind or pa.int64()
+        self.ids = pa.array([ids[i] for i in keep], self.kind).to_numpy(zero_copy_only=False)
         self.size = w.count[keep]
         self.by_k = {}
         for kk in np.unique(np.minimum(self.size, k)).tolist():
@@ -248,7 +249,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
                     for group in bench.by_k.values():
                         d, i, similarity, first, n = group.search(w, threshold)
                         if len(d):
-                            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), bench.ids.take(pa.array(i)), pa.array(similarity), pa.array(first), pa.array(n)], [key, "item_id", "similarity", "first_word", "n_words"])
+                            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(d)), pa.array(bench.ids[i], bench.kind), pa.array(similarity), pa.array(first), pa.array(n)], [key, "item_id", "similarity", "first_word", "n_words"])
 
         found = rows.mapInArrow(tidy(run), schema)
         out = found if out is None else out.unionByName(found)

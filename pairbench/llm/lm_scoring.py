@@ -274,22 +274,35 @@ def fit(model: Model, docs: list[np.ndarray], epochs: int = 3, batch: int = 64,
                 w[name] -= (now * (m1[name] / (1 - 0.9**t)) / (np.sqrt(m2[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
 
 
+PARTS = 256  # of a summed array
+
+
 def _sum_arrays(df: DataFrame, size: int) -> np.ndarray:
-    """The sum of (part, data) arrays of int64; each part is added up on the executors."""
+    """The sum of arrays of int64 that tasks sent as the cells that are not 0 (part, at, n). Each part is
+    added up by a task of its own, and leaves it as whole as the array is."""
+    length = [len(x) for x in np.array_split(np.zeros(size, np.int8), PARTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[p] = total.get(p, 0) + np.frombuffer(d, np.int64)
+            for p, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if p not in total:
+                    total[p] = np.zeros(length[p], np.int64)
+                total[p][np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "data"])
 
-    got = df.repartition(8, "part").mapInArrow(tidy(run), "part int, data binary").collect()
-    return np.concatenate([np.frombuffer(r["data"], np.int64) for r in sorted(got, key=lambda r: r["part"])] or [np.zeros(size, np.int64)])
+    out = [np.zeros(n, np.int64) for n in length]
+    for r in df.repartition("part").mapInArrow(tidy(run), "part int, data binary").collect():
+        out[r["part"]] = np.frombuffer(r["data"], np.int64)
+    return np.concatenate(out)
 
 
-def _array_rows(x: np.ndarray, parts: int = 16) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([p.astype(np.int64).tobytes() for p in np.array_split(x, parts)], pa.binary())], ["part", "data"])
+def _array_rows(x: np.ndarray) -> pa.RecordBatch:
+    """The cells of an array that are not 0, by part."""
+    parts = [(p.astype(np.int64), np.flatnonzero(p).astype(np.uint32)) for p in np.array_split(x, PARTS)]
+    some = [i for i, (_, at) in enumerate(parts) if len(at)]
+    cells = [pa.array([f(*parts[i]).tobytes() for i in some], pa.binary()) for f in (lambda _, at: at, lambda p, at: p[at])]
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *cells], ["part", "at", "n"])
 
 
 def shares(counted: np.ndarray, log: np.ndarray, where: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -330,7 +343,7 @@ def fit_all(model: Model, own: DataFrame, seed: int) -> None:
             yield _array_rows(np.r_[np.rint(flat * seen * scale), seen])
 
         part = own.where(F.pmod(F.xxhash64("ids", F.lit(seed + 2)), F.lit(ROUNDS)) == r)
-        total = _sum_arrays(part.mapInArrow(tidy(learn), "part int, data binary"), int(edges[-1]) + 1)
+        total = _sum_arrays(part.mapInArrow(tidy(learn), "part int, at binary, n binary"), int(edges[-1]) + 1)
         if total[-1]:
             mean = np.split((total[:-1] / (float(total[-1]) * scale)).astype(np.float32), edges[:-1])
             model.weights = {k: x.reshape(shape) for (k, shape), x in zip(shapes.items(), mean, strict=True)}
@@ -349,7 +362,7 @@ def train(tokens: DataFrame, path: str, seed: int = 7) -> Model:
                 total += np.bincount(np.concatenate([np.frombuffer(d, np.uint16) for d in b.column(0).slice(i, 500).to_pylist()]), minlength=end + 1)
         yield _array_rows(total)
 
-    counts = _sum_arrays(own.mapInArrow(tidy(count), "part int, data binary"), end + 1)
+    counts = _sum_arrays(own.mapInArrow(tidy(count), "part int, at binary, n binary"), end + 1)
     inputs, cls, within = numbering(counts)
     classes = ALONE + SHARED
 
@@ -390,9 +403,9 @@ def train(tokens: DataFrame, path: str, seed: int = 7) -> Model:
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 add_pairs(total, [np.frombuffer(d, np.uint16) for d in b.column(0).slice(i, 500).to_pylist()])
-        yield _array_rows(total, 256)
+        yield _array_rows(total)
 
-    every = _sum_arrays(own.mapInArrow(tidy(pairs), "part int, data binary"), cells + len(words))
+    every = _sum_arrays(own.mapInArrow(tidy(pairs), "part int, at binary, n binary"), cells + len(words))
     out = np.zeros_like(every)
     if held:
         add_pairs(out, held)
