@@ -25,13 +25,13 @@ Scoring cuts a text into windows of WINDOW ids of which the first CONTEXT were s
 before, so each id is scored once with at least CONTEXT ids before it (or all there are); windows are
 batched and masked.
 
-The counts of words meet the documents in fragments: words go there by hash as packed arrays, once per
-chunk of documents, with the model's log products; a fragment adds up its counts and returns each
-document's partial sums of both scores, which are added per chunk. No vocabulary reaches the driver
-or is broadcast.
+Documents are kept in chunks of about CHUNK ids, one row each. The counts of words are added up in fragments:
+a chunk sends its distinct words there by hash, once, and gets their counts in the whole corpus back in the
+order of the words; then it is scored and mixed as a whole. Neither occurrences nor the model's log products are
+sent, and no vocabulary reaches the driver or is broadcast.
 
 A null or empty text has the end only. Rows with a null key count as held in. Repeated rows are separate
-documents for the counts and have equal scores. Texts are scored whole; extra columns are ignored.
+documents for the counts and have equal scores. Texts are scored whole; extra columns are ignored. Keys keep their type.
 """
 
 from __future__ import annotations
@@ -46,9 +46,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairbench.llm import scratch
-from pairbench.llm.textkit import mix, tidy, words_of
+from pairbench.llm.textkit import Words, mix, tidy, words_of
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WINDOW, CONTEXT = 32, 8
@@ -156,9 +157,8 @@ class Model:
             own = np.log((1 - self.share[context]) * count / max(self.words, 1))
         return np.logaddexp(own, np.log(self.share[context]) + log) / np.log(10)
 
-    def score(self, docs: list[np.ndarray], batch: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The log of every word's product over its ids, its context, and the documents' numbers of
-        words; the end is a document's last word."""
+    def each(self, docs: list[np.ndarray], batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """The log probability of every id of documents, and the input row before it."""
         size = np.array([len(d) for d in docs])
         ids = np.concatenate(docs).astype(np.int64)
         begin = np.cumsum(size) - size
@@ -188,7 +188,15 @@ class Model:
             np.exp(logits, out=logits)
             got = own - np.log(logits.sum(1)) + gained[here]
             gained[here] = got
-        at, _ = split(ids, begin, self.opens)
+        return gained, inputs
+
+    def score(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The log of every word's product over its ids, its context, and the documents' numbers of
+        words; the end is a document's last word."""
+        gained, inputs = self.each(docs)
+        size = np.array([len(d) for d in docs])
+        begin = np.cumsum(size) - size
+        at, _ = split(np.concatenate(docs).astype(np.int64), begin, self.opens)
         return np.add.reduceat(gained.astype(np.float64), at), context(inputs[at]), np.diff(np.r_[np.searchsorted(at, begin), len(at)])
 
 
@@ -443,133 +451,120 @@ def train(tokens: DataFrame, path: str, seed: int = 7) -> Model:
     return model
 
 
+def word_logs(m: Model, docs: list[np.ndarray], w: Words, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The log of the product over the ids of every word of w and of every end, its context, and which are
+    ends; a document's end follows its words. An id goes to the word in which, or in the space before which,
+    its first byte lies; a word in which no id begins (odd white space can merge) has the product 1."""
+    got = [m.each(docs[i : i + 200]) for i in range(0, len(docs), 200)]
+    gained, rows = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+    length = np.array([len(d) for d in docs])
+    ids = np.concatenate(docs).astype(np.int64)
+    at = spelling(path)[1]
+    size = at[ids + 1] - at[ids]
+    slot = np.searchsorted(w.end, np.cumsum(size) - size, side="right") + np.repeat(np.arange(len(docs)), length)
+    slots = len(w.hash) + len(docs)
+    ends = np.zeros(slots, bool)
+    ends[w.offset[1:] + np.arange(len(docs))] = True
+    return np.bincount(slot, gained, slots), context(rows[np.searchsorted(slot, np.arange(slots))]), ends
+
+
 def scores(df: DataFrame, held_out: Column, path: str, key: str = "doc_id", text: str = "text", fragments: int | None = None) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     spark = df.sparkSession
-    rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
+    rows = df.select(F.col(key).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
+    kind = rows.schema["id"].dataType
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                ids = [encode(t, path).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary()), part.column("train")], ["id", "ids", "train"])
+        """A row is a chunk of whole documents, and never cut."""
+        task, number, n = TaskContext.get().partitionId(), 0, 0
+        held: list[tuple] = []
+
+        def row(t: pa.DataType) -> pa.RecordBatch:
+            a, b, c = zip(*held, strict=True)
+            cells = [pa.array([(task << 32) | number], pa.int64()), pa.array([a], pa.list_(t)), pa.array([b], pa.list_(pa.bool_())), pa.array([c], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays(cells, ["chunk", "id", "train", "ids"])
 
-    tokens = scratch.keep(rows.select("id", "text", (~F.col("held")).alias("train")).mapInArrow(tidy(tokenise), "id long, ids binary, train boolean"))
-    shared = spark.sparkContext.broadcast(train(tokens, path))
-    size = tokens.count()
+        for b in batches:
+            t = b.column("id").type
+            for i, x, learn in zip(b.column("id").to_pylist(), b.column("text"), b.column("train").to_pylist(), strict=True):
+                ids = encode(x.as_py(), path)
+                held.append((i, learn, ids.tobytes()))
+                n += len(ids)
+                if n >= CHUNK:
+                    yield row(t)
+                    held, number, n = [], number + 1, 0
+        if held:
+            yield row(t)
+
+    kinds = [("chunk", T.LongType()), ("id", T.ArrayType(kind)), ("train", T.ArrayType(T.BooleanType())), ("ids", T.ArrayType(T.BinaryType()))]
+    tokens = scratch.keep(rows.mapInArrow(tidy(tokenise), T.StructType([T.StructField(*k) for k in kinds])))
+    each = tokens.select(F.explode(F.arrays_zip("ids", "train")).alias("d")).select("d.ids", "d.train")
+    shared = spark.sparkContext.broadcast(train(each, path))
+    size = tokens.agg(F.sum(F.size("ids")).alias("n")).first()["n"] or 0
     fragments = fragments or max(2 * spark.sparkContext.defaultParallelism, size // 4000 + 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Fragment -1: the chunk's documents. Others: distinct words and their occurrences, packed."""
-        task, number = TaskContext.get().partitionId(), 0
+        """A chunk's distinct words in order, with how often its training documents have them, by fragment."""
         for b in batches:
-            every = [np.frombuffer(d, np.uint16) for d in b.column("ids").to_pylist()]
-            edge = np.unique(np.searchsorted(np.cumsum([len(d) for d in every]), np.arange(0, sum(map(len, every)), CHUNK), side="right"))
-            for begin, stop in zip(edge, np.r_[edge[1:], len(every)], strict=True):
-                part, own_docs = b.slice(begin, stop - begin), every[begin:stop]
-                w = words_of(*decode(own_docs, path))
-                chunk = (task << 32) | number
-                number += 1
-                train_doc = part.column("train").to_numpy(zero_copy_only=False).astype(bool)
-                ids = part.column("id")
-                docs = np.stack([ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), ~train_doc, w.count + 1]).astype(np.int64)
-                log, inside = np.zeros(len(w.hash)), np.zeros(w.n_docs)
-                where, last_where = np.zeros(len(w.hash), np.uint8), np.zeros(w.n_docs, np.int64)
-                for i in range(0, w.n_docs, 200):
-                    got, before, n = shared.value.score(own_docs[i : i + 200])
-                    last = np.cumsum(n)
-                    inside[i : i + 200], last_where[i : i + 200] = got[last - 1], before[last - 1]
-                    span = w.offset[i], w.offset[min(i + 200, w.n_docs)]
-                    own, before = np.delete(got, last - 1), np.delete(before, last - 1)
-                    if (n - 1 != w.count[i : i + 200]).any():  # unusual white space: the document's mean
-                        m = w.count[i : i + 200]
-                        total = np.array([got[e - k : e - 1].sum() for e, k in zip(last, n, strict=True)])
-                        own, before = np.repeat(total / np.maximum(m, 1), m), np.zeros(m.sum(), np.uint8)
-                    log[slice(*span)], where[slice(*span)] = own, before
-                docs = np.vstack([docs, inside.view(np.int64), last_where])
-                out = [(-1, docs.tobytes())]
-                if len(w.hash):
-                    frag = (w.hash >> np.uint64(32)).astype(np.int64) * fragments >> 32
-                    doc = w.doc
-                    order = np.lexsort((doc, w.hash))
-                    h, d, f = w.hash[order], doc[order].astype(np.uint16 if w.n_docs <= 1 << 16 else np.int32), frag[order]
-                    product, before = log[order].astype(np.float32), where[order]
-                    edge = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-                    for i, j in zip(edge, np.r_[edge[1:], len(f)], strict=True):
-                        hh = h[i:j]
-                        first = np.flatnonzero(np.r_[True, hh[1:] != hh[:-1]])
-                        n = np.diff(np.r_[first, len(hh)])
-                        head = np.array([len(first), len(hh), w.n_docs], np.int64)
-                        body = [head, hh[first], n.astype(np.int32), d[i:j], product[i:j], before[i:j], train_doc]
-                        out.append((int(f[i]), b"".join(np.ascontiguousarray(x).tobytes() for x in body)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([chunk] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["fragment", "chunk", "data"])
-
-    sent = tokens.mapInArrow(tidy(send), "fragment int, chunk long, data binary")
+            for chunk, learn, docs in zip(*(b.column(c) for c in ("chunk", "train", "ids")), strict=True):
+                w = words_of(*decode([np.frombuffer(d, np.uint16) for d in docs.as_py()], path))
+                h, back = np.unique(w.hash, return_inverse=True)
+                n = np.bincount(back, np.array(learn.as_py(), bool)[w.doc], len(h)).astype(np.uint32)
+                frag = (h >> np.uint64(32)).astype(np.int64) * fragments >> 32
+                edge = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]]) if len(h) else np.zeros(0, np.int64)
+                cut = list(zip(edge, np.r_[edge[1:], len(h)], strict=True)) if len(h) else []
+                cells = [frag[edge].astype(np.int32), np.full(len(cut), chunk.as_py()), *([x[i:j].tobytes() for i, j in cut] for x in (h, n))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["fragment", "chunk", "words", "n"])
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(chunk, kind, data): kind 0 documents, 1 partial sums of a chunk's documents; and (v) the
-        fragment's number of distinct training words."""
-        m, held = shared.value, {}
-        names = ["chunk", "kind", "data", "v"]
+        """Each chunk's words' counts in all chunks, in the order of the words; and (v, uses, without
+        a chunk) the fragment's numbers of distinct training words and of their occurrences."""
+        held: dict[int, list[tuple]] = {}
+        names = ["fragment", "chunk", "width", "n", "v", "uses"]
         for b in batches:
-            for f, c, d in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if f < 0:
-                    yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([0], pa.int32()), pa.array([d], pa.binary()), pa.nulls(1, pa.int64())], names)
-                else:
-                    held.setdefault(f, []).append((c, d))
+            for f, *x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.setdefault(f, []).append(x)
         for f in list(held):
-            own, hashes, sums = [], [], []
-            for c, d in held.pop(f):
-                nw, nd, docs = np.frombuffer(d, np.int64, 3).tolist()
-                at = 24
-                h = np.frombuffer(d, np.uint64, nw, at)
-                n = np.frombuffer(d, np.int32, nw, at + 8 * nw)
-                kind = np.dtype(np.uint16 if docs <= 1 << 16 else np.int32)
-                at += 12 * nw
-                who = np.frombuffer(d, kind, nd, at)
-                at += kind.itemsize * nd
-                product, before = np.frombuffer(d, np.float32, nd, at), np.frombuffer(d, np.uint8, nd, at + 4 * nd)
-                learn = np.frombuffer(d, bool, docs, at + 5 * nd)
-                hashes.append(h)
-                sums.append(np.bincount(np.repeat(np.arange(nw), n), learn[who], nw))
-                own.append((c, docs, n, who, product, before))
-            every, back = np.unique(np.concatenate(hashes), return_inverse=True)
-            total = np.bincount(back, np.concatenate(sums), len(every))
-            value = np.log10(total + 0.1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([2], pa.int32()), pa.nulls(1, pa.binary()), pa.array([int((total > 0).sum())])], names)
-            at = 0
-            for (c, docs, n, who, product, before), h in zip(own, hashes, strict=True):
-                place = np.repeat(back[at : at + len(h)], n)
-                at += len(h)
-                mixed = m.mixed(total[place], product.astype(np.float64), before)
-                part = np.stack([np.bincount(who, x, docs) for x in (value[place], total[place] > 0, mixed)])
-                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([1], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.nulls(1, pa.int64())], names)
-
-    # Rows with documents go by chunk, the others by fragment.
-    to = F.when(F.col("fragment") < 0, F.col("chunk")).otherwise(F.col("fragment"))
-    summed = scratch.keep(sent.repartition(fragments, to).mapInArrow(tidy(add_up), "chunk long, kind int, data binary, v long"))
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, docs = shared.value, {}
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for c, kind, d in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if kind == 0:
-                    docs[c] = np.frombuffer(d, np.int64).reshape(6, -1)
-                else:
-                    sums[c] = sums.get(c, 0.0) + np.frombuffer(d, np.float64).reshape(3, -1)
-        for c, d in docs.items():
-            s = sums.get(c, np.zeros((3, d.shape[1])))
-            last = m.mixed(np.full(d.shape[1], m.ends), d[4].view(np.float64), d[5])
-            yield pa.RecordBatch.from_arrays([pa.array(d[0], mask=d[1] == 0), pa.array(d[2] == 1), pa.array(d[3]), pa.array(s[1].astype(np.int64)), pa.array(s[0]), pa.array(s[2] + last)], ["id", "held_out", "n_tokens", "n_words_known", "sum", "score"])
-
-    kind = "id long, held_out boolean, n_tokens long, n_words_known long, sum double, score double"
-    docs = summed.where("kind < 2").select("chunk", "kind", "data").repartition(fragments, "chunk").mapInArrow(tidy(finish), kind)
+            own = held.pop(f)
+            every, back = np.unique(np.concatenate([np.frombuffer(h, np.uint64) for _, h, _ in own]), return_inverse=True)
+            total = np.bincount(back, np.concatenate([np.frombuffer(n, np.uint32) for *_, n in own]), len(every)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([int((total > 0).sum())]), pa.array([int(total.sum())])], names)
+            width, at = 4 if total.max() < 1 << 32 else 8, 0
+            total = total.astype(f"u{width}")
+            for c, h, _ in own:
+                n = len(h) // 8
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([c]), pa.array([width], pa.int32()), pa.array([total[back[at : at + n]].tobytes()]), *[pa.nulls(1, pa.int64())] * 2], names)
+                at += n
+
+    sent = tokens.mapInArrow(tidy(send), "fragment int, chunk long, words binary, n binary")
+    summed = scratch.keep(sent.repartition(fragments, "fragment").mapInArrow(tidy(add_up), "fragment int, chunk long, width int, n binary, v long, uses long"))
+    found = summed.agg(F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum("uses"), F.lit(0)).alias("uses")).first()
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The scores of a chunk's documents; its words' counts come in the order of the fragments."""
+        m = replace(shared.value, words=found["uses"] + shared.value.ends)
+        learn, docs = (left.column(c)[0].as_py() for c in ("train", "ids"))
+        docs = [np.frombuffer(d, np.uint16) for d in docs]
+        w = words_of(*decode(docs, path))
+        parts = sorted(zip(*(right.column(c).to_pylist() for c in ("fragment", "width", "n")), strict=True))
+        total = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(n, f"u{width}").astype(np.int64) for _, width, n in parts)])
+        seen = total[np.unique(w.hash, return_inverse=True)[1]]
+        log, before, ends = word_logs(m, docs, w, path)
+        count = np.full(len(log), m.ends)
+        count[~ends] = seen
+        score = np.bincount(np.repeat(np.arange(len(docs)), w.count + 1), m.mixed(count, log, before), len(docs))
+        known, base = (np.bincount(w.doc, x, len(docs)) for x in (seen > 0, np.log10(seen + 0.1)))
+        cells = [left.column("id")[0].values, pa.array(~np.array(learn, bool)), pa.array(w.count + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+        return pa.Table.from_arrays(cells, ["id", "held_out", "n_tokens", "n_words_known", "sum", "score"])
+
+    names = [("id", kind), ("held_out", T.BooleanType()), *((c, T.LongType()) for c in ("n_tokens", "n_words_known")), *((c, T.DoubleType()) for c in ("sum", "score"))]
+    left = tokens.repartition(fragments, "chunk").groupBy("chunk")
+    right = summed.where("chunk is not null").select("fragment", "chunk", "width", "n").repartition(fragments, "chunk").groupBy("chunk")
+    docs = left.cogroup(right).applyInArrow(finish, T.StructType([T.StructField(*x) for x in names]))
     docs = scratch.keep(docs)
     learnt = docs.where("not held_out").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.count("*").alias("ends")).first()
     n, ends = learnt["n"], learnt["ends"]
-    v = (summed.agg(F.sum("v").alias("v")).first()["v"] or 0) + (1 if ends else 0)
+    v = found["v"] + (1 if ends else 0)
     below = float(np.log10(n + 0.1 * (v + 1)))
     return docs.select(
         F.col("id").alias(key),

@@ -75,3 +75,34 @@ def test_short_documents_and_tails_are_windows():
     assert live.sum() == sum(map(len, ids)) and len(rows) == 6
     assert target[live].tolist() == np.concatenate(ids).tolist()
     assert lead.tolist() == [8, 8, 8, 8, 0, 0] and rows[1, 8:13].tolist() == [50, 0, 1, 2, 3]
+
+
+def test_odd_white_space_keeps_the_words_apart(spark, monkeypatch):
+    from pairbench.llm import lm_scoring as lm
+
+    models, train = [], lm.train
+    monkeypatch.setattr(lm, "train", lambda *a, **k: models.append(train(*a, **k)) or models[-1])
+    odd = ["rain      falls", "the     roof and sleep", "　 　", "       "]
+    docs = [*((f"d-{i}", t) for i, t in some_docs(120, 5)), *((f"odd-{i}", t) for i, t in enumerate(odd))]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    got = {r["doc_id"]: r for r in lm.scores(df, F.col("doc_id").endswith("7"), PATH).collect()}
+    assert len(got) == len(docs) and df.schema["doc_id"].dataType.simpleString() == "string"
+    (m,) = models
+    enc, end = lm.vocabulary(PATH)
+    count = Counter(w for k, t in docs if not k.endswith("7") for w in t.split(" ") if w)
+    ends = sum(not k.endswith("7") for k, _ in docs)
+    for k, text in docs:
+        ids = lm.encode(text, PATH)
+        gained, rows = m.each([ids])
+        words = [w.encode() for w in text.split(" ") if w]
+        last = np.cumsum([len(w) + 1 for w in words])  # where each word ends, after the space before it
+        log, before, at = np.zeros(len(words) + 1), [None] * (len(words) + 1), 0
+        for j, i in enumerate(ids):
+            word = int((last <= at).sum())
+            log[word] += gained[j]
+            before[: word + 1] = [rows[j] if b is None else b for b in before[: word + 1]]
+            at += len(enc.decode_single_token_bytes(int(i))) if i != end else 0
+        seen = np.array([*(count[w.decode()] for w in words), ends], float)
+        share = m.share[lm.context(np.array(before))]
+        want = np.logaddexp(np.log(np.maximum((1 - share) * seen / (count.total() + ends), 5e-324)), np.log(share) + log).sum() / np.log(10)
+        assert got[k]["score"] == pytest.approx(want, rel=1e-5) and got[k]["n_tokens"] == len(words) + 1
