@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from operator import add
 
@@ -13,17 +14,84 @@ from pyspark.sql import functions as F
 from pairbench.operators import components, metrics
 
 
-def null_samples(df: DataFrame, g: str, repeats: int, seed: str) -> DataFrame:
+BLOCK = 1 << 18  # places that are hashed at once
+BINS = 52  # bits of a hash's first eight bytes that a histogram's bin leaves out
+
+
+def _digests(key: str, n: int, block: int, size: int) -> tuple[np.ndarray, bytes]:
+    """SHA-256 of key:place for the places of a block: the first eight bytes as numbers, and all bytes."""
+    start, sha = f"{key}:".encode(), hashlib.sha256
+    raw = b"".join([sha(b"%b%d" % (start, at)).digest() for at in range(block * size + 1, min(block * size + size, n) + 1)])
+    return np.frombuffer(raw, ">u8")[::4].astype(np.uint64), raw
+
+
+def _least(head: np.ndarray, raw: bytes, k: int) -> bytes:
+    """The k-th least digest."""
+    cut = np.partition(head, k - 1)[k - 1]
+    same = sorted(raw[32 * i : 32 * i + 32] for i in np.flatnonzero(head == cut))
+    return same[k - 1 - int((head < cut).sum())]
+
+
+def _to(head: np.ndarray, raw: bytes, last: bytes) -> np.ndarray:
+    """Where the digests up to `last` are, in order."""
+    cut = np.uint64(int.from_bytes(last[:8], "big"))
+    taken = head < cut
+    for i in np.flatnonzero(head == cut):
+        taken[i] = raw[32 * i : 32 * i + 32] <= last
+    return np.flatnonzero(taken)
+
+
+def null_samples(df: DataFrame, g: str, repeats: int, seed: str, size: int = BLOCK) -> DataFrame:
     """(draw, ap): macro average precision of `repeats` random rankings. A group's positives take the
-    places of its n_pos least hashes among its scored places; groups without a positive take no part."""
-    n = metrics.scored(df).groupBy(g).agg(F.sum("label").alias("k"), F.count("*").alias("n")).where("k > 0")
+    places of its n_pos least hashes among its scored places; groups without a positive take no part.
+
+    No place becomes a row. A group and draw is one row a block of `size` places, which hashes its places
+    and sends three sums. A group of one block finds its last hash taken by itself. Longer ones find it
+    from the sum of their blocks' histograms, by the first 12 bits: of the hashes only those of the bin in
+    which it lies are sent and ordered, one in 4,096."""
+    counts = metrics.scored(df).groupBy(g).agg(F.sum("label").alias("k"), F.count("*").alias("n")).where("k > 0")
+    n = components.cut(counts.select(g, F.least("k", "n").cast("long").alias("k"), "n"))
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
     draws = n.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    cells = draws.withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    hashed = F.sha2(F.concat_ws(":", F.lit(seed), "draw", g, "at"), 256)
-    one = Window.partitionBy("draw", g)
-    taken = cells.withColumn("r", F.row_number().over(one.orderBy(hashed))).where(F.col("r") <= F.col("k"))
-    hits = F.row_number().over(one.orderBy("at"))
-    per = taken.withColumn("p", hits / F.col("at")).groupBy("draw", g).agg(F.avg("p").alias("ap"))
+    every = draws.select("draw", F.concat_ws(":", F.lit(seed), "draw", g).alias("key"), "k", "n", F.explode(F.expr(f"sequence(0L, (n - 1) div {size}L)")).alias("block"))
+    long = every.where(F.col("n") > size).select("key", "k", "n", "block")
+
+    def count(batches):
+        for b in batches:
+            for key, k, n, block in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                bins, got = np.unique(_digests(key, n, block, size)[0] >> np.uint64(BINS), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(bins)), pa.array([k] * len(bins)), pa.array(bins.astype(np.int64)), pa.array(got)], ["key", "k", "bin", "m"])
+
+    def show(batches):
+        for b in batches:
+            for key, n, block, chosen, rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                head, raw = _digests(key, n, block, size)
+                own = [raw[32 * i : 32 * i + 32] for i in np.flatnonzero(head >> np.uint64(BINS) == chosen)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.string()), pa.array([rest] * len(own), pa.int64()), pa.array(own, pa.binary())], ["key", "rest", "last"])
+
+    def place(batches):
+        for b in batches:
+            out = []
+            for draw, key, k, n, block, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                head, raw = _digests(key, n, block, size)
+                at = _to(head, raw, last or _least(head, raw, k))
+                spot = at + 1.0 + block * size
+                out.append((draw, key, block, len(at), float((1 / spot).sum()), float((np.arange(1, len(at) + 1) / spot).sum())))
+            yield pa.RecordBatch.from_pylist([dict(zip(placed.names, x, strict=True)) for x in out], placed)
+
+    placed = pa.schema([("draw", pa.int32()), ("key", pa.string()), ("block", pa.int64()), ("m", pa.int64()), ("inverse", pa.float64()), ("own", pa.float64())])
+    bins = long.repartition(tasks, "key", "block").mapInArrow(count, "key string, k long, bin long, m long").groupBy("key", "k", "bin").agg(F.sum("m").alias("m"))
+    before = F.sum("m").over(Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
+    chosen = bins.withColumn("before", before).where("before < k AND before + m >= k").select("key", F.col("bin").alias("chosen"), (F.col("k") - F.col("before")).alias("rest"))
+    shown = long.drop("k").join(chosen, "key").repartition(tasks, "key", "block").select("key", "n", "block", "chosen", "rest").mapInArrow(show, "key string, rest long, last binary")
+    last = shown.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("last"))).where("r = rest").select("key", "last")
+    names = ["draw", "key", "k", "n", "block", "last"]
+    short = every.where(F.col("n") <= size).withColumn("last", F.lit(None).cast("binary"))
+    work = short.select(names).union(every.where(F.col("n") > size).join(last, "key").select(names))
+    sums = work.repartition(tasks, "key", "block").mapInArrow(place, "draw int, key string, block long, m long, inverse double, own double")
+    # A block's i-th place taken is the group's (i + those of the blocks before)-th.
+    ahead = F.sum("m").over(Window.partitionBy("draw", "key").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")
+    per = sums.withColumn("hits", F.col("own") + F.coalesce(ahead, F.lit(0)) * F.col("inverse")).groupBy("draw", "key").agg((F.sum("hits") / F.sum("m")).alias("ap"))
     return per.groupBy("draw").agg(F.round(F.avg("ap"), 6).alias("ap"))
 
 

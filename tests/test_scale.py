@@ -1,5 +1,6 @@
 """Operators that must not gather a table: orders, the rank ceiling, the random null, ranks in families."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -96,6 +97,45 @@ def test_null_is_near_its_expectation(spark):
     assert abs(np.mean([x > p95 for x in many]) - 0.05) < 3 * math.sqrt(0.05 * 0.95 * (1 / 200 + 1 / 2000))
 
 
+def drawn(groups: dict, repeats: int) -> dict:
+    """Every place is hashed and sorted."""
+    out = {}
+    for draw in range(repeats):
+        ap = []
+        for g, (n, k) in groups.items():
+            best = sorted(range(1, n + 1), key=lambda at: hashlib.sha256(f"s:{draw}:{g}:{at}".encode()).digest())[:k]
+            ap.append(np.mean([i / at for i, at in enumerate(sorted(best), 1)]))
+        out[draw] = pytest.approx(np.mean(ap), abs=1e-6)
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 7, 50, 1 << 18])
+def test_null_by_blocks_equals_sorted_hashes(spark, size):
+    groups = {"a": (61, 5), "b": (200, 199), "c": (9, 9), "d": (1, 1), "é:1": (50, 1), "f": (51, 20)}
+    rows = [(g, int(i < k)) for g, (n, k) in groups.items() for i in range(n)] + [("e", 0), ("a", -1), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, label int").repartition(3)
+    got = {r["draw"]: r["ap"] for r in evaluation.null_samples(df, "g", 4, "s", size).collect()}
+    assert got == drawn(groups, 4)
+
+
+def test_null_makes_no_row_of_a_place(spark):
+    """No step of the plan has hashes of places as a column."""
+    df = spark.range(300_000).select((F.col("id") % 2).alias("g"), (F.col("id") % 31 == 0).cast("int").alias("label"))
+    out = evaluation.null_samples(df, "g", 2, "s")
+    assert "sha2" not in out._jdf.queryExecution().executedPlan().toString()
+    n = 300_000 // 2
+    assert {r["draw"]: r["ap"] for r in out.collect()} == drawn({0: (n, sum(i % 31 == 0 for i in range(0, 2 * n, 2))), 1: (n, sum(i % 31 == 0 for i in range(1, 2 * n, 2)))}, 2)
+    assert evaluation.null_samples(df.where("label = 0"), "g", 2, "s").count() == 0
+
+
+def test_null_of_a_long_group_ties_at_the_cut():
+    """Equal first eight bytes are told apart by the rest."""
+    raw = b"".join(bytes([a] * 8 + [b] * 24) for a, b in [(1, 9), (0, 5), (1, 3), (2, 0), (1, 7)])
+    head = np.frombuffer(raw, ">u8")[::4].astype(np.uint64)
+    for k, want in ((1, [1]), (2, [1, 2]), (3, [1, 2, 4]), (4, [0, 1, 2, 4]), (5, [0, 1, 2, 3, 4])):
+        assert evaluation._to(head, raw, evaluation._least(head, raw, k)).tolist() == want
+
+
 def test_ranks_in_families_and_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(vectors.products, "__defaults__", (5,))
     rng = np.random.default_rng(8)
