@@ -64,6 +64,8 @@ SHARES = 11  # of the mixture, by the input row before a word: 0, 1-2, 3-6, ...
 CHUNK = 700_000  # ids in a chunk, about
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(63, _STEP)])
+NEAR = 512  # rows of class logits made at once, which a core keeps at hand
+_ONES = np.ones(ALONE + SHARED, np.float32)  # sums of rows are taken as products
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -133,22 +135,26 @@ class Model:
     def states(self, rows: np.ndarray, lead: np.ndarray) -> tuple:
         """rows: windows x WINDOW input rows; lead: how many at the front are padding."""
         w = self.weights
-        x = w["embed"][rows] + w["place"]
-        q = x[:, CONTEXT:] @ w["q"]
-        k, v = x @ w["k"], x @ w["v"]
+        x = w["embed"].take(rows, 0)
+        x += w["place"]
+        every = x.reshape(-1, WIDTH)
+        q, k, v = ((every @ w[name]).reshape(x.shape) for name in "qkv")
+        q = q[:, CONTEXT:]
         s = q @ k.transpose(0, 2, 1)
         s += _MASK
         first = np.flatnonzero(lead)
         if len(first):
             s[first] += np.where(np.arange(WINDOW)[None, :] < lead[first, None], np.float32(-1e9), np.float32(0))[:, None, :]
-        s -= s.max(-1, keepdims=True)
+        # Every id sees itself. Within these bounds no row can leave the range of exp.
+        if not (s.max() < 80 and s.diagonal(CONTEXT, 1, 2).min() > -60):
+            s -= s.max(-1, keepdims=True)
         np.exp(s, out=s)
-        s /= s.sum(-1, keepdims=True)
+        s /= (s @ _ONES[:WINDOW])[..., None]
         return x, q, k, v, s, s @ v + x[:, CONTEXT:]
 
     def class_logits(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
         out = h @ self.weights["out"]
-        out += self.pair[before]
+        out += self.pair.take(before, 0)
         return out
 
     def mixed(self, count: np.ndarray, log: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -157,7 +163,7 @@ class Model:
             own = np.log((1 - self.share[context]) * count / max(self.words, 1))
         return np.logaddexp(own, np.log(self.share[context]) + log) / np.log(10)
 
-    def each(self, docs: list[np.ndarray], batch: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    def each(self, docs: list[np.ndarray], batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """The log probability of every id of documents, and the input row before it."""
         size = np.array([len(d) for d in docs])
         ids = np.concatenate(docs).astype(np.int64)
@@ -183,11 +189,13 @@ class Model:
             h = self.states(rows, lead)[-1]
             live = inside[:, CONTEXT:]
             here = place[:, CONTEXT:][live]
-            logits = self.class_logits(h[live], rows[:, CONTEXT:][live])
-            own = logits[np.arange(len(here)), cls[here]]
-            np.exp(logits, out=logits)
-            got = own - np.log(logits.sum(1)) + gained[here]
-            gained[here] = got
+            h, before = h[live], rows[:, CONTEXT:][live]
+            for j in range(0, len(here), NEAR):
+                now = here[j : j + NEAR]
+                logits = self.class_logits(h[j : j + NEAR], before[j : j + NEAR])
+                own = logits[np.arange(len(now)), cls[now]]
+                np.exp(logits, out=logits)
+                gained[now] += own - np.log(logits @ _ONES)
         return gained, inputs
 
     def score(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,44 +250,59 @@ def windows_of(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.nda
 def fit(model: Model, docs: list[np.ndarray], epochs: int = 3, batch: int = 64, rate: float = 3e-3, seed: int = 7) -> None:
     """Fits the attention's weights by Adam on whole documents."""
     rng = np.random.default_rng(seed)
-    w = model.weights
     if not docs:
         return
     rows, lead, target, live = windows_of(model, docs)
-    m1 = {k: np.zeros_like(v) for k, v in w.items()}
-    m2 = {k: np.zeros_like(v) for k, v in w.items()}
+    # The weights, their gradients and means lie end to end.
+    flat = np.concatenate([v.ravel() for v in model.weights.values()])
+    grad, m1, m2 = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+    w, g, at = {}, {}, 0
+    for name, v in model.weights.items():
+        w[name], g[name] = (x[at : at + v.size].reshape(v.shape) for x in (flat, grad))
+        at += v.size
+    model.weights = w
     t, total = 0, epochs * max(1, len(rows) // batch)
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch)):
             t += 1
-            r, y = rows[part], target[part]
+            r, y = rows[part], target[part].ravel()
             x, q, k, v, a, h = model.states(r, lead[part])
-            # p becomes the gradient of the mean loss by the logits, in place.
-            flat = h.reshape(-1, WIDTH)
-            p = model.class_logits(flat, r[:, CONTEXT:].ravel())
-            np.exp(p, out=p)
-            weight = live[part].ravel() / np.float32(live[part].sum())
-            p *= (weight / p.sum(-1))[:, None]
-            p[np.arange(len(p)), y.ravel()] -= weight
-            g = {"out": flat.T @ p}
-            gh = (p @ w["out"].T).reshape(h.shape)
-            ga = gh @ v.transpose(0, 2, 1)
-            gv = a.transpose(0, 2, 1) @ gh
-            gs = a * (ga - (ga * a).sum(-1, keepdims=True))
-            gq, gk = gs @ k, gs.transpose(0, 2, 1) @ q
-            seen, late = x.reshape(-1, WIDTH), x[:, CONTEXT:].reshape(-1, WIDTH)
-            g["q"] = late.T @ gq.reshape(-1, WIDTH)
-            g["k"], g["v"] = seen.T @ gk.reshape(-1, WIDTH), seen.T @ gv.reshape(-1, WIDTH)
-            gx = gk @ w["k"].T + gv @ w["v"].T
-            gx[:, CONTEXT:] += gh + gq @ w["q"].T
-            g["place"] = gx.sum(0)
-            cell = (r.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
-            g["embed"] = np.bincount(cell, gx.ravel(), w["embed"].size).astype(np.float32).reshape(-1, WIDTH)
+            own = h.reshape(-1, WIDTH)
+            before, weight = r[:, CONTEXT:].ravel(), live[part].ravel() / np.float32(live[part].sum())
+            gh = np.empty_like(own)
+            grad[:] = 0
+            for i in range(0, len(own), NEAR):
+                some = slice(i, i + NEAR)
+                p = model.class_logits(own[some], before[some])
+                np.exp(p, out=p)
+                # p becomes the gradient of the mean loss by the logits over `scale`, in place.
+                mass = p @ _ONES
+                p[np.arange(len(p)), y[some]] -= mass
+                scale = (weight[some] / mass)[:, None]
+                g["out"] += (own[some] * scale).T @ p
+                np.multiply(p @ w["out"].T, scale, out=gh[some])
+            late = x[:, CONTEXT:]
+            mean = np.einsum("ij,ij->i", gh, own - late.reshape(-1, WIDTH)).reshape(*a.shape[:2], 1)
+            gh = gh.reshape(h.shape)
+            gs = gh @ v.transpose(0, 2, 1)
+            gv = (a.transpose(0, 2, 1) @ gh).reshape(-1, WIDTH)
+            gs -= mean
+            gs *= a
+            gq, gk = (gs @ k).reshape(-1, WIDTH), (gs.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
+            seen = x.reshape(-1, WIDTH)
+            np.matmul(late.reshape(-1, WIDTH).T, gq, out=g["q"])
+            np.matmul(seen.T, gk, out=g["k"])
+            np.matmul(seen.T, gv, out=g["v"])
+            gx = (gk @ w["k"].T + gv @ w["v"].T).reshape(x.shape)
+            gx[:, CONTEXT:] += gh + (gq @ w["q"].T).reshape(h.shape)
+            gx.sum(0, out=g["place"])
+            np.add.at(g["embed"].reshape(-1), (r.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel(), gx.ravel())
             now = rate * min(1.0, 1.5 * (1 - t / (total + 1)))
-            for name, grad in g.items():
-                m1[name] = 0.9 * m1[name] + 0.1 * grad
-                m2[name] = 0.99 * m2[name] + 0.01 * grad * grad
-                w[name] -= (now * (m1[name] / (1 - 0.9**t)) / (np.sqrt(m2[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            m1 *= 0.9
+            m1 += 0.1 * grad
+            m2 *= 0.99
+            m2 += 0.01 * grad * grad
+            flat -= now / (1 - 0.9**t) * m1 / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
 
 
 PARTS = 256  # of a summed array

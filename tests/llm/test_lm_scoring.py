@@ -106,3 +106,52 @@ def test_odd_white_space_keeps_the_words_apart(spark, monkeypatch):
         share = m.share[lm.context(np.array(before))]
         want = np.logaddexp(np.log(np.maximum((1 - share) * seen / (count.total() + ends), 5e-324)), np.log(share) + log).sum() / np.log(10)
         assert got[k]["score"] == pytest.approx(want, rel=1e-5) and got[k]["n_tokens"] == len(words) + 1
+
+
+def small_model(lm, size):
+    """Any model over 51 ids, with queries and keys of the given size."""
+    rng = np.random.default_rng(4)
+    rows, classes = lm.INPUTS + lm.SHARED, lm.ALONE + lm.SHARED
+    shapes = {"embed": (rows, lm.WIDTH), "place": (lm.WINDOW, lm.WIDTH), "q": (lm.WIDTH,) * 2, "k": (lm.WIDTH,) * 2, "v": (lm.WIDTH,) * 2, "out": (lm.WIDTH, classes)}
+    weights = {k: rng.normal(0, size if k in "qk" else 0.25, s).astype(np.float32) for k, s in shapes.items()}
+    after = rng.integers(0, 9, (rows, 52)).astype(np.float32)
+    pair, after_class = rng.normal(0, 1, (rows, classes)).astype(np.float32), np.full((rows, classes), 400, np.float32)
+    ids = np.arange(51)
+    return lm.Model(50, ids == 50, 10, 1, np.full(lm.SHARES, 0.5), ids, ids % classes, np.log(np.full(51, 0.5, np.float32)), pair, ids, after, after_class, weights)
+
+
+@pytest.mark.parametrize("size", [0.1, 1.0, 30.0])
+def test_logits_are_made_few_at_once_and_are_those_of_a_plain_model(monkeypatch, size):
+    from pairbench.llm import lm_scoring as lm
+
+    m, made, logits = small_model(lm, size), [], lm.Model.class_logits
+    monkeypatch.setattr(lm.Model, "class_logits", lambda self, h, before: made.append(len(h)) or logits(self, h, before))
+    docs = [np.r_[np.random.default_rng(i).integers(0, 50, n), 50].astype(np.uint16) for i, n in enumerate((0, 3, 30, 3000))]
+    got, inputs = m.each(docs)
+    assert max(made) <= 1024 and sum(made) == len(got) == sum(map(len, docs))
+    w, want = {k: v.astype(float) for k, v in m.weights.items()}, []
+    for d in docs:
+        before = np.r_[50, d[:-1]].astype(int)
+        for i in range(len(d)):
+            begin = i - i % 24 - 8  # of the window
+            at = np.arange(max(begin, 0), i + 1)
+            x = w["embed"][before[at]] + w["place"][at - begin]
+            s = x @ w["k"] @ (x[-1] @ w["q"])
+            a = np.exp(s - s.max())
+            z = (a / a.sum()) @ (x @ w["v"]) + x[-1]
+            z = z @ w["out"] + m.pair[before[i]]
+            counted = (m.after[before[i], d[i]] + 5 * 0.5) / 405
+            want.append(z[d[i]] - np.log(np.exp(z).sum()) + np.log(counted))
+    assert np.isfinite(got).all() and got == pytest.approx(np.array(want), abs=2e-2 if size > 1 else 2e-4)
+
+
+def test_the_fit_lowers_the_loss_with_few_logits_at_once(monkeypatch):
+    from pairbench.llm import lm_scoring as lm
+
+    m, made, logits = small_model(lm, 0.25), [], lm.Model.class_logits
+    docs = [np.r_[np.arange(i, i + 200) % 50, 50].astype(np.uint16) for i in range(40)]
+    begun = m.each(docs)[0].mean()
+    monkeypatch.setattr(lm.Model, "class_logits", lambda self, h, before: made.append(len(h)) or logits(self, h, before))
+    lm.fit(m, docs, 10)
+    assert max(made) <= 1024
+    assert m.each(docs)[0].mean() > begun + 1
