@@ -9,7 +9,8 @@ the base score), subword ids, and pairs of ids in reduced numbering. The model i
 where the most frequent ids are classes of their own, the others share classes of equal mass, and
 P(id | class, id before) comes from the counts. The class logits are the log of smoothed counts after the id
 before, plus a projection of one masked self-attention layer over the window, whose weights are
-fitted by Adam on all training documents: it begins on the driver on about SAMPLE ids of them, and goes on
+fitted by Adam on all training documents (its gradients take exponentials within a sixteenth, scores
+don't): it begins on the driver on about SAMPLE ids of them, and goes on
 in ROUNDS passes over disjoint parts of the documents, each of which starts from the same weights on every
 partition and ends with their mean, weighted by ids. Windows that are not full are masked.
 A word's probability is the product over its ids, mixed with the word's frequency in all training
@@ -25,6 +26,8 @@ Scoring cuts a text into windows of WINDOW ids of which the first CONTEXT were s
 before, so each id is scored once with at least CONTEXT ids before it (or all there are); windows are
 batched and masked.
 
+A task encodes each distinct word once, as its ids don't depend on what stands around it; texts with white space
+beyond ASCII, which can merge, are encoded whole. Words are known by the ids that they have alone.
 Documents are kept in chunks of about CHUNK ids, one row each. The counts of words are added up in fragments:
 a chunk sends its distinct words there by hash, once, and gets their counts in the whole corpus back in the
 order of the words; then it is scored and mixed as a whole. Neither occurrences nor the model's log products are
@@ -37,6 +40,8 @@ documents for the counts and have equal scores. Texts are scored whole; extra co
 from __future__ import annotations
 
 import base64
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
@@ -49,7 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairbench.llm import scratch
-from pairbench.llm.textkit import Words, mix, tidy, words_of
+from pairbench.llm.textkit import Words, chunks, mix, tidy, words_of
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 WINDOW, CONTEXT = 32, 8
@@ -64,8 +69,11 @@ SHARES = 11  # of the mixture, by the input row before a word: 0, 1-2, 3-6, ...
 CHUNK = 700_000  # ids in a chunk, about
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = np.multiply.accumulate(np.r_[np.uint64(1), np.full(63, _STEP)])
-NEAR = 512  # rows of class logits made at once, which a core keeps at hand
+_BIAS, _BITS, _LEAST = 127 << 23, np.float32((1 << 23) / np.log(2)), 1 << 23  # for near_exp()
+_MIXED = mix(np.arange(1, (1 << 16) + 1))
+NEAR, FIT_NEAR = 512, 768  # rows of class logits made at once, which a core keeps at hand
 _ONES = np.ones(ALONE + SHARED, np.float32)  # sums of rows are taken as products
+_WHITE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # beyond ASCII
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -87,6 +95,68 @@ def encode(text: str | None, path: str) -> np.ndarray:
     return np.array([*enc.encode_ordinary(plain), end], np.uint16)
 
 
+class Encoder:
+    """The ids, as bytes, of words with the space before them, which don't depend on what stands around the
+    word, unless white space beyond ASCII meets other white space. It forgets all when it holds most words, or
+    32 bytes for each of these."""
+
+    def __init__(self, path: str, most: int = 300_000):
+        self.path, self.most = path, most
+        self.bytes = 0
+        self.known: dict[bytes, bytes] = {}
+        self.white: set[bytes] = set()
+        self.end = array("H", [vocabulary(path)[1]]).tobytes()
+
+    def encoded(self, words: bytes) -> array:
+        return array("H", vocabulary(self.path)[0].encode_ordinary(f" {words.decode()}"))
+
+    def learn(self, words: set[bytes]) -> None:
+        """Words are encoded end to end, and cut where an id begins with a space."""
+        text = b"".join(words)
+        self.bytes += len(text)
+        if not text.isascii():
+            white = {w for w in words if not w.isascii() and _WHITE.search(w.decode())}
+            self.white |= white
+            self.known.update((w, self.encoded(w).tobytes()) for w in white)
+            words = words - white
+        if words:
+            words = list(words)
+            ids = self.encoded(b" ".join(words))
+            at = (2 * np.flatnonzero(openings(self.path).take(ids))).tolist()
+            data = ids.tobytes()
+            self.known.update(zip(words, map(data.__getitem__, map(slice, at, [*at[1:], len(data)])), strict=True))
+
+    def words(self, split: list[list[bytes]]) -> list[list[bytes]]:
+        """The ids of the words of each list."""
+        if len(self.known) >= self.most or self.bytes >= 32 * self.most:
+            self.bytes = 0
+            self.known.clear()
+            self.white.clear()
+        got = [list(map(self.known.get, words)) for words in split]
+        new = [i for i, ids in enumerate(got) if None in ids]
+        if new:
+            self.learn({w for i in new for w, ids in zip(split[i], got[i], strict=True) if ids is None})
+            for i in new:
+                got[i] = list(map(self.known.__getitem__, split[i]))
+        return got
+
+    def documents(self, texts: list[str | None]) -> list[tuple[bytes, bool]]:
+        """The bytes of encode(text), and whether its words' ids can depend on what stands around them."""
+        split = [(t or "").encode().translate(_LOWER).split() for t in texts]
+        out = []
+        for text, words, ids in zip(texts, split, self.words(split), strict=True):
+            odd = bool(self.white) and not self.white.isdisjoint(words)
+            out.append((encode(text, self.path).tobytes() if odd else b"".join(ids) + self.end, odd))
+        return out
+
+
+@lru_cache(maxsize=2)
+def openings(path: str) -> np.ndarray:
+    """Whether an id begins a word; the end does."""
+    enc, end = vocabulary(path)
+    return np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(end)] + [True])
+
+
 @lru_cache(maxsize=2)
 def spelling(path: str) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all ids end to end, and where each begins; the end has none."""
@@ -112,7 +182,10 @@ def split(ids: np.ndarray, begin: np.ndarray, opens: np.ndarray) -> tuple[np.nda
     at = np.flatnonzero(first)
     size = np.diff(np.r_[at, len(ids)])
     inside = np.arange(len(ids)) - np.repeat(at, size)
-    value = mix(ids.astype(np.uint64) + np.uint64(1)) * _STEPS[inside & 63] + (inside >> 6).astype(np.uint64)
+    value = _MIXED.take(ids)
+    value *= _STEPS.take(inside & 63)
+    if len(size) and size.max() > 64:
+        value += (inside >> 6).astype(np.uint64)
     return at, mix(np.add.reduceat(value, at)) if len(at) else np.zeros(0, np.uint64)
 
 
@@ -132,13 +205,24 @@ class Model:
     after_class: np.ndarray  # input row x class, sums of `after`
     weights: dict[str, np.ndarray]
 
-    def states(self, rows: np.ndarray, lead: np.ndarray) -> tuple:
-        """rows: windows x WINDOW input rows; lead: how many at the front are padding."""
+    def projected(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each input row and each place end to end with its query, key and value."""
         w = self.weights
-        x = w["embed"].take(rows, 0)
-        x += w["place"]
-        every = x.reshape(-1, WIDTH)
-        q, k, v = ((every @ w[name]).reshape(x.shape) for name in "qkv")
+        return tuple(np.concatenate([w[name], *(w[name] @ w[x] for x in "qkv")], 1) for name in ("embed", "place"))
+
+    def states(self, rows: np.ndarray, lead: np.ndarray, table: tuple[np.ndarray, np.ndarray] | None = None) -> tuple:
+        """rows: windows x WINDOW input rows; lead: how many at the front are padding; table: projected(),
+        which saves the products where the weights stay."""
+        w = self.weights
+        if table:
+            x = table[0].take(rows, 0)
+            x += table[1]
+            x, q, k, v = (x[..., i : i + WIDTH] for i in range(0, 4 * WIDTH, WIDTH))
+        else:
+            x = w["embed"].take(rows, 0)
+            x += w["place"]
+            every = x.reshape(-1, WIDTH)
+            q, k, v = ((every @ w[name]).reshape(x.shape) for name in "qkv")
         q = q[:, CONTEXT:]
         s = q @ k.transpose(0, 2, 1)
         s += _MASK
@@ -173,29 +257,34 @@ class Model:
         doc = np.repeat(np.arange(len(docs)), n)
         start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step  # first id to score
         inputs = np.empty(len(ids), np.int64)  # the input row before each id
-        inputs[1:] = self.input[ids[:-1]]
+        inputs[1:] = self.input.take(ids[:-1])
         inputs[begin] = self.input[self.end]
         # P(id | class, id before): counts smoothed by P(id | class).
-        counted = self.after[inputs, self.common[ids]]
-        gained = np.log((counted + 5 * np.exp(self.within[ids])) / (self.after_class[inputs, self.cls[ids]] + 5))
-        cls = self.cls[ids]
+        cls = self.cls.take(ids)
+        gained = self.after.take(inputs * self.after.shape[1] + self.common.take(ids))
+        gained += (5 * np.exp(self.within)).take(ids)
+        gained /= self.after_class.take(inputs * self.after_class.shape[1] + cls) + 5
+        np.log(gained, out=gained)
+        # Ids are scored in order, as windows lie in it: a window's live ids are a run.
+        first, table = begin[doc] + start, self.projected()
+        last = np.minimum(first + step, (begin + size)[doc])
+        lead = np.where(start == 0, CONTEXT, 0)
+        classes, across = self.pair.shape[1], np.arange(-CONTEXT, step)
         for i in range(0, len(doc), batch):
-            d, s = doc[i : i + batch], start[i : i + batch]
-            at = s[:, None] + np.arange(-CONTEXT, step)[None, :]
-            lead = np.where(s == 0, CONTEXT, 0)
-            inside = (at >= 0) & (at < size[d][:, None])
-            place = begin[d][:, None] + np.where(inside, at, 0)
-            rows = inputs[place]
-            h = self.states(rows, lead)[-1]
-            live = inside[:, CONTEXT:]
-            here = place[:, CONTEXT:][live]
-            h, before = h[live], rows[:, CONTEXT:][live]
-            for j in range(0, len(here), NEAR):
-                now = here[j : j + NEAR]
-                logits = self.class_logits(h[j : j + NEAR], before[j : j + NEAR])
-                own = logits[np.arange(len(now)), cls[now]]
+            f, e = first[i : i + batch, None], last[i : i + batch, None]
+            at = f + across
+            live = at[:, CONTEXT:] < e
+            # Padding is masked, and what lies behind a text's end is left out.
+            rows = inputs.take(at, mode="clip")
+            h = self.states(rows, lead[i : i + batch], table)[-1]
+            h = h.reshape(-1, WIDTH) if live.all() else h[live]
+            for j in range(0, len(h), NEAR):
+                now = slice(f[0, 0] + j, f[0, 0] + min(j + NEAR, len(h)))
+                logits = self.class_logits(h[j : j + NEAR], inputs[now])
+                own = logits.take(np.arange(0, logits.size, classes) + cls[now])
                 np.exp(logits, out=logits)
-                gained[now] += own - np.log(logits @ _ONES)
+                own -= np.log(logits @ _ONES)
+                gained[now] += own
         return gained, inputs
 
     def score(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,7 +333,7 @@ def windows_of(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     at = start[:, None] + np.arange(-CONTEXT, step)[None, :]
     inside = (at >= 0) & (at < size[doc][:, None])
     place = begin[doc][:, None] + np.where(inside, at, 0)
-    return inputs[place], np.where(start == 0, CONTEXT, 0), model.cls[ids[place[:, CONTEXT:]]], inside[:, CONTEXT:]
+    return inputs.astype(np.uint16)[place], np.where(start == 0, CONTEXT, 0), model.cls[ids[place[:, CONTEXT:]]], inside[:, CONTEXT:]
 
 
 def fit(model: Model, docs: list[np.ndarray], epochs: int = 3, batch: int = 64, rate: float = 3e-3, seed: int = 7) -> None:
@@ -255,6 +344,9 @@ def fit(model: Model, docs: list[np.ndarray], epochs: int = 3, batch: int = 64,
     rows, lead, target, live = windows_of(model, docs)
     # The weights, their gradients and means lie end to end.
     flat = np.concatenate([v.ravel() for v in model.weights.values()])
+    near = replace(model, pair=model.pair * _BITS + np.float32(_BIAS), weights={})
+    far = np.abs(model.pair).max()
+    spots = np.arange(model.weights["embed"].size).reshape(-1, WIDTH)
     grad, m1, m2 = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
     w, g, at = {}, {}, 0
     for name, v in model.weights.items():
@@ -265,38 +357,43 @@ def fit(model: Model, docs: list[np.ndarray], epochs: int = 3, batch: int = 64,
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // batch)):
             t += 1
-            r, y = rows[part], target[part].ravel()
+            r, y = rows[part].astype(np.int64), target[part].ravel()
             x, q, k, v, a, h = model.states(r, lead[part])
             own = h.reshape(-1, WIDTH)
             before, weight = r[:, CONTEXT:].ravel(), live[part].ravel() / np.float32(live[part].sum())
             gh = np.empty_like(own)
             grad[:] = 0
-            for i in range(0, len(own), NEAR):
-                some = slice(i, i + NEAR)
-                p = model.class_logits(own[some], before[some])
-                np.exp(p, out=p)
+            near.weights["out"] = w["out"] * _BITS
+            sure = far + max(own.max(), -own.min()) * np.abs(w["out"]).sum(0).max() < 80  # of any logit
+            for i in range(0, len(own), FIT_NEAR):
+                some = slice(i, i + FIT_NEAR)
+                p = near_exp(near.class_logits(own[some], before[some]), sure)
                 # p becomes the gradient of the mean loss by the logits over `scale`, in place.
                 mass = p @ _ONES
-                p[np.arange(len(p)), y[some]] -= mass
+                p.reshape(-1)[np.arange(0, p.size, p.shape[1]) + y[some]] -= mass
                 scale = (weight[some] / mass)[:, None]
-                g["out"] += (own[some] * scale).T @ p
+                g["out"] += (p.T @ (own[some] * scale)).T
                 np.multiply(p @ w["out"].T, scale, out=gh[some])
             late = x[:, CONTEXT:]
-            mean = np.einsum("ij,ij->i", gh, own - late.reshape(-1, WIDTH)).reshape(*a.shape[:2], 1)
+            mean = own - late.reshape(-1, WIDTH)
+            mean *= gh
+            mean = (mean @ _ONES[:WIDTH]).reshape(*a.shape[:2], 1)
             gh = gh.reshape(h.shape)
             gs = gh @ v.transpose(0, 2, 1)
             gv = (a.transpose(0, 2, 1) @ gh).reshape(-1, WIDTH)
             gs -= mean
             gs *= a
             gq, gk = (gs @ k).reshape(-1, WIDTH), (gs.transpose(0, 2, 1) @ q).reshape(-1, WIDTH)
-            seen = x.reshape(-1, WIDTH)
             np.matmul(late.reshape(-1, WIDTH).T, gq, out=g["q"])
+            seen = x.reshape(-1, WIDTH)
             np.matmul(seen.T, gk, out=g["k"])
             np.matmul(seen.T, gv, out=g["v"])
-            gx = (gk @ w["k"].T + gv @ w["v"].T).reshape(x.shape)
+            gx = gk @ w["k"].T
+            gx += gv @ w["v"].T
+            gx = gx.reshape(x.shape)
             gx[:, CONTEXT:] += gh + (gq @ w["q"].T).reshape(h.shape)
             gx.sum(0, out=g["place"])
-            np.add.at(g["embed"].reshape(-1), (r.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel(), gx.ravel())
+            g["embed"].reshape(-1)[:] = np.bincount(spots.take(r, 0).ravel(), gx.ravel(), spots.size)
             now = rate * min(1.0, 1.5 * (1 - t / (total + 1)))
             m1 *= 0.9
             m1 += 0.1 * grad
@@ -305,6 +402,14 @@ def fit(model: Model, docs: list[np.ndarray], epochs: int = 3, batch: int = 64,
             flat -= now / (1 - 0.9**t) * m1 / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
 
 
+def near_exp(x: np.ndarray, sure: bool = False) -> np.ndarray:
+    """exp(y) within a sixteenth, never below, for the fit's gradients, where x is y * _BITS + _BIAS. As a
+    float's bits, x is 2**y with a straight line between powers of 2. sure: no x is beyond their range."""
+    if not sure:
+        np.clip(x, _LEAST, 2 * _BIAS - _LEAST, out=x)
+    return x.astype(np.int32).view(np.float32)
+
+
 PARTS = 256  # of a summed array
 
 
@@ -383,8 +488,7 @@ def fit_all(model: Model, own: DataFrame, seed: int) -> None:
 def train(tokens: DataFrame, path: str, seed: int = 7) -> Model:
     """A model of the rows of tokens (ids binary) with train set."""
     own = tokens.where("train").select("ids")
-    enc, end = vocabulary(path)
-    opens = np.array([enc.decode_single_token_bytes(i)[:1] == b" " for i in range(end)] + [True])
+    end, opens = vocabulary(path)[1], openings(path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(end + 1, np.int64)
@@ -425,9 +529,10 @@ def train(tokens: DataFrame, path: str, seed: int = 7) -> Model:
         ids = np.concatenate([np.array([end], np.uint16), *docs]).astype(np.int64)
         np.add.at(total, inputs[ids[:-1]] * (COMMON + SHARED) + column[ids[1:]], 1)
         if len(words):
-            h = hashes(docs)
+            h, n = np.unique(hashes(docs), return_counts=True)
             at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-            total[cells:] += np.bincount(at[words[at] == h], minlength=len(words))
+            same = words[at] == h
+            total[cells + at[same]] += n[same]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(cells + len(words), np.int64)
@@ -474,21 +579,43 @@ def train(tokens: DataFrame, path: str, seed: int = 7) -> Model:
     return model
 
 
-def word_logs(m: Model, docs: list[np.ndarray], w: Words, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The log of the product over the ids of every word of w and of every end, its context, and which are
-    ends; a document's end follows its words. An id goes to the word in which, or in the space before which,
-    its first byte lies; a word in which no id begins (odd white space can merge) has the product 1."""
-    got = [m.each(docs[i : i + 200]) for i in range(0, len(docs), 200)]
-    gained, rows = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+def word_logs(m: Model, docs: list[np.ndarray], w: Words, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The log of the product over the ids of every word of w and of every end, and its context; a document's
+    end follows its words. An id goes to the word in which, or in the space before which, its first byte lies;
+    a word in which no id begins (odd white space can merge) has the product 1."""
+    gained, rows = m.each(docs)
     length = np.array([len(d) for d in docs])
     ids = np.concatenate(docs).astype(np.int64)
     at = spelling(path)[1]
     size = at[ids + 1] - at[ids]
     slot = np.searchsorted(w.end, np.cumsum(size) - size, side="right") + np.repeat(np.arange(len(docs)), length)
     slots = len(w.hash) + len(docs)
-    ends = np.zeros(slots, bool)
-    ends[w.offset[1:] + np.arange(len(docs))] = True
-    return np.bincount(slot, gained, slots), context(rows[np.searchsorted(slot, np.arange(slots))]), ends
+    return np.bincount(slot, gained, slots), context(rows[np.searchsorted(slot, np.arange(slots))])
+
+
+def word_hashes(docs: list[np.ndarray], odd: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ids that the documents' words have alone, and each document's number of words. In odd
+    documents white space can merge, so their words are encoded one by one."""
+    end = vocabulary(path)[1]
+
+    def of(some: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(d) for d in some], np.int64)
+        ids, begin = np.concatenate([np.zeros(0, np.uint16), *some]).astype(np.int64), np.cumsum(size) - size
+        at, h = split(ids, begin, openings(path))
+        own = ids[at] != end
+        return h[own], np.diff(np.searchsorted(np.flatnonzero(own), np.r_[np.searchsorted(at, begin), len(at)]))
+
+    if not odd.any():
+        return of(docs)
+    alone = Encoder(path)
+    parts = []
+    for d, strange in zip(docs, odd, strict=True):
+        if strange:
+            words = decode([d], path)[0].tobytes().split()
+            parts.append((of([np.frombuffer(ids, np.uint16) for ids in alone.words([words])[0]])[0], [len(words)]))
+        else:
+            parts.append(of([d]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def scores(df: DataFrame, held_out: Column, path: str, key: str = "doc_id", text: str = "text", fragments: int | None = None) -> DataFrame:
@@ -503,23 +630,24 @@ def scores(df: DataFrame, held_out: Column, path: str, key: str = "doc_id", text
         held: list[tuple] = []
 
         def row(t: pa.DataType) -> pa.RecordBatch:
-            a, b, c = zip(*held, strict=True)
-            cells = [pa.array([(task << 32) | number], pa.int64()), pa.array([a], pa.list_(t)), pa.array([b], pa.list_(pa.bool_())), pa.array([c], pa.list_(pa.binary()))]
-            return pa.RecordBatch.from_arrays(cells, ["chunk", "id", "train", "ids"])
+            a, b, c, d = zip(*held, strict=True)
+            cells = [pa.array([(task << 32) | number], pa.int64()), pa.array([a], pa.list_(t)), *(pa.array([x], pa.list_(pa.bool_())) for x in (b, d)), pa.array([c], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays(cells, ["chunk", "id", "train", "odd", "ids"])
 
+        known = Encoder(path)
         for b in batches:
             t = b.column("id").type
-            for i, x, learn in zip(b.column("id").to_pylist(), b.column("text"), b.column("train").to_pylist(), strict=True):
-                ids = encode(x.as_py(), path)
-                held.append((i, learn, ids.tobytes()))
-                n += len(ids)
-                if n >= CHUNK:
-                    yield row(t)
-                    held, number, n = [], number + 1, 0
+            for part in chunks(b, "text", 1 << 17):
+                for i, learn, (ids, odd) in zip(part.column("id").to_pylist(), part.column("train").to_pylist(), known.documents(part.column("text").to_pylist()), strict=True):
+                    held.append((i, learn, ids, odd))
+                    n += len(ids) // 2
+                    if n >= CHUNK:
+                        yield row(t)
+                        held, number, n = [], number + 1, 0
         if held:
             yield row(t)
 
-    kinds = [("chunk", T.LongType()), ("id", T.ArrayType(kind)), ("train", T.ArrayType(T.BooleanType())), ("ids", T.ArrayType(T.BinaryType()))]
+    kinds = [("chunk", T.LongType()), ("id", T.ArrayType(kind)), *((c, T.ArrayType(T.BooleanType())) for c in ("train", "odd")), ("ids", T.ArrayType(T.BinaryType()))]
     tokens = scratch.keep(rows.mapInArrow(tidy(tokenise), T.StructType([T.StructField(*k) for k in kinds])))
     each = tokens.select(F.explode(F.arrays_zip("ids", "train")).alias("d")).select("d.ids", "d.train")
     shared = spark.sparkContext.broadcast(train(each, path))
@@ -529,10 +657,10 @@ def scores(df: DataFrame, held_out: Column, path: str, key: str = "doc_id", text
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A chunk's distinct words in order, with how often its training documents have them, by fragment."""
         for b in batches:
-            for chunk, learn, docs in zip(*(b.column(c) for c in ("chunk", "train", "ids")), strict=True):
-                w = words_of(*decode([np.frombuffer(d, np.uint16) for d in docs.as_py()], path))
-                h, back = np.unique(w.hash, return_inverse=True)
-                n = np.bincount(back, np.array(learn.as_py(), bool)[w.doc], len(h)).astype(np.uint32)
+            for chunk, learn, odd, docs in zip(*(b.column(c) for c in ("chunk", "train", "odd", "ids")), strict=True):
+                h, words = word_hashes([np.frombuffer(d, np.uint16) for d in docs.as_py()], np.array(odd.as_py()), path)
+                h, back = np.unique(h, return_inverse=True)
+                n = np.bincount(back[np.repeat(np.array(learn.as_py(), bool), words)], minlength=len(h)).astype(np.uint32)
                 frag = (h >> np.uint64(32)).astype(np.int64) * fragments >> 32
                 edge = np.flatnonzero(np.r_[True, frag[1:] != frag[:-1]]) if len(h) else np.zeros(0, np.int64)
                 cut = list(zip(edge, np.r_[edge[1:], len(h)], strict=True)) if len(h) else []
@@ -566,18 +694,29 @@ def scores(df: DataFrame, held_out: Column, path: str, key: str = "doc_id", text
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         """The scores of a chunk's documents; its words' counts come in the order of the fragments."""
         m = replace(shared.value, words=found["uses"] + shared.value.ends)
-        learn, docs = (left.column(c)[0].as_py() for c in ("train", "ids"))
-        docs = [np.frombuffer(d, np.uint16) for d in docs]
-        w = words_of(*decode(docs, path))
+        learn, odd, docs = (left.column(c)[0].as_py() for c in ("train", "odd", "ids"))
+        docs, odd = [np.frombuffer(d, np.uint16) for d in docs], np.array(odd)
+        h, words = word_hashes(docs, odd, path)
         parts = sorted(zip(*(right.column(c).to_pylist() for c in ("fragment", "width", "n")), strict=True))
         total = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(n, f"u{width}").astype(np.int64) for _, width, n in parts)])
-        seen = total[np.unique(w.hash, return_inverse=True)[1]]
-        log, before, ends = word_logs(m, docs, w, path)
+        seen = total[np.unique(h, return_inverse=True)[1]]
+        doc = np.repeat(np.arange(len(docs)), words)
+        slots = words + 1  # an end follows a document's words
+        begin = np.cumsum(slots) - slots
+        log, before = np.empty(slots.sum()), np.empty(slots.sum(), np.uint8)
+        for strange in (False, True):
+            some = np.flatnonzero(odd == strange)
+            for i in range(0, len(some), 200):
+                now = some[i : i + 200]
+                own = [docs[d] for d in now]
+                got = word_logs(m, own, words_of(*decode(own, path)), path) if strange else m.score(own)[:2]
+                at = np.repeat(begin[now] - (np.cumsum(slots[now]) - slots[now]), slots[now]) + np.arange(slots[now].sum())
+                log[at], before[at] = got
         count = np.full(len(log), m.ends)
-        count[~ends] = seen
-        score = np.bincount(np.repeat(np.arange(len(docs)), w.count + 1), m.mixed(count, log, before), len(docs))
-        known, base = (np.bincount(w.doc, x, len(docs)) for x in (seen > 0, np.log10(seen + 0.1)))
-        cells = [left.column("id")[0].values, pa.array(~np.array(learn, bool)), pa.array(w.count + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
+        count[np.arange(len(doc)) + doc] = seen
+        score = np.add.reduceat(m.mixed(count, log, before), begin)
+        known, base = (np.bincount(doc, x, len(docs)) for x in (seen > 0, np.log10(seen + 0.1)))
+        cells = [left.column("id")[0].values, pa.array(~np.array(learn, bool)), pa.array(slots), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)]
         return pa.Table.from_arrays(cells, ["id", "held_out", "n_tokens", "n_words_known", "sum", "score"])
 
     names = [("id", kind), ("held_out", T.BooleanType()), *((c, T.LongType()) for c in ("n_tokens", "n_words_known")), *((c, T.DoubleType()) for c in ("sum", "score"))]

@@ -155,3 +155,48 @@ def test_the_fit_lowers_the_loss_with_few_logits_at_once(monkeypatch):
     lm.fit(m, docs, 10)
     assert max(made) <= 1024
     assert m.each(docs)[0].mean() > begun + 1
+
+
+def test_a_word_is_encoded_once_and_white_space_that_merges_is_kept(monkeypatch):
+    from pairbench.llm import lm_scoring as lm
+
+    wide = "　"
+    texts = ["Rain falls", None, "", "rain FALLS\ton the roof", "the roof " * 300, f"rain {wide} {wide} roof", f"falls{wide} {wide}on", "été tombe où"]
+    enc, end = lm.vocabulary(PATH)
+    asked = []
+
+    class Asked:
+        def encode_ordinary(self, text):
+            asked.extend(text.split(" ")[1:])
+            return enc.encode_ordinary(text)
+
+    want = [lm.encode(t, PATH).tobytes() for t in texts]
+    lm.openings(PATH)
+    monkeypatch.setattr(lm, "vocabulary", lambda path: (Asked(), end))
+    for most in (300_000, 3):  # also where it forgets
+        asked.clear()
+        known = lm.Encoder(PATH, most)
+        plain = [known.documents([t])[0] for t in texts[:5]]
+        assert most == 3 or sorted(asked) == ["falls", "on", "rain", "roof", "the"]
+        assert [*plain, *known.documents(texts[5:])] == list(zip(want, [False] * 5 + [True] * 2 + [False], strict=True))
+
+
+def test_words_are_known_by_the_ids_they_have_alone():
+    from pairbench.llm import lm_scoring as lm
+
+    wide = "　"
+    texts = ["rain falls", f"rain {wide} {wide} roof", "", f"falls{wide} {wide}on", f"{wide} {wide}on roof"]
+    docs, odd = [lm.encode(t, PATH) for t in texts], np.array([wide in t for t in texts])
+    h, n = lm.word_hashes(docs, odd, PATH)
+    words = [w for t in texts for w in t.split(" ") if w]
+    assert n.tolist() == [2, 4, 0, 2, 3] and len(set(zip(words, h, strict=True))) == len(set(words)) == len(set(h))
+
+
+def test_near_exponentials_of_the_fit():
+    from pairbench.llm import lm_scoring as lm
+
+    y = np.linspace(-87, 87, 5000).astype(np.float32)
+    ratio = lm.near_exp(y * lm._BITS + np.float32(lm._BIAS)) / np.exp(y.astype(float))
+    assert 0.999 < ratio.min() and ratio.max() < 1.0625
+    far = lm.near_exp(np.array([-1e4, 1e4], np.float32) * lm._BITS + np.float32(lm._BIAS))
+    assert (far > 0).all() and np.isfinite(far).all()
